@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.llm import license_scan, mixing, simhash, url_filter
+from pagewright.llm import license_scan, mixing, packing, secret_scan, simhash, url_filter
 
-_MODULES = (license_scan, url_filter, mixing, simhash)
+_MODULES = (license_scan, url_filter, mixing, packing, secret_scan, simhash)
 
 
 def queries() -> dict:
