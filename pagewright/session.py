@@ -51,3 +51,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Keep the Arrow batches that carry whole texts to Python small, for this session from now on.
+
+    A batch is held by the JVM and by the Python worker at once; the default of 10,000 rows is too many where a text can
+    be hundreds of kilobytes long.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
