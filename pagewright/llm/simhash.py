@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.forest import hook, run_bounds, sorted_runs
 from pagewright.operators.components import connected_components
 from pagewright.session import checkpointed
 
@@ -88,14 +89,6 @@ def _block_keys(fp, blocks: int, shared: int):
     return F.array(*keys)
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if np.array_equal(up, parent):
-            return parent
-        parent = up
-
-
 def spanning_links(fps: np.ndarray, split: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect whatever pairs within ``max_bits`` connect: every pair below ``split`` (or, if 0 < split <
     len, every pair across it) is compared in stripes; only merges are kept."""
@@ -112,39 +105,14 @@ def spanning_links(fps: np.ndarray, split: int, max_bits: int) -> tuple[np.ndarr
         a, b = a + at, b + other
         keep = a < b
         a, b = a[keep], b[keep]
-        while len(a):  # hook roots together until the stripe's pairs are all within one tree each
-            ra, rb = parent[a], parent[b]
-            apart = ra != rb
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            if not len(a):
-                break
-            hi, lo = np.maximum(ra, rb), np.minimum(ra, rb)
-            _, pick = np.unique(hi, return_index=True)  # each root is hung once a round
-            parent[hi[pick]] = lo[pick]
-            left.append(a[pick])
-            right.append(b[pick])
-            parent = _roots(parent)
+        parent, a, b = hook(parent, a, b)
+        left.append(a)
+        right.append(b)
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Whole runs of equal (bucket, tile pair) from a partition sorted by them, many small runs at a time."""
-    rest: list[np.ndarray] | None = None
-    for batch in batches:
-        columns = [np.concatenate((r, c.to_numpy(zero_copy_only=False))) if rest else c.to_numpy(zero_copy_only=False) for r, c in zip(rest or batch.columns, batch.columns)]
-        if not len(columns[0]):
-            continue
-        same = np.all([c[:-1] == c[-1] for c in columns[:2]], axis=0)
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if cut:
-            yield tuple(c[:cut] for c in columns)
-        rest = [c[cut:] for c in columns]
-    if rest is not None and len(rest[0]):
-        yield tuple(rest)
-
-
 def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """``(a, b)`` links between distinct fingerprints whose components are those of all links; ``fps`` holds ``fp``."""
     shared = blocks - max_bits
@@ -163,10 +131,9 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, t
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, pair, side, fp in _sorted_groups(batches):
+        for key, pair, side, fp in sorted_runs(batches, 2, lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns]):
             fp = fp.view(np.uint64)  # bits are counted as unsigned
-            bounds = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
-            starts, ends = np.concatenate(([0], bounds)), np.concatenate((bounds, [len(key)]))
+            starts, ends = run_bounds(key, pair)
             sizes = ends - starts
             left, right = [], []
             # small runs together: row i against row i + step while both are in one run
