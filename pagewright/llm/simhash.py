@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.forest import hook, run_bounds, sorted_runs
 from pagewright.operators.components import connected_components
-from pagewright.session import checkpointed
+from pagewright.session import checkpointed, text_batches
 
 WORDS = 4
 SEED = 42
@@ -62,6 +62,7 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = WORDS, seed: int = SEED) -> DataFrame:
     """``keep`` + ``fp`` (the fingerprint as a signed long) per row."""
+    text_batches(docs.sparkSession)
     read = docs.select(*keep, F.col(text).alias("_text"))
     schema = read.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
 
@@ -96,7 +97,7 @@ def spanning_links(fps: np.ndarray, split: int, max_bits: int) -> tuple[np.ndarr
     parent = np.arange(n)
     left, right = [], []
     rows = range(n) if split >= n else range(split)
-    stripe = max(1, 4_000_000 // max(n, 1))
+    stripe = max(1, 500_000 // max(n, 1))
     for at in range(0, len(rows), stripe):
         top = min(at + stripe, len(rows))
         other = 0 if split >= n else split
