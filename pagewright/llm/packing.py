@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators.ranking import salted_index
-from pagewright.session import checkpointed
+from pagewright.session import checkpointed, text_batches
 
 CAPACITY = 2048
 ROUNDS = 500
@@ -41,21 +41,22 @@ SPECIAL = "<|endoftext|>"
 VOCABULARY = "byte_bpe_50k"
 
 
-@lru_cache(maxsize=2)
-def encoders(vocabulary: str):
-    """The two encoders of one vocabulary file pair: the fast one by ranks, and the general one."""
-    import os
-
+@lru_cache(maxsize=1)
+def rank_encoder(vocabulary: str):
     import public_tokenizers
     import tiktoken
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast, Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=1)
+def general_encoder(vocabulary: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
 
 
 def encode(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
@@ -64,9 +65,11 @@ def encode(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     Both files hold the same merges, and the rank encoder is several times as fast; a text that spells a special token
     goes to the general one, which knows it.
     """
-    fast, general = encoders(vocabulary)
     text = text or ""
-    ids = general.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
+    if SPECIAL in text:
+        ids = general_encoder(vocabulary).encode(text, add_special_tokens=False).ids
+    else:
+        ids = rank_encoder(vocabulary).encode_ordinary(text)
     out = np.empty(len(ids) + 1, "<u4")
     out[:-1] = ids
     out[-1] = END_ID
@@ -81,6 +84,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` + ``piece, start, length, ids_crc32`` per piece of every document."""
+    text_batches(docs.sparkSession)
     read = docs.select(*keep, F.col(text).alias("_text"))
     added = [("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")]
     schema = read.drop("_text").withColumns({n: F.lit(0).cast(t) for n, t in added}).schema
