@@ -186,6 +186,37 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", keep: tuple
     return pieces.groupBy("s", "at", *keep, "size", "source_size", "target").agg(used.cast("long").alias("taken")).drop("s", "at")
 
 
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", length: str = "n_chars", **params) -> DataFrame:
+    """The mixture itself, in the columns of ``docs``: a row per use of a document.
+
+    A use that takes the whole document keeps its text as it is; one that takes some of its blocks has the words of those
+    blocks, joined by single spaces. ``length``, if there is such a column, is set anew. Documents that the mix does not
+    use, and those without words, have no row.
+    """
+    columns = docs.columns
+    key = F.xxhash64(*[F.col(c) for c in columns])  # rows alike in every column are copies of one document
+    marked = docs.select(F.struct(*columns).alias("_row"), key.alias("_key"), F.col(text).alias("_text"), F.col(source).cast("string").alias("source"))
+    sized = marked.select("_key", "source", size_of(F.col("_text")).alias("size"))
+    pieces = mix_pieces(sized, ["_key"], [F.col("_key"), F.col("size")], **params).where("times > 0")
+    repeat = params.get("repeat", REPEAT)
+    lists = pieces.groupBy("s", "at", "_key", "size").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times", "cut"))).alias("pieces"))
+
+    def taken(use):
+        """Runs of one use; the last use of a block leaves its cut out."""
+        used = F.filter("pieces", lambda p: p["times"] >= use)
+        return F.transform(used, lambda p: F.struct(p["first"].alias("first"), (p["words"] - F.when(p["times"] == use, p["cut"]).otherwise(0)).alias("words")))
+
+    uses = lists.withColumn("use", F.explode(F.sequence(F.lit(1), F.lit(repeat)))).withColumn("runs", taken(F.col("use")))
+    uses = uses.withColumn("words", F.aggregate("runs", F.lit(0).cast("long"), lambda sum_, r: sum_ + r["words"])).where("words > 0")
+    uses = uses.select("_key", (F.col("words") == F.col("size")).alias("whole"), "runs")
+    joined = marked.select("_key", "_row", "_text").dropDuplicates(["_key"]).join(uses, "_key")
+    cut = lambda words: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int")))), " ")
+    rebuilt = F.transform(F.array(F.regexp_extract_all(F.col("_text"), F.lit(WORD), F.lit(0))), cut)[0]
+    made = joined.withColumn("_text", F.when(F.col("whole"), F.col("_text")).otherwise(rebuilt))
+    new = {text: F.col("_text"), length: F.length("_text").cast("long")}
+    return made.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"_row.{c}").alias(c) for c in columns])
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -161,14 +161,17 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, t
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = MAX_BITS, words: int = WORDS, blocks: int = BLOCKS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, keep, fp, component_id`` per row: the smallest id that links reach, itself included."""
+    """``id_col, keep, fp, component, component_id`` per row: the smallest id that links reach, itself included.
+
+    ``component`` is a fingerprint that names the group, whatever the ids are.
+    """
     marked = checkpointed(fingerprints(docs, text, (id_col, *keep), words))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min(id_col).alias("_first")))
     members = connected_components(near_links(distinct.select("fp"), max_bits, blocks))
     named = distinct.join(members, distinct["fp"] == members["node"], "left").select("fp", "_first", F.coalesce("component", "fp").alias("_component"))
     smallest = named.groupBy("_component").agg(F.min("_first").alias("component_id"))
-    lookup = named.join(smallest, "_component").select("fp", "component_id")
-    return marked.join(lookup, "fp").select(id_col, *keep, "fp", "component_id")
+    lookup = named.join(smallest, "_component").select("fp", F.col("_component").alias("component"), "component_id")
+    return marked.join(lookup, "fp").select(id_col, *keep, "fp", "component", "component_id")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
