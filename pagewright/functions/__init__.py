@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Column functions: text, urls, json-ld, cron."""

@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Plans: whole pipelines, and the tables that queries run on."""
