@@ -6,16 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.functions.text import CATEGORIES
 from pagewright.operators.audit import audit
+from pagewright.plans import checks
 from pagewright.plans.site import site
-from pagewright.plans.site_sql import audit_sql
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def _audit(category: str) -> Query:
-    return lambda spark, sf_dir: audit(site(spark, sf_dir), (category,)).select("rule_id", "affected_url", "page_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,13 +16,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(site(spark, sf_dir)).select("rule_id", "category", "severity", "title", "affected_url", "page_id", "evidence")
 
 
-QUERIES: dict[str, Query] = {f"audit_{c.lower()}": _audit(c) for c in CATEGORIES}
-ORACLES: dict[str, str] = {f"audit_{c.lower()}": audit_sql(c) for c in CATEGORIES}
-
-
-def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(checks.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(checks.ORACLES)

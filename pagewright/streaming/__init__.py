@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Crawl events: what is due, what is triggered, what is told, and the same over streams."""
