@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pagewright.session import checkpointed
 
 
+EDGES_PER_FILE = 50_000
+
+
 def _stats(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),
@@ -50,7 +53,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
             .union(lowest.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        current, before = checkpointed(small), stats
+        # few edges are kept in few files; the number follows the count of the round before
+        current, before = checkpointed(small.coalesce(max(1, -(-stats[0] // EDGES_PER_FILE)))), stats
         stats = _stats(current)
         if stats == before:
             break

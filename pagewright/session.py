@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Settings the operators rely on; everything else is left to the cluster.
 REQUIRED = {
@@ -60,3 +61,8 @@ def text_batches(spark: SparkSession, rows: int = 500) -> None:
     be hundreds of kilobytes long.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def nullable(schema: T.StructType) -> T.StructType:
+    """``schema`` with every column nullable: what a Python function may return."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
