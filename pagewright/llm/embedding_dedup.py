@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.forest import hook, run_bounds, sorted_runs
 from pagewright.llm.vectors import matrix, packed
 from pagewright.operators.components import connected_components
-from pagewright.session import checkpointed
+from pagewright.session import checkpointed, nullable
 
 THRESHOLD = 0.9
 PCA_ROWS = 32_768
@@ -123,7 +123,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
                 cell[at] = code
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
 
-    schema = distinct.withColumn("cell", F.lit(0).cast("long")).schema
+    schema = nullable(distinct.withColumn("cell", F.lit(0).cast("long")).schema)
     placed = checkpointed(distinct.mapInArrow(place, schema))
     counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # cells are few by construction
     tiles = {c: -(-n // tile) for c, n in counts.items()}

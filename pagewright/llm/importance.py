@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators.ranking import range_index
-from pagewright.session import checkpointed, text_batches
+from pagewright.session import checkpointed, nullable, text_batches
 
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
@@ -108,7 +108,7 @@ def resample(docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: s
     raw, good = count_buckets(marked, "_text", "_good", buckets)
     shared = spark.sparkContext.broadcast(log_ratios(raw, good))
     read = docs.select(id_col, F.col(text).alias("_text"))
-    schema = read.drop("_text").withColumns({"n_grams": F.lit(0).cast("long"), "log_weight": F.lit(0.0)}).schema
+    schema = nullable(read.drop("_text").withColumns({"n_grams": F.lit(0).cast("long"), "log_weight": F.lit(0.0)}).schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value

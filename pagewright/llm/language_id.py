@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.session import text_batches
+from pagewright.session import nullable, text_batches
 
 UND = "und"
 SAMPLE, LANDMARKS, LANGUAGES = 240, 40, 64
@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
     text_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # size fixed by the sample
     read = docs.select(*keep, F.col(text).alias("_text"))
-    schema = read.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = nullable(read.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value

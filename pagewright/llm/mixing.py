@@ -180,10 +180,11 @@ def mix_pieces(docs: DataFrame, keep: list[str], order: list[Column], block: int
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",), **params) -> DataFrame:
     """One row per document: ``keep`` + ``size, source_size, target, taken``."""
-    sized = docs.select(*keep, F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"))
-    pieces = mix_pieces(sized, list(keep), [*[F.col(c) for c in keep], F.col("size")], **params)
+    sized = docs.select(F.struct(*keep).alias("_keep"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"))
+    pieces = mix_pieces(sized, ["_keep"], [F.col("_keep"), F.col("size")], **params)
     used = F.sum(F.coalesce(F.col("words") * F.col("times") - F.col("cut"), F.lit(0)))
-    return pieces.groupBy("s", "at", *keep, "size", "source_size", "target").agg(used.cast("long").alias("taken")).drop("s", "at")
+    mixed = pieces.groupBy("s", "at", "_keep", "size", "source_size", "target").agg(used.cast("long").alias("taken"))
+    return mixed.select("_keep.*", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", length: str = "n_chars", **params) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators.ranking import salted_index
-from pagewright.session import checkpointed, text_batches
+from pagewright.session import checkpointed, nullable, text_batches
 
 CAPACITY = 2048
 ROUNDS = 500
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     text_batches(docs.sparkSession)
     read = docs.select(*keep, F.col(text).alias("_text"))
     added = [("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")]
-    schema = read.drop("_text").withColumns({n: F.lit(0).cast(t) for n, t in added}).schema
+    schema = nullable(read.drop("_text").withColumns({n: F.lit(0).cast(t) for n, t in added}).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +206,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Dat
     plan = plan_table(plan_fills(histogram, capacity, rounds))
     order = [F.col(c) for c in made.columns if c != "length"]
     indexed = salted_index(made, "length", order, "_place")
-    schema = indexed.drop("_place").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    schema = nullable(indexed.drop("_place").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema)
     shared = spark.sparkContext.broadcast(plan)
     wide = 1 << 40  # places of one length
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.session import text_batches
+from pagewright.session import nullable, text_batches
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = KINDS[:3]
@@ -129,7 +129,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     text_batches(docs.sparkSession)
     read = docs.select(*keep, F.col(text).alias("_text"))
     schema = read.drop("_text").withColumn("spans", F.lit(None).cast(SPANS))
-    schema = (schema.withColumn("safe_text", F.lit("")) if redact else schema).schema
+    schema = nullable((schema.withColumn("safe_text", F.lit("")) if redact else schema).schema)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.forest import hook, run_bounds, sorted_runs
 from pagewright.operators.components import connected_components
-from pagewright.session import checkpointed, text_batches
+from pagewright.session import checkpointed, nullable, text_batches
 
 WORDS = 4
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     """``keep`` + ``fp`` (the fingerprint as a signed long) per row."""
     text_batches(docs.sparkSession)
     read = docs.select(*keep, F.col(text).alias("_text"))
-    schema = read.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
+    schema = nullable(read.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

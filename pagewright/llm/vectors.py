@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.session import nullable
+
 
 def packed(rows: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, str]:
     """``(id_col, dim, vec)`` per row and the numpy type of ``vec``.
@@ -19,7 +21,7 @@ def packed(rows: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, str]:
     element = rows.schema[vector].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
     read = rows.select(F.col(id_col), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>").alias("_vector"))
-    schema = read.select(id_col, F.lit(0).cast("int").alias("dim"), F.lit(b"").alias("vec")).schema
+    schema = nullable(read.select(id_col, F.lit(0).cast("int").alias("dim"), F.lit(b"").alias("vec")).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
