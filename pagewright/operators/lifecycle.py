@@ -119,7 +119,7 @@ def health_score(issues: DataFrame, pages: DataFrame) -> DataFrame:
         F.min_by("severity", "issue_id").alias("severity"), F.count_distinct(F.coalesce("affected_url", F.lit(""))).alias("urls"), F.count(F.lit(1)).alias("issues")
     )
     weight = F.coalesce(*[F.when(F.col("severity") == k, F.lit(v)) for k, v in WEIGHTS.items()], F.lit(UNKNOWN_WEIGHT))
-    cost = weight * F.least(F.lit(1.0), F.col("urls") / F.col("total_pages"))
+    cost = weight * F.least(F.lit(1.0), F.try_divide("urls", "total_pages"))
     summed = per_rule.join(F.broadcast(total)).agg(F.sum(cost).alias("cost"), F.sum("issues").alias("active_issues"))
     raw = rounded(100 - F.col("cost"), 1)
     score = F.when((F.col("total_pages") == 0) | (F.coalesce("active_issues", F.lit(0)) == 0), 100.0).when(raw >= 100, 99.9).otherwise(F.greatest(F.lit(0.0), raw))
