@@ -38,12 +38,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     for _ in range(max_rounds):
         if stats[0] == 0:
             break
-        both = current.select(F.col("hi").alias("x"), F.col("lo").alias("y")).union(
-            current.select(F.col("lo").alias("x"), F.col("hi").alias("y"))
-        )
-        nearest = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        # large star: larger neighbours move under the smallest member of the neighbourhood
-        large = both.where(F.col("y") > F.col("x")).join(nearest, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct()
+        # large star: a node moves under the smallest neighbour of its smaller neighbour
+        below = current.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
+        large = current.join(below, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
         # small star: smaller neighbours, and the node itself, move under the smallest one
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (

@@ -679,3 +679,296 @@ def upserted_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Re-exported so that tests can build urls of the synthetic site in both engines.
 SITE_URL = (url_of, sql_url_of, norm)
+
+
+# --- reports, listings and state changes ---------------------------------------------------------------------------
+
+
+@query(
+    "issue_linked_from",
+    f"""WITH RECURSIVE {_AUDIT_CTE}, src AS (SELECT target, array_to_string(list_sort(list(DISTINCT url)), '|') AS linked_from FROM lt GROUP BY target)
+SELECT rule_id, a.url AS affected_url, coalesce(linked_from, '') AS linked_from FROM a JOIN k ON k.p = a.p LEFT JOIN src ON src.target = k.norm_url WHERE category = 'CRAWLABILITY'""",
+)
+def issue_linked_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, issues = audit_issues(spark, sf_dir)
+    found = lifecycle.linked_from(lifecycle.select_issues(issues, category="CRAWLABILITY", status="ALL"), pages, internal_only=True)
+    return found.select("rule_id", "affected_url", F.array_join("linked_from", "|").alias("linked_from"))
+
+
+@query(
+    "issue_report",
+    f"""WITH RECURSIVE {_AUDIT_CTE} SELECT rule_id, min_by(severity, rule_id || ':' || lpad(page_id, 9, '0')) AS severity, count(*) AS instances, array_to_string(list_sort(list(url)), '|') AS urls
+FROM a WHERE p % 10 <> 0 AND severity IN ('HIGH', 'CRITICAL') GROUP BY rule_id""",
+)
+def issue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lifecycle.select_issues(audit_issues(spark, sf_dir)[1], severities="high,critical")
+    return lifecycle.grouped_for_report(kept).select("rule_id", "severity", "instances", F.array_join("urls", "|").alias("urls"))
+
+
+@query("category_severity", f"WITH RECURSIVE {_AUDIT_CTE} SELECT category || ':' || severity AS key, count(*) AS n FROM a GROUP BY 1")
+def category_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.category_severity(audit_issues(spark, sf_dir)[1])
+
+
+@query(
+    "issue_list_tool",
+    f"""WITH RECURSIVE {_AUDIT_CTE} SELECT rule_id, severity, url AS affected_url FROM a WHERE p % 10 <> 0 AND severity = 'HIGH' AND contains(lower(rule_id), 'lnk') AND contains(lower(url), '/s2') ORDER BY url, rule_id || ':' || lpad(page_id, 9, '0') LIMIT 40""",
+)
+def issue_list_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reads.list_issues(audit_issues(spark, sf_dir)[1], severity="high", rule="LNK", url="/S2", limit=40)
+    return found.select("rule_id", "severity", "affected_url")
+
+
+@query(
+    "whitelisted_issues",
+    f"""WITH RECURSIVE {_AUDIT_CTE}, w AS (SELECT *, rule_id || ':' || lpad(page_id, 9, '0') AS issue_id, CASE WHEN p % 10 = 0 THEN 'WHITELISTED' ELSE 'ACTIVE' END AS status FROM a WHERE category = 'SECURITY')
+SELECT issue_id, CASE WHEN (rule_id = 'SEC-001' AND status = 'ACTIVE') OR issue_id = 'SEC-008:000000006' THEN 'WHITELISTED' ELSE status END AS status,
+  CASE WHEN issue_id = 'SEC-008:000000006' THEN 'known' WHEN rule_id = 'SEC-001' AND status = 'ACTIVE' THEN 'legacy' END AS whitelist_reason FROM w""",
+)
+def whitelisted_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = audit_issues(spark, sf_dir)[1].where("category = 'SECURITY'").withColumn("whitelist_reason", F.lit(None).cast("string"))
+    entries = spark.createDataFrame([("SINGLE", "SEC-008:000000006", None, "known"), ("RULE", None, "SEC-001", "legacy")], "scope string, issue_id string, rule_id string, reason string")
+    return lifecycle.whitelist(issues, entries).select("issue_id", "status", "whitelist_reason")
+
+
+@query("audit_input", "SELECT page_id FROM pages WHERE page_id % 3 = 1")
+def audit_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    bridge = pages.select(F.when(F.col("page_id") % 3 == 1, "c1").otherwise("c2").alias("crawl_id"), "page_id")
+    return lifecycle.audit_input(pages, bridge, "c1")
+
+
+@query(
+    "first_detected",
+    """SELECT n_regionkey::VARCHAR AS rule_id, (n_nationkey % 2)::VARCHAR AS affected_url, min_by(n_name, n_nationkey) AS evidence FROM nation GROUP BY 1, 2""",
+)
+def first_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: c.cast("string")
+    found = table(spark, sf_dir, "nation").select(text(F.col("n_regionkey")).alias("rule_id"), text(F.col("n_nationkey") % 2).alias("affected_url"), F.col("n_name").alias("evidence"), F.col("n_nationkey").alias("page_order"), F.lit(1).alias("rule_order"))
+    return lifecycle.first_detected(found).select("rule_id", "affected_url", "evidence")
+
+
+@query(
+    "coverage_findings",
+    f"""WITH {SITE}, c AS (SELECT DISTINCT norm_url AS url FROM k WHERE p % 2 = 0), m AS (SELECT DISTINCT norm_url AS url FROM k WHERE p % 3 = 0),
+xc AS (SELECT url, 'CRW-SITEMAP-002' AS rule_id FROM c WHERE url NOT IN (SELECT url FROM m) UNION ALL SELECT url, 'CRW-SITEMAP-003' FROM m WHERE url NOT IN (SELECT url FROM c))
+SELECT rule_id, 'MEDIUM' AS severity, count(*) AS n, min(url) AS first FROM xc GROUP BY rule_id""",
+)
+def coverage_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diff.coverage_issues(sitemap_coverage(spark, sf_dir), "https://ex.test")
+    return found.select("rule_id", "severity", F.get_json_object("evidence", "$.n").cast("long").alias("n"), F.get_json_object("evidence", "$.examples[0]").alias("first"))
+
+
+@query(
+    "crawl_diagnostics",
+    f"""WITH {_DIFF_CTE} SELECT count(*) FILTER (WHERE change = 'new') AS n_new, count(*) FILTER (WHERE change = 'removed') AS n_removed, count(*) FILTER (WHERE change = 'changed') AS n_changed,
+  min(url) FILTER (WHERE change = 'new') AS first_new FROM d""",
+)
+def crawl_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = diff.diagnostics(snapshots(spark, sf_dir), sitemap_coverage(spark, sf_dir), most=10)
+    return row.select(F.col("new").alias("n_new"), F.col("removed").alias("n_removed"), F.col("changed").alias("n_changed"), F.try_element_at("new_urls", F.lit(1)).alias("first_new"))
+
+
+@query(
+    "graph_change_flags",
+    f"""WITH {SITE} SELECT page_id, p % 4 = 0 AS is_new, p % 6 = 1 AS is_removed FROM k""",
+)
+def graph_change_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = site(spark, sf_dir).select("page_id", "url", F.lit(True).alias("is_new"), F.lit(True).alias("is_removed"))
+    return diff.graph_flags(node, node.where(_p() % 4 == 0).select("url"), node.where(_p() % 6 == 1).select("url")).select("page_id", "is_new", "is_removed")
+
+
+@query("content_hashes", f"WITH {SITE} SELECT count(*) AS pages, count(DISTINCT p) AS hashes FROM k")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = site(spark, sf_dir).withColumn("title", F.concat_ws(" ", F.coalesce("title", F.lit("")), "page_id"))
+    return pages.select(diff.content_hash().alias("h")).agg(F.count("h").alias("pages"), F.count_distinct("h").alias("hashes"))
+
+
+@query(
+    "external_link_status",
+    f"""WITH {SITE}, q AS (SELECT DISTINCT scheme || '://x' || j || '.test/' AS href, j FROM x) SELECT x.p::VARCHAR AS page_id, count(*) AS links, count(*) FILTER (WHERE x.j % 4 = 1) AS broken FROM x GROUP BY x.p""",
+)
+def external_link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = site(spark, sf_dir)
+    number = F.regexp_extract("href", r"x(\d+)\.test", 1).cast("int")
+    none = F.lit(None)
+    status = frontier.outgoing(pages, 100_000).select("href", F.when(number % 4 == 1, 404).otherwise(200).alias("status_code"), (number % 4 == 1).alias("is_broken"), none.cast("array<string>").alias("redirect_chain"), none.cast("string").alias("error"))
+    probed = frontier.with_link_status(pages.where(F.size("external_links") > 0), status)
+    return probed.select("page_id", F.size("external_links").cast("long").alias("links"), F.size(F.filter("external_links", lambda x: x["is_broken"])).cast("long").alias("broken"))
+
+
+@query(
+    "crawl_seeds",
+    f"""WITH {SITE}, c AS (SELECT DISTINCT regexp_replace(url, '^(https?://)www\\.', '\\1') AS url, 1 AS o FROM k WHERE p % 3 = 0 UNION SELECT 'https://ex.test/', 0) SELECT url FROM c ORDER BY o, url LIMIT 30""",
+)
+def crawl_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = site(spark, sf_dir).where(_p() % 3 == 0).select("url")
+    return frontier.seeds("https://www.ex.test/#top", listed, "ex.test", 30)
+
+
+@query(
+    "stored_links",
+    """SELECT n_nationkey, (CASE n_nationkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END)::INT AS links, CASE n_nationkey % 3 WHEN 0 THEN '/' || n_name WHEN 1 THEN '/a' END AS first FROM nation""",
+)
+def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    text = F.when(key % 3 == 0, F.to_json(F.array(F.struct(F.concat(F.lit("/"), "n_name").alias("href"), F.lit("t").alias("text"))))).when(key % 3 == 1, '["/a","",{"href":"/b"},{"href":" "}]')
+    read = graph.stored_links(table(spark, sf_dir, "nation").withColumn("links", text))
+    return read.select("n_nationkey", F.size("links").alias("links"), F.try_element_at("links", F.lit(1))["href"].alias("first"))
+
+
+@query("graph_group_names", f"WITH {_GRAPH_CTE} SELECT DISTINCT grp FROM nd")
+def graph_group_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.groups(_graph(spark, sf_dir)[2])
+
+
+@query(
+    "path_clusters",
+    f"""WITH {_TOPIC_CTE}, nd AS (SELECT k.*, string_split(regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/]+([^?]*)', 1), '^/', ''), '/$', ''), '/') AS sg, len(list_filter(string_split(url, '/'), lambda x: x <> '')) - 2 AS depth FROM k),
+ki AS (SELECT *, '/' || sg[1] || '/' || sg[2] AS id FROM nd)
+SELECT id, count(*) AS size, floor(avg(depth) * 10 + 0.5) / 10 AS avg_depth, sum(p % 6)::BIGINT AS total_issues FROM ki GROUP BY id HAVING count(*) >= 2""",
+)
+def path_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node, scores, _ = _topics(spark, sf_dir)
+    none = spark.createDataFrame([], "ix long, number int")
+    return semantic.path_clusters(node, semantic.term_scores(node, scores), none).select("id", "size", "avg_depth", "total_issues")
+
+
+@query("keyword_pages", f"WITH {_KEYWORD_CTE} SELECT DISTINCT p::VARCHAR AS page_id FROM ks WHERE keyword = (SELECT min(keyword) FROM ks)")
+def keyword_pages_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = checkpointed(keywords.keyword_table(keyword_pages(spark, sf_dir)))
+    return keywords.pages_with(stored, stored.agg(F.min("keyword")).first()[0])
+
+
+@query(
+    "keyword_lines",
+    f"""WITH {_KEYWORD_CTE}, b AS (SELECT p, string_agg(keyword, '; ' ORDER BY score DESC, keyword) AS words, max(score) AS top FROM ks GROUP BY p)
+SELECT url || ',' || coalesce(title, '') || ',' || coalesce(b.words, '') || ',' || printf('%.2f', coalesce(top, 0)) AS line FROM k LEFT JOIN b USING (p)""",
+)
+def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = keyword_pages(spark, sf_dir)
+    return sinks.keyword_lines(pages, checkpointed(keywords.keyword_table(pages)))
+
+
+@query("replaced_keywords", f"WITH {_KEYWORD_CTE} SELECT p::VARCHAR AS page_id, keyword, CASE WHEN p % 2 = 0 THEN 1.0 ELSE score END AS score FROM ks")
+def replaced_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = checkpointed(keywords.keyword_table(keyword_pages(spark, sf_dir)).select("page_id", "keyword", "score"))
+    return keywords.replace_keywords(stored, stored.where(_p() % 2 == 0).withColumn("score", F.lit(1.0)))
+
+
+@query("portfolio", "SELECT count(*)::BIGINT AS pages, sum(c_nationkey)::BIGINT AS issues, floor(avg(c_acctbal) + 0.5) AS score FROM customer")
+def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    projects = table(spark, sf_dir, "customer").select(F.lit(1).alias("total_pages"), F.col("c_nationkey").alias("total_issues"), F.col("c_acctbal").alias("health_score"))
+    return metrics.portfolio(projects).withColumn("score", F.col("score").cast("double"))
+
+
+@query("relation_counts", "SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM events WHERE event_id % 7 <> 0) AS issues, (SELECT count(*) FROM nation) AS agents")
+def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.relation_counts(table(spark, sf_dir, "pages"), event_issues(spark, sf_dir), table(spark, sf_dir, "nation"))
+
+
+@query(
+    "crawl_history",
+    """WITH c AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20) SELECT o_orderkey AS crawl_id FROM c WHERE o_orderstatus = 'F'""",
+)
+def crawl_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("crawl_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("FAILED").alias("status"))
+    return metrics.crawl_history(crawls).select("crawl_id")
+
+
+@query(
+    "health_trend",
+    """WITH d AS (SELECT unnest(generate_series(DATE '2024-01-14', DATE '2024-01-20', INTERVAL 1 DAY))::DATE AS day), e AS (SELECT ts::DATE AS day, avg(value) AS score FROM events WHERE event_id % 3 = 0 AND event_id % 4 > 0 GROUP BY 1)
+SELECT d.day, floor(score * 10 + 0.5) / 10 AS score FROM d LEFT JOIN e ON e.day = d.day""",
+)
+def health_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    e = F.col("event_id")
+    noted = F.when(e % 4 > 0, F.to_json(F.struct(F.struct(F.col("value").alias("healthScore")).alias("postProcessing")))).otherwise('{"postProcessing":{"healthScore":"n/a"}}')
+    crawls = table(spark, sf_dir, "events").select(F.when(e % 3 == 0, "COMPLETED").otherwise("RUNNING").alias("status"), F.col("ts").alias("completed_at"), noted.alias("diff"))
+    return metrics.health_trend(crawls, F.lit("2024-01-20").cast("date"))
+
+
+@query("qualification_delta", "SELECT 80.0 - coalesce((SELECT max_by(o_totalprice, o_orderkey) FROM orders WHERE o_orderstatus = 'F'), 70.0) AS delta")
+def qualification_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("health_score"), F.col("o_orderkey").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("FAILED").alias("status"))
+    return spark.range(1).select(metrics.qualification_delta(runs, F.lit(80.0), F.lit(70.0)).alias("delta"))
+
+
+@query("delta_summary", ORACLES["crawl_delta"].replace("SELECT * FROM x", "SELECT count(*) FILTER (WHERE delta = 'new') AS new, count(*) FILTER (WHERE delta = 'resolved') AS resolved, count(*) FILTER (WHERE delta = 'persisted') AS persisted FROM x"))
+def delta_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crawl_delta(spark, sf_dir)
+    return found.agg(*[F.count_if(F.col("delta") == k).alias(k) for k in ("new", "resolved", "persisted")])
+
+
+@query("page_search", f"WITH {SITE} SELECT page_id, url FROM k WHERE contains(lower(url), 'oops') OR contains(lower(coalesce(title, '')), 'oops') ORDER BY url, page_id LIMIT 50")
+def page_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.search_pages(site(spark, sf_dir), "OOPS").select("page_id", "url")
+
+
+@query("pages_asked_for", f"WITH {SITE} SELECT page_id FROM k WHERE url IN ('https://ex.test/s1/p1', 'https://ex.test/s2/p2')")
+def pages_asked_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.pages_by_url(site(spark, sf_dir), ["https://ex.test/s1/p1 ", "https://ex.test/s1/p1", "", "https://ex.test/s2/p2", "https://ex.test/none"]).select("page_id")
+
+
+@query(
+    "context_pages",
+    f"""WITH {_DIFF_CTE}, c1 AS (SELECT url, min(CASE change WHEN 'new' THEN 0 WHEN 'removed' THEN 1 ELSE 2 END) AS pr FROM d WHERE change <> 'kept' GROUP BY url)
+SELECT k.page_id FROM k LEFT JOIN c1 ON c1.url = k.url ORDER BY coalesce(pr, 3), k.url, k.page_id LIMIT 60""",
+)
+def context_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = checkpointed(snapshots(spark, sf_dir))
+    kind = lambda k: changes.where(F.col("change") == k).select("url")
+    return reads.context_pages(site(spark, sf_dir), kind("new"), kind("removed"), kind("changed"), 60).select("page_id")
+
+
+@query(
+    "answer_findings",
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 1 THEN 'recommendation' ELSE 'observation' END AS type, CASE WHEN n_nationkey % 4 = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, n_name AS title FROM nation WHERE n_nationkey % 4 IN (1, 2)""",
+)
+def answer_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    body = F.to_json(F.struct(F.col("n_name").alias("title"), F.lit("d").alias("description"), F.when(key % 4 == 1, "Recommendation").alias("type"), F.when(key % 4 == 1, "high").alias("severity")))
+    answer = F.when(key % 4 == 1, F.concat(F.lit("Here:\n```json\n["), body, F.lit("]\n```"))).when(key % 4 == 2, F.concat(F.lit("so "), body, F.lit(" ok"))).when(key % 4 == 3, "none")
+    return reads.findings(table(spark, sf_dir, "nation").select("n_nationkey", answer.alias("text"))).select("n_nationkey", "type", "severity", "title")
+
+
+@query(
+    "evidence_values",
+    """SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS line FROM events WHERE json_extract(props, '$.k') IS NOT NULL""",
+)
+def evidence_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(metrics.evidence_lines("props")).alias("line"))
+    return rows.where(F.col("line").startswith("k: "))
+
+
+@query(
+    "routed_events",
+    """SELECT event_id, n_nationkey FROM events JOIN nation ON user_id % 25 = n_nationkey WHERE n_nationkey % 5 > 0 AND (n_nationkey % 3 = 0 OR (n_nationkey % 3 = 1 AND event_type = 'click'))""",
+)
+def routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    wanted = F.when(key % 3 == 0, F.array().cast("array<string>")).when(key % 3 == 1, F.array(F.lit("click"))).otherwise(F.array(F.lit("never")))
+    hooks = table(spark, sf_dir, "nation").select(key.alias("project_id"), "n_nationkey", F.when(key % 5 > 0, "https://hook").alias("webhook_url"), wanted.alias("webhook_events"))
+    happened = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25).cast("int").alias("project_id"), F.col("event_type").alias("event"))
+    return events.routed(happened, hooks).select("event_id", "n_nationkey")
+
+
+@query(
+    "unprocessed_crawls",
+    """SELECT o_orderkey AS crawl_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0""",
+)
+def unprocessed_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("crawl_id"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").alias("status"))
+    return events.unprocessed(crawls, crawls.where("crawl_id % 3 = 0")).select("crawl_id")
+
+
+@query(
+    "notifications",
+    """SELECT n_name, CASE n_nationkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'INFO' ELSE 'LOW' END AS severity FROM nation WHERE n_nationkey % 4 > 0""",
+)
+def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    kind = F.when(key % 4 == 0, "SOMETHING_ELSE").when(key % 3 == 0, "CRAWL_FAILED").when(key % 3 == 1, "NEW_PAGE").otherwise("NEW_ISSUE")
+    happened = table(spark, sf_dir, "nation").select(F.lit("u").alias("user_id"), F.lit("p").alias("project_id"), kind.alias("type"), F.lit("Site").alias("project_name"), F.when(key % 3 == 2, "LOW").alias("severity"), F.col("n_name").alias("subject"))
+    return events.notifications(happened).select(F.col("body").alias("n_name"), "severity")
