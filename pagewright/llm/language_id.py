@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.batches import with_text
 from pagewright.session import nullable, text_batches
 
 UND = "und"
@@ -146,13 +147,12 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # size fixed by the sample
-    read = docs.select(*keep, F.col(text).alias("_text"))
-    schema = nullable(read.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    read, at = with_text(docs, text, keep)
+    schema = nullable(read.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
             names, scores = [UND] * batch.num_rows, np.zeros(batch.num_rows)
             texts = batch.column(at).to_pylist()
             known = [i for i, t in enumerate(texts) if fitted and t and LETTER.search(t)]
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
                 for i, name in zip(part, found):
                     names[i] = name
                 scores[part] = score
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
+            columns = batch.columns[: len(keep)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names), pa.array(scores)], names=schema.names)
 
     return read.mapInArrow(run, schema)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.batches import with_text
 from pagewright.session import nullable, text_batches
 
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -127,14 +128,13 @@ SPANS = "array<struct<start: int, end: int, kind: string>>"
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: bool = False) -> DataFrame:
     """``keep`` + ``spans`` per row; with ``redact``, ``safe_text`` too."""
     text_batches(docs.sparkSession)
-    read = docs.select(*keep, F.col(text).alias("_text"))
-    schema = read.drop("_text").withColumn("spans", F.lit(None).cast(SPANS))
+    read, at = with_text(docs, text, keep)
+    schema = read.select(*keep).withColumn("spans", F.lit(None).cast(SPANS))
     schema = nullable((schema.withColumn("safe_text", F.lit("")) if redact else schema).schema)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
             spans, safe = [], []
             for value in batch.column(at):
                 value = value.as_py()
@@ -142,7 +142,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                 spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
                 if redact:
                     safe.append(redacted(value, found))
-            columns = [*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(spans, kind)]
+            columns = [*batch.columns[: len(keep)], pa.array(spans, kind)]
             if redact:
                 columns.append(pa.array(safe, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
