@@ -71,10 +71,23 @@ def top_terms(vector: DataFrame, n: int = TOP_TERMS) -> DataFrame:
 
 
 def similarities(vector: DataFrame) -> DataFrame:
-    """``a, b, sim`` for both directions of every pair of pages with a common term and a cosine of at least 0.12."""
-    left = vector.select(F.col("ix").alias("a"), "term", (F.col("weight") / F.col("norm")).alias("wa"))
-    right = vector.select(F.col("ix").alias("b"), "term", (F.col("weight") / F.col("norm")).alias("wb"))
-    halves = left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")).where(F.col("sim") >= LEAST_SIMILARITY)
+    """``a, b, sim`` for both directions of every pair of pages with a cosine of at least 0.12.
+
+    Candidates come from a prefix filter, which loses no pair: terms are ordered from rare to common, and a page offers
+    only those before which what is left of its vector is still 0.12 long. Two pages whose first common term is not
+    offered by both cannot reach 0.12, so terms on very many pages rarely meet each other. Candidates are scored on the
+    whole vectors, at most ``TERMS`` terms each.
+    """
+    df = vector.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    unit = vector.join(df, "term").select("ix", "term", "df", (F.col("weight") / F.col("norm")).alias("w"))
+    onward = Window.partitionBy("ix").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    offered = unit.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward))).where(F.col("rest") >= LEAST_SIMILARITY - 1e-9)
+    left, right = offered.select(F.col("ix").alias("a"), "term"), offered.select(F.col("ix").alias("b"), "term")
+    candidates = left.join(right, "term").where("a < b").select("a", "b").distinct()
+    whole = unit.groupBy("ix").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
+    va, vb = whole.select(F.col("ix").alias("a"), F.col("v").alias("va")), whole.select(F.col("ix").alias("b"), F.col("v").alias("vb"))
+    common = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda total, e: total + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
+    halves = candidates.join(va, "a").join(vb, "b").select("a", "b", common.alias("sim")).where(F.col("sim") >= LEAST_SIMILARITY)
     return halves.union(halves.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
