@@ -5,9 +5,10 @@ of the landmark texts: a blended-spectrum presence kernel, scaled to 1 for a tex
 per language (Nyström); one ridge regression per language on the kernel values against the landmarks gives its weights.
 Scoring is two matrix products per batch: presence rows times landmark n-grams, times weights.
 
-Learning reads at most ``SAMPLE`` labelled texts per language, ``LANDMARKS`` of them landmarks, for the ``LANGUAGES``
-most frequent languages. Texts are taken by hash, whole, and leave the executors as sets of n-grams. Prediction reads
-every text whole, and nothing but the text.
+Learning reads at most ``SAMPLE`` labelled texts in all, shared evenly by the ``LANGUAGES`` most frequent languages;
+``LANDMARKS`` of them in all are landmarks, and of their n-grams the ``GRAMS`` that most landmarks hold are used. Texts
+are taken by hash, whole, and leave the executors as sets of n-grams. Prediction reads every text whole, and nothing but
+the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is everything if nothing could be
 learned; ties go to the language first in code-point order; repeated rows each get their own row; a null id is never
@@ -29,7 +30,7 @@ from pagewright.llm.batches import with_text
 from pagewright.session import nullable, text_batches
 
 UND = "und"
-SAMPLE, LANDMARKS, LANGUAGES = 240, 40, 64
+SAMPLE, LANDMARKS, LANGUAGES, GRAMS = 960, 160, 64, 1 << 17
 RIDGE = 1e-2
 SLOT_BITS = 21
 LETTER = regex.compile(r"\p{L}")
@@ -86,8 +87,10 @@ def fit_sets(samples: list[tuple[str, np.ndarray]]) -> Model | None:
     if not languages:
         return None
     by = {language: [s for name, s in samples if name == language] for language in languages}
-    chosen = [s for language in languages for s in by[language][:LANDMARKS]]
-    codes = np.unique(np.concatenate(chosen))
+    chosen = [s for language in languages for s in by[language][: max(2, LANDMARKS // len(languages))]]
+    codes, held = np.unique(np.concatenate(chosen), return_counts=True)
+    if len(codes) > GRAMS:
+        codes = np.sort(codes[np.lexsort((codes, -held))[:GRAMS]])
     table = np.full(1 << SLOT_BITS, -1, np.int32)
     table[_slots(codes)] = np.arange(len(codes), dtype=np.int32)  # of colliding n-grams the last keeps the slot
     kept = table[_slots(codes)] == np.arange(len(codes))
@@ -122,8 +125,9 @@ def fit(labelled: DataFrame, text: str, label: str, key: Column) -> Model | None
     counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()
     if not counts:
         return None
-    # keep a share that gives about 1.5 x SAMPLE texts of each language, then cut to SAMPLE in order of the hash
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r[label], min(1.0, 1.5 * SAMPLE / r["count"]))])
+    # draw about half as many again as are used of each language, then cut in order of the hash
+    most = max(2, SAMPLE // len(counts))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r[label], min(1.0, 1.5 * most / r["count"]))])
     drawn = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
     taken = labelled.select(F.col(label).alias("language"), F.col(text).alias("text"), key.alias("key")).where(drawn < F.try_element_at(share, F.col(label)))
 
@@ -132,12 +136,12 @@ def fit(labelled: DataFrame, text: str, label: str, key: Column) -> Model | None
             found = [np.unique(grams(t.as_py())).astype(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["language", "key", "codes"])
 
-    rows = taken.mapInArrow(sets, "language string, key long, codes array<long>").limit(3 * SAMPLE * LANGUAGES).collect()
+    rows = taken.mapInArrow(sets, "language string, key long, codes array<long>").limit(3 * SAMPLE).collect()
     rows.sort(key=lambda r: (r["language"], r["key"]))
     samples, seen = [], {}
     for r in rows:
         seen[r["language"]] = seen.get(r["language"], 0) + 1
-        if seen[r["language"]] <= SAMPLE and r["codes"]:
+        if seen[r["language"]] <= most and r["codes"]:
             samples.append((r["language"], np.array(r["codes"], np.int64).astype(np.uint64)))
     return fit_sets(samples)
 
