@@ -972,3 +972,104 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(key % 4 == 0, "SOMETHING_ELSE").when(key % 3 == 0, "CRAWL_FAILED").when(key % 3 == 1, "NEW_PAGE").otherwise("NEW_ISSUE")
     happened = table(spark, sf_dir, "nation").select(F.lit("u").alias("user_id"), F.lit("p").alias("project_id"), kind.alias("type"), F.lit("Site").alias("project_name"), F.when(key % 3 == 2, "LOW").alias("severity"), F.col("n_name").alias("subject"))
     return events.notifications(happened).select(F.col("body").alias("n_name"), "severity")
+
+
+@query(
+    "due_projects",
+    """WITH c AS (SELECT o_custkey AS project_id, max(o_orderdate) AS last_run, bool_or(o_orderstatus = 'O') AS busy FROM orders GROUP BY 1), n AS (SELECT max(o_orderdate) AS t FROM orders),
+s AS (SELECT c_custkey AS project_id, CASE WHEN c_custkey % 3 = 0 THEN date_trunc('day', t) + INTERVAL 6 HOUR - CASE WHEN date_trunc('day', t) + INTERVAL 6 HOUR >= t THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END END AS slot FROM customer, n)
+SELECT s.project_id, strftime(slot, '%Y%m%d%H%M') AS slot FROM s LEFT JOIN c USING (project_id) WHERE slot IS NOT NULL AND (last_run IS NULL OR slot > last_run) AND NOT coalesce(busy, false)""",
+)
+def due_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    orders = table(spark, sf_dir, "orders")
+    crawls = orders.select(F.col("o_custkey").alias("project_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("COMPLETED").alias("status"))
+    now = F.lit(orders.agg(F.max("o_orderdate")).first()[0]).cast("timestamp")
+    projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), F.when(F.col("c_custkey") % 3 == 0, "0 6 * * *").otherwise("manual").alias("crawl_schedule"), F.lit("1990-01-01").cast("timestamp").alias("created_at"))
+    return events.due_projects(projects, crawls, now).select("project_id", F.date_format("slot", "yyyyMMddHHmm").alias("slot"))
+
+
+@query(
+    "retry_waits",
+    """SELECT n_nationkey, CASE WHEN n_nationkey BETWEEN 1 AND 3 THEN 4.0 ** (n_nationkey - 1) END AS webhook, CASE WHEN n_nationkey BETWEEN 1 AND 3 THEN 5.0 * 2 ** (n_nationkey - 1) END AS job,
+CASE WHEN n_nationkey BETWEEN 1 AND 5 THEN n_nationkey::DOUBLE END AS database FROM nation WHERE n_nationkey > 0""",
+)
+def retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attempt = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").where("n_nationkey > 0").select("n_nationkey", *[events.backoff(kind, attempt).alias(kind) for kind in events.ATTEMPTS])
+
+
+@query("stale_jobs", "SELECT event_id FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-15' - INTERVAL 5 MINUTE")
+def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    jobs = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", "ACTIVE").otherwise("DONE").alias("status"), F.col("ts").alias("started_at"))
+    return events.stale_jobs(jobs, F.lit("2024-01-15").cast("timestamp")).select("event_id")
+
+
+@query(
+    "worst_findings",
+    f"""WITH {_EVENT_CTE} SELECT user_id, CASE max(CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 ELSE 1 END) WHEN 5 THEN 'CRITICAL' WHEN 4 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'INFO' END AS severity
+FROM i WHERE event_id % 11 = 0 GROUP BY user_id""",
+)
+def worst_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = event_issues(spark, sf_dir).where("event_id % 11 = 0").withColumnRenamed("user_id", "run_id")
+    return events.worst_finding(found).withColumnRenamed("run_id", "user_id")
+
+
+@query("unread_notifications", "SELECT event_id FROM events WHERE event_id % 3 > 0 AND event_type IN ('click', 'view')")
+def unread_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), F.when(F.col("event_id") % 3 == 0, True).when(F.col("event_id") % 3 == 1, False).alias("is_read"))
+    return metrics.unread(rows, ["click", "view"]).select("event_id")
+
+
+@query(
+    "evidence_links",
+    f"""WITH RECURSIVE {_AUDIT_CTE} SELECT page_id, url AS link FROM a WHERE rule_id = 'IDX-004' UNION ALL SELECT a.page_id, k.canon_norm FROM a JOIN k USING (p) WHERE rule_id = 'IDX-004' AND k.canon_norm <> a.url""",
+)
+def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit(site(spark, sf_dir), ("INDEXABILITY",)).where("rule_id = 'IDX-004'")
+    return found.select("page_id", F.explode(metrics.evidence_urls("evidence", "affected_url")).alias("link"))
+
+
+@query(
+    "previous_findings",
+    """WITH r AS (SELECT max(o_orderkey) AS run FROM orders WHERE o_orderstatus = 'F') SELECT l_linenumber AS finding FROM lineitem, r WHERE l_orderkey = run""",
+)
+def previous_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").select(F.lit("a").alias("agent_id"), F.when(F.col("o_orderstatus") == "F", "SUCCESS").alias("status"), F.col("o_orderkey").alias("run_id"), F.col("o_orderkey").alias("created_at"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("finding_id"), F.lit(0).alias("created_at"))
+    return reads.previous_findings(runs, found, "a").select(F.col("finding_id").alias("finding"))
+
+
+@query(
+    "project_summary",
+    f"""WITH {_EVENT_CTE} SELECT c_custkey, (SELECT count(*) FROM pages WHERE page_id % 10 = 3) AS stored_pages, (SELECT count(*) FROM i WHERE event_id % 10 = 3 AND status = 'ACTIVE') AS active_issues FROM customer WHERE c_custkey = 3""",
+)
+def project_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = lambda df, c: df.withColumn("project_id", (F.col(c) % 10).cast("string"))
+    projects = table(spark, sf_dir, "customer").where("c_custkey < 10").withColumn("project_id", F.col("c_custkey").cast("string"))
+    found = reads.project_summary(projects, keyed(table(spark, sf_dir, "pages"), "page_id"), keyed(event_issues(spark, sf_dir), "event_id"), "3")
+    return found.select("c_custkey", "stored_pages", "active_issues")
+
+
+@query(
+    "json_report",
+    f"""WITH RECURSIVE {_AUDIT_CTE}, g AS (SELECT rule_id, count(*) AS n FROM a WHERE category = 'SOCIAL' GROUP BY rule_id)
+SELECT 'group' AS part, rule_id AS name, n FROM g UNION ALL SELECT 'summary', NULL, (SELECT count(*) FROM a WHERE category = 'SOCIAL')""",
+)
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = audit_issues(spark, sf_dir)[1].where("category = 'SOCIAL'")
+    rows = sinks.json_report(issues, issues.agg(F.count(F.lit(1)).alias("instances")))
+    return rows.select("part", F.get_json_object("json", "$.rule_id").alias("name"), F.get_json_object("json", "$.instances").cast("long").alias("n"))
+
+
+@query("updated_rows", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'x' ELSE n_name END AS n_name FROM nation")
+def updated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.update_where(table(spark, sf_dir, "nation"), F.col("n_regionkey") == 1, {"n_name": F.lit("x")}).select("n_nationkey", "n_name")
+
+
+@query("inserted_rows", "SELECT n_nationkey FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 2 = 1")
+def inserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select("n_nationkey")
+    fresh = nation.where("n_nationkey % 3 = 0")
+    return sinks.insert_new(nation.where("n_nationkey % 2 = 0"), fresh.union(fresh), ["n_nationkey"])
