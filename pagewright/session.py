@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -22,9 +24,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per session, so that they need not find it on their own path."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if not getattr(sc, "_pagewright_shipped", False) and (root / "pagewright").is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="pagewright-")) / "pagewright.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted((root / "pagewright").rglob("*.py")):
+                out.write(file, file.relative_to(root))
+        sc.addPyFile(str(archive))
+        sc._pagewright_shipped = True
+    return spark
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks."""
-    return configure(
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pagewright")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -35,6 +50,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    return ship(configure(session))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
