@@ -5,10 +5,11 @@ of the landmark texts: a blended-spectrum presence kernel, scaled to 1 for a tex
 per language (Nyström); one ridge regression per language on the kernel values against the landmarks gives its weights.
 Scoring is two matrix products per batch: presence rows times landmark n-grams, times weights.
 
-Learning reads at most ``SAMPLE`` labelled texts in all, shared evenly by the ``LANGUAGES`` most frequent languages;
-``LANDMARKS`` of them in all are landmarks, and of their n-grams the ``GRAMS`` that most landmarks hold are used. Texts
-are taken by hash, whole, and leave the executors as sets of n-grams. Prediction reads every text whole, and nothing but
-the text.
+Every labelled language is learned. Learning reads ``SAMPLE`` labelled texts, shared evenly by the languages, but two a
+language at least; ``LANDMARKS`` of them, again two a language at least, are landmarks. Of the landmarks' n-grams
+``GRAMS`` are used: those that most landmarks of each language hold, in even shares, then those that most landmarks hold
+at all. The model grows by two landmarks and a column a language. Texts are taken by hash, whole, and leave the executors
+as sets of n-grams. Prediction reads every text whole, and nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is everything if nothing could be
 learned; ties go to the language first in code-point order; repeated rows each get their own row; a null id is never
@@ -23,14 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.batches import with_text
 from pagewright.session import nullable, text_batches
 
 UND = "und"
-SAMPLE, LANDMARKS, LANGUAGES, GRAMS = 960, 160, 64, 1 << 17
+SAMPLE, LANDMARKS, GRAMS = 960, 160, 1 << 17
 RIDGE = 1e-2
 SLOT_BITS = 21
 LETTER = regex.compile(r"\p{L}")
@@ -87,10 +88,18 @@ def fit_sets(samples: list[tuple[str, np.ndarray]]) -> Model | None:
     if not languages:
         return None
     by = {language: [s for name, s in samples if name == language] for language in languages}
-    chosen = [s for language in languages for s in by[language][: max(2, LANDMARKS // len(languages))]]
+    marks_of = [by[language][: max(2, LANDMARKS // len(languages))] for language in languages]
+    chosen = [s for own in marks_of for s in own]
     codes, held = np.unique(np.concatenate(chosen), return_counts=True)
     if len(codes) > GRAMS:
-        codes = np.sort(codes[np.lexsort((codes, -held))[:GRAMS]])
+        shares = []  # every language keeps some of its own n-grams, however many languages there are
+        for own in marks_of:
+            mine, times = np.unique(np.concatenate(own), return_counts=True)
+            shares.append(mine[np.lexsort((mine, -held[np.searchsorted(codes, mine)], -times))[: max(1, GRAMS // (2 * len(languages)))]])
+        shares = np.unique(np.concatenate(shares))
+        others = ~np.isin(codes, shares)
+        rest = codes[others][np.lexsort((codes[others], -held[others]))[: max(0, GRAMS - len(shares))]]
+        codes = np.union1d(shares, rest)
     table = np.full(1 << SLOT_BITS, -1, np.int32)
     table[_slots(codes)] = np.arange(len(codes), dtype=np.int32)  # of colliding n-grams the last keeps the slot
     kept = table[_slots(codes)] == np.arange(len(codes))
@@ -122,28 +131,26 @@ def fit_sets(samples: list[tuple[str, np.ndarray]]) -> Model | None:
 
 def fit(labelled: DataFrame, text: str, label: str, key: Column) -> Model | None:
     """Fit on a bounded sample by hash of ``key``; only sets of n-grams of sampled texts reach the driver."""
-    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()
+    counts = labelled.groupBy(label).count().collect()
     if not counts:
         return None
-    # draw about half as many again as are used of each language, then cut in order of the hash
+    # draw more than are used of each language, so that none comes out short, then cut in order of the hash
     most = max(2, SAMPLE // len(counts))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r[label], min(1.0, 1.5 * most / r["count"]))])
-    drawn = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = labelled.select(F.col(label).alias("language"), F.col(text).alias("text"), key.alias("key")).where(drawn < F.try_element_at(share, F.col(label)))
+    shares = labelled.sparkSession.createDataFrame([(r[label], min(1.0, max(1.5 * most, most + 30) / r["count"])) for r in counts], "language string, share double")
+    drawn = F.pmod(F.col("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    read = labelled.select(F.col(label).cast("string").alias("language"), F.col(text).alias("text"), key.alias("key"))
+    some = read.join(F.broadcast(shares), "language").where(drawn < F.col("share")).select("language", "text", "key")
+    place = F.row_number().over(Window.partitionBy("language").orderBy("key", "text"))
+    taken = some.withColumn("place", place).where(F.col("place") <= most).select("language", "text", "key")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(grams(t.as_py())).astype(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["language", "key", "codes"])
 
-    rows = taken.mapInArrow(sets, "language string, key long, codes array<long>").limit(3 * SAMPLE).collect()
+    rows = taken.mapInArrow(sets, "language string, key long, codes array<long>").collect()
     rows.sort(key=lambda r: (r["language"], r["key"]))
-    samples, seen = [], {}
-    for r in rows:
-        seen[r["language"]] = seen.get(r["language"], 0) + 1
-        if seen[r["language"]] <= most and r["codes"]:
-            samples.append((r["language"], np.array(r["codes"], np.int64).astype(np.uint64)))
-    return fit_sets(samples)
+    return fit_sets([(r["language"], np.array(r["codes"], np.int64).astype(np.uint64)) for r in rows if r["codes"]])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -241,6 +241,22 @@ def test_language_awkward_rows(spark):
     assert {r["lang_pred"] for r in language_id.predict(odd, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(17)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 80 * 12)]
+    rows = []
+    for n in range(80):  # each language has letters of its own; the last ones have fewer texts
+        own = letters[n * 12 : n * 12 + 12]
+        rows += [(len(rows) + i, " ".join("".join(rng.choices(own, k=4)) for _ in range(8)), f"l{n:02}", "a") for i in range(20 if n < 64 else 12)]
+    docs = documents(spark, rows)
+    for grams in (language_id.GRAMS, 4000):
+        monkeypatch.setattr(language_id, "GRAMS", grams)
+        model = language_id.learned(docs)
+        assert model.languages == [f"l{n:02}" for n in range(80)]
+        got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
+        assert all(got[i] == language for i, _, language, _ in rows)
+
+
 # --- importance resampling
 
 
