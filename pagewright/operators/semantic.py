@@ -107,19 +107,22 @@ def strong_pairs(near: DataFrame) -> DataFrame:
     return near.where((F.col("sim") >= 0.30) | ((F.col("sim") >= 0.24) & (F.size("shared") >= 2))).select(F.col("ix").alias("a"), F.col("nb").alias("b"))
 
 
-def attached(node: DataFrame, near: DataFrame, members: DataFrame, max_rounds: int = 200) -> DataFrame:
+def attached(node: DataFrame, near: DataFrame, members: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``ix, segment``: component members, and pages that join one in order of ``ix``.
 
     A page outside all components joins the segment of its first neighbour (similarity 0.24 or more) that has one when
     its turn comes: members, and earlier pages that joined. Rounds settle every page whose earlier neighbours are
-    settled; each is a join over the unsettled pages' at most six neighbours, so nothing is done page by page.
+    settled; each is a join over the unsettled pages' at most six neighbours, so nothing is done page by page. The
+    smallest waiting page is settled in every round, so rounds end; with ``max_rounds``, pages still waiting are an error.
     """
     fixed = members.select(F.col("node").alias("ix"), F.col("component").alias("segment"))
     settled = checkpointed(fixed.withColumn("fixed", F.lit(True)))
     open_ = checkpointed(near.where("sim >= 0.24").select("ix", "nb", "place").join(fixed.select("ix"), "ix", "left_anti"))
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    rounds = 0
+    while not open_.isEmpty():
+        if rounds == max_rounds:
+            raise RuntimeError(f"pages did not settle in {max_rounds} rounds")
+        rounds += 1
         waiting = open_.select(F.col("ix").alias("nb"), F.lit(True).alias("_open")).distinct()
         seen = open_.join(settled.select(F.col("ix").alias("nb"), "segment", "fixed"), "nb", "left").join(waiting, "nb", "left")
         hit = F.col("segment").isNotNull() & (F.col("fixed") | (F.col("nb") < F.col("ix")))
