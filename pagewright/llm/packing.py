@@ -3,17 +3,19 @@
 A text becomes byte-level BPE ids and a closing id 0. Texts longer than a sequence are cut into whole sequences, the
 shorter rest first. Only the histogram of the remaining lengths (at most one count per length up to the sequence size)
 reaches the driver. There the covering program "fewest sequences such that every length is covered" over all ways to
-fill a sequence is solved by multiplicative weights: prices of lengths are raised where the plan is short, and an
-unbounded knapsack over the prices yields the next fill. The fractional plan is rounded down, and what is left over is
-filled largest first with best fit, again as fills with multiplicities and never piece by piece. Spark then deals the
-pieces: the n-th piece of a length (dense numbers by hash, so that a very common length is spread) goes to the fill
-that owns place n.
-
-The plan has at most one row per (fill, length) with at most ``ROUNDS`` + 2 x sequence size fills, whatever the number
-of pieces: its size is bounded by parameters, so it is sent to every task.
-
-Defined results: a null text is empty and has the single id 0; repeated rows each get their own pieces; extra columns are
-ignored; an empty table gives no rows.
+fill a sequence is solved by multiplicative weights: prices of lengths are raised where the plan is behind, and a
+knapsack over the prices yields the next fills, and with them a proven lower bound. The fractional plan is rounded down,
+the fractions are settled by whole fills at the program's prices, and what is left over is filled largest first with best
+fit; all of it as fills with multiplicities and never piece by piece. Spark then deals the pieces: the n-th piece of a
+length (dense numbers by hash, so that a very common length is spread) goes to the fill that owns place n.
+
+A booked fill uses up what is due of a length in its round, so the plan has at most (``ROUNDS`` + ``WHOLE_ROUNDS`` + 3) x
+sequence size fills, and in practice some ten thousand, whatever the number of pieces: its size is bounded by parameters,
+so it is sent to every task.
+
+Defined results: a null text is empty and has the single id 0; a text of any length is encoded whole and cut; pieces of one
+length are alike to the plan, and which of them goes where follows from hashes; repeated rows each get their own pieces;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,9 +36,11 @@ from pagewright.operators.ranking import salted_index
 from pagewright.session import checkpointed, nullable, text_batches
 
 CAPACITY = 2048
-ROUNDS = 500
-#: Step of the multiplicative weights.
-RATE = 0.05
+ROUNDS = 144
+#: Step of the multiplicative weights, and how far below the best a fill may be that is booked.
+RATE, SLACK = 0.02, 0.01
+#: Rounds that book whole fills, and the share of what rounding left that they go for.
+WHOLE_ROUNDS, WHOLE_SHARE = 40, 0.96
 END_ID = 0
 SPECIAL = "<|endoftext|>"
 VOCABULARY = "byte_bpe_50k"
@@ -108,28 +113,166 @@ def pieces(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     return read.mapInArrow(run, schema)
 
 
-def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The fill of most value: how often each length is taken, by dynamic programming over the space used."""
-    best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1)
-    for space in range(int(lengths[0]), capacity + 1):
-        n = np.searchsorted(lengths, space, side="right")
-        value = best[space - lengths[:n]] + prices[:n]
-        k = int(value.argmax())
-        if value[k] > best[space - 1]:
-            best[space], taken[space] = value[k], k
-        else:
-            best[space] = best[space - 1]
-    fill: dict[int, int] = {}
-    space = capacity
-    while space > 0:
-        if taken[space] < 0 or best[space] == best[space - 1]:
-            space -= 1
-            continue
-        length = int(lengths[taken[space]])
-        fill[length] = fill.get(length, 0) + 1
-        space -= length
-    return fill
+Fill = tuple[tuple[int, int], ...]  # (length, how often), lengths ascending
+
+
+class Pricing:
+    """The knapsack at given prices: the most a sequence can be worth, and fills that come close to it.
+
+    ``best[s]`` is the worth of the best fill of ``s`` places, by dynamic programming over the space used.
+    """
+
+    def __init__(self, prices: np.ndarray, lengths: np.ndarray, capacity: int, slack: float, rng: np.random.Generator, top: float = 0.0):
+        self.prices, self.lengths, self.capacity = prices, lengths, capacity
+        self.upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+        self.best = best = np.zeros(capacity + 1)
+        least = int(lengths[0])
+        if 3 * len(lengths) < capacity:
+            for space in range(least, capacity + 1):
+                n = self.upto[space]
+                best[space] = max(best[space - 1], (best[space - lengths[:n]] + prices[:n]).max())
+        else:  # most lengths occur: slices instead of index lists
+            dense, back = np.zeros(capacity + 1), np.zeros(capacity + 1)
+            dense[lengths] = prices
+            for space in range(least, capacity + 1):
+                best[space] = max(best[space - 1], (dense[least : space + 1] + back[capacity - space + least :]).max())
+                back[capacity - space] = best[space]
+        self.top = max(top, best[capacity])
+        self.slack = slack * self.top
+        self.taste = 0.3 * self.slack * rng.random(len(lengths))  # fills of like worth should differ
+
+    def fill(self, first: int, room: np.ndarray, forced: bool = False) -> dict[int, int] | None:
+        """A fill with the length at place ``first``, within ``room`` pieces of every length, that is worth the most up
+        to the slack; None if there is none (if forced, the best there is). Keys are places in ``lengths``."""
+        lengths, prices, best = self.lengths, self.prices, self.best
+        space = self.capacity - lengths[first]
+        lost = self.top - prices[first] - best[space]
+        if forced:
+            lost = 0.0
+        if lost > self.slack:
+            return None
+        taken = {first: 1}
+        full = {first} if room[first] <= 1 else set()
+        while n := self.upto[space]:
+            short = best[space] - best[space - lengths[:n]] - prices[:n]
+            good = (short <= self.slack - lost) & (room[:n] > 0)
+            for j in full:
+                if j < n:
+                    good[j] = False
+            j = int(np.where(good, self.taste[:n] - short, -np.inf).argmax())
+            if not good[j]:
+                return taken if best[space] <= self.slack - lost else None
+            taken[j] = taken.get(j, 0) + 1
+            if taken[j] + 1 > room[j]:
+                full.add(j)
+            lost += short[j]
+            space -= lengths[j]
+        return taken
+
+
+@dataclass
+class Program:
+    """A fractional plan that covers every length, and what proves how good it is."""
+
+    fills: dict[Fill, float]
+    #: Price per length; no fill is worth more than ``1`` at prices / worth of the best fill, hence the bound.
+    prices: dict[int, float]
+    bound: float
+
+    @property
+    def value(self) -> float:
+        return sum(self.fills.values())
+
+
+def solve_program(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Program:
+    """Fewest sequences, fractions allowed, that cover ``counts``: multiplicative weights with knapsack pricing.
+
+    Every round prices the lengths, and books fills worth the most (up to ``SLACK``) for what is behind an even schedule;
+    lengths still behind get dearer by a factor. Prices start at one per id, at which every full sequence is worth the
+    same. The first third of the rounds only finds prices. The prices of every round bound the program from below: what
+    all pieces are worth over what a sequence can be worth.
+    """
+    rng = np.random.default_rng(1)
+    lengths = np.array(sorted(counts))
+    need = np.array([counts[n] for n in lengths], float)
+    log_price, bound = np.log(lengths / capacity), 0.0
+    learning = rounds // 3
+    for turn in range(rounds):
+        if turn in (0, learning):
+            covered, booked = np.zeros(len(lengths)), {}
+        pricing = Pricing(np.exp(log_price), lengths, capacity, SLACK, rng)
+        bound = max(bound, float(pricing.prices @ need / pricing.top))
+        due = (turn + 1) / learning if turn < learning else (turn - learning + 1) / (rounds - learning)
+        step = 1 / (learning if turn < learning else rounds - learning)
+        behind = np.maximum(0.0, due - covered) * need
+        room = behind.copy()
+        free = np.where(room > 0.05 * step * need, np.inf, 0.0)
+        for i in np.lexsort((rng.random(len(lengths)), -behind / need)).tolist():
+            if not free[i] or (fill := pricing.fill(i, free)) is None:
+                continue
+            times = min(room[j] / a for j, a in fill.items())
+            for j, a in fill.items():
+                room[j] -= a * times
+                if room[j] <= 0.05 * step * need[j]:
+                    free[j] = 0.0
+            name = tuple(sorted((int(lengths[j]), a) for j, a in fill.items()))
+            booked[name] = booked.get(name, 0.0) + times
+        covered += (behind - room) / need
+        log_price = log_price + RATE * (1 - 0.8 * turn / rounds) * np.clip((due - covered) / step, 0, 1)
+        log_price -= log_price.mean()
+    # what is not covered yet gets the best fills, whatever else they cover
+    pricing = Pricing(np.exp(log_price), lengths, capacity, SLACK, rng)
+    every = np.full(len(lengths), np.inf)
+    for i in np.argsort(covered).tolist():
+        if covered[i] < 1:
+            fill = pricing.fill(i, every, forced=True)
+            times = (1 - covered[i]) * need[i] / fill[i]
+            for j, a in fill.items():
+                covered[j] += a * times / need[j]
+            name = tuple(sorted((int(lengths[j]), a) for j, a in fill.items()))
+            booked[name] = booked.get(name, 0.0) + times
+    return Program(booked, dict(zip(lengths.tolist(), np.exp(log_price).tolist())), bound)
+
+
+def rounded(program: Program, counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Whole sequences of the program, and the pieces that are left.
+
+    First the whole part of every fill. Then the fractions, which are all there is where pieces are few: the program goes
+    on at its prices with whole fills, of what is due in an even schedule, so that a mixture of lengths is left over.
+    """
+    rng = np.random.default_rng(2)
+    left = dict(counts)
+    fills: dict[Fill, int] = {}
+    for fill, times in sorted(program.fills.items(), key=lambda f: (-f[1], f[0])):
+        times = min([int(times), *(left[n] // a for n, a in fill)])
+        if times > 0:
+            fills[fill] = times
+            for n, a in fill:
+                left[n] -= a * times
+    every = np.array(sorted(left))
+    start = np.array([left[n] for n in every], np.int64)
+    log_price = np.log([program.prices[n] for n in every.tolist()])
+    phase, rest = rng.random(len(every)), start.copy()
+    for turn in range(WHOLE_ROUNDS):
+        at = np.flatnonzero(rest > 0)
+        if not len(at):
+            break
+        lengths = every[at]
+        top = Pricing(np.exp(log_price), every, capacity, SLACK, rng).top  # used up lengths still tell what a sequence is worth
+        pricing = Pricing(np.exp(log_price[at]), lengths, capacity, SLACK, rng, top)
+        due = np.floor(WHOLE_SHARE * start * min(1.0, 1.25 * (turn + 1) / WHOLE_ROUNDS) + phase).astype(np.int64)
+        room = np.clip(due - start + rest, 0, rest)[at]
+        before = room.copy()
+        for i in reversed(range(len(lengths))):
+            while room[i] > 0 and (fill := pricing.fill(i, room)) is not None:
+                times = min(int(room[j]) // a for j, a in fill.items())
+                for j, a in fill.items():
+                    room[j] -= a * times
+                name = tuple(sorted((int(lengths[j]), a) for j, a in fill.items()))
+                fills[name] = fills.get(name, 0) + times
+        rest[at] -= before - room
+        log_price[at] += RATE * (room > 0)
+    return [(dict(f), t) for f, t in fills.items()], {n: int(c) for n, c in zip(every.tolist(), rest) if c}
 
 
 def best_fit_fills(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -152,36 +295,42 @@ def best_fit_fills(counts: dict[int, int], capacity: int) -> list[tuple[dict[int
     return fills
 
 
+def sequences(fills: list[tuple[dict[int, int], int]]) -> int:
+    return sum(times for _, times in fills)
+
+
 def plan_fills(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Fills with multiplicities that cover ``counts`` exactly, few sequences in all."""
+    """Fills with multiplicities that cover ``counts`` exactly, few sequences in all.
+
+    The rounded program, and best fit for the rest. Where that is over the program's bound, the least full sequences of it
+    are opened again for best fit, a tenth after the other; the plan with the fewest sequences is taken, and of such plans
+    the one with most of the program in it. Best fit alone is the last one tried.
+    """
     whole = counts.get(capacity, 0)
     small = {n: c for n, c in counts.items() if c > 0 and n < capacity}
     fills = [({capacity: 1}, whole)] if whole else []
     if not small:
         return fills
-    lengths = np.array(sorted(small))
-    place = {int(n): i for i, n in enumerate(lengths)}
-    need = np.array([small[n] for n in lengths], float)
-    weights = need * lengths / (need * lengths).sum()  # at the start, a price of 1 per id: every full sequence is worth the same
-    used: dict[tuple, float] = {}
-    for _ in range(rounds):
-        fill = tuple(sorted(knapsack(weights / need, lengths, capacity).items()))
-        takes = np.zeros(len(lengths))
-        for n, a in fill:
-            takes[place[n]] = a
-        times = (need[takes > 0] / takes[takes > 0]).min()  # as often as its scarcest length allows
-        used[fill] = used.get(fill, 0.0) + times
-        weights = weights * np.exp(-RATE * takes * times / need)  # what has been covered gets cheaper
-        weights /= weights.sum()
-    # round, and trim to what is there; the rest is filled best first
-    left = dict(small)
-    for fill, times in used.items():
-        times = min([int(np.ceil(times)), *(left[n] // a for n, a in fill)])
-        if times > 0:
-            fills.append((dict(fill), times))
-            for n, a in fill:
-                left[n] -= a * times
-    return fills + best_fit_fills(left, capacity)
+    alone = best_fit_fills(small, capacity)
+    easy = sequences(alone) * capacity <= 1.002 * sum(n * c for n, c in small.items())  # a price of one per id is right already
+    program = solve_program(small, capacity, rounds // 3 if easy else rounds)
+    chosen, left = rounded(program, small, capacity)
+    chosen.sort(key=lambda f: -sum(n * a for n, a in f[0].items()))  # fullest first
+    plan = chosen + best_fit_fills(left, capacity)
+    for share in (0.9, 0.8, 0.7, 0.6, 0.5):
+        if sequences(plan) <= np.ceil(program.bound - 1e-6):
+            break  # proven to be the fewest
+        kept, opened, total = [], dict(small), share * sequences(chosen)
+        for f, t in chosen:
+            t = min(t, int(total))
+            total -= t
+            if t:
+                kept.append((f, t))
+                for n, a in f.items():
+                    opened[n] -= a * t
+        plan = min(plan, kept + best_fit_fills(opened, capacity), key=sequences)
+    plan = min(plan, alone, key=sequences)
+    return fills + plan
 
 
 def plan_table(fills: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
