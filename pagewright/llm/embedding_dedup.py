@@ -35,8 +35,10 @@ THRESHOLD = 0.9
 PCA_ROWS = 32_768
 #: Leading coordinates that cells are made of, and vectors of a tile.
 AXES, TILE = 3, 16_384
-#: Dimensions after which the bound is tested.
-STEPS = (8, 24)
+#: The bound is tested after so many dimensions each; rows of a stripe, and pairs of a stripe, at most.
+STEP, STRIPE, CELLS = 16, 128, 1_000_000
+#: Below this share of pairs that may still link, pairs go on one by one.
+SPARSE = 0.02
 
 
 def principal_axes(rows: DataFrame, kind: str, n: int) -> dict[int, np.ndarray]:
@@ -61,32 +63,52 @@ def _turned(x: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
     return x @ axes[x.shape[1]] if x.shape[1] in axes else x
 
 
-def linked_pairs(x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs with cosine >= threshold, in stripes of ``x``; ``tx`` and ``ty`` are the turned unit vectors."""
+def linked_pairs(x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, threshold: float, work: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs with cosine >= threshold, in stripes of ``x``; ``tx`` and ``ty`` are the turned unit vectors.
+
+    Products grow block by block of dimensions, and after every block the suffix norms bound what is missing. A stripe
+    first drops rows of ``y`` that no row of the stripe can reach, and rows of its own that reach none: the rest of the
+    stripe is a smaller matrix product. Once few pairs are left, they go on one by one. ``work`` gathers multiply-adds.
+    """
     dim = x.shape[1]
-    steps = [0, *[s for s in STEPS if s < dim], dim]
+    ends = [*range(STEP, dim, STEP), dim]
     fx, fy = tx.astype(np.float32), ty.astype(np.float32)
-    rest = lambda t, s: np.sqrt(np.maximum((t[:, s:] ** 2).sum(axis=1), 0)).astype(np.float32)
-    rx, ry = {s: rest(tx, s) for s in steps}, {s: rest(ty, s) for s in steps}
-    ux, uy = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+    rest = lambda t: {s: np.sqrt(np.maximum((t[:, s:] ** 2).sum(axis=1), 0)).astype(np.float32) for s in ends}
+    rx, ry = rest(tx), rest(ty)
     least = np.float32(threshold - 1e-4)  # room for single precision
-    stripe = max(1, 500_000 // max(1, len(y)))
+    stripe = max(1, min(STRIPE, CELLS // max(1, len(y))))
     for at in range(0, len(x), stripe):
-        rows = slice(at, min(at + stripe, len(x)))
-        reach = fx[rows, : steps[1]] @ fy[:, : steps[1]].T
-        reach += rx[steps[1]][rows, None] * ry[steps[1]]
-        a, b = np.nonzero(reach >= least)
-        if len(a) > 0.05 * reach.size:  # many may link: exact products of the whole stripe
-            cosine = ux[rows] @ uy.T
-            a, b = np.nonzero(cosine >= threshold - 1e-9)
-            a += at
-        else:
-            a += at
-            so_far = np.einsum("ij,ij->i", fx[a, : steps[1]], fy[b, : steps[1]])
-            for lo, hi in zip(steps[1:], steps[2:]):
+        rows, columns = np.arange(at, min(at + stripe, len(x))), np.arange(len(y))
+        so_far, a, b = np.float32(0), None, None
+        lo = 0
+        for hi in ends:
+            if a is None:
+                # the suffix norms are one more dimension of the block's product
+                reach = np.column_stack((fx[rows, lo:hi], rx[hi][rows])) @ np.column_stack((fy[columns, lo:hi], ry[hi][columns])).T
+                reach += so_far
+                may = reach >= least
+                if work is not None:
+                    work.append(may.size * (hi - lo))
+                up, down = may.any(axis=1), may.any(axis=0)
+                if not up.any():
+                    rows = rows[:0]
+                    break
+                if hi == dim or may.sum() < SPARSE * may.size:
+                    i, j = np.nonzero(may)
+                    a, b = rows[i], columns[j]
+                    so_far = reach[i, j] - rx[hi][a] * ry[hi][b]
+                else:
+                    rows, columns = rows[up], columns[down]
+                    so_far = reach[np.ix_(up, down)] - rx[hi][rows, None] * ry[hi][columns]
+            else:
                 so_far = so_far + np.einsum("ij,ij->i", fx[a, lo:hi], fy[b, lo:hi])
+                if work is not None:
+                    work.append(len(a) * (hi - lo))
                 may = so_far + rx[hi][a] * ry[hi][b] >= least
                 a, b, so_far = a[may], b[may], so_far[may]
+            lo = hi
+        if not len(rows) or a is None:
+            continue
         for part in range(0, len(a), 32_768):  # the measure itself, on the original vectors
             pa_, pb = a[part : part + 32_768], b[part : part + 32_768]
             dots = np.einsum("ij,ij->i", x[pa_], y[pb])
