@@ -7,8 +7,9 @@ by handing surplus draws to the sources that came short, so that totals hold exa
 the block at place n of that source's pseudorandom index permutation, one permutation per pass over the source, and
 blocks are joined by index. The last slot of a source is cut so that its words meet the target.
 
-Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, last in order; repeated
-rows are separate documents; extra columns are ignored; an empty table gives no rows.
+Defined results: a null text has size 0 and takes nothing; a very long text is many blocks, each used on its own; a null
+source is a source of its own, last in order; documents equal in ``keep`` and size are alike and may swap places in the
+stream; repeated rows are separate documents; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.rows import named, row_key
 from pagewright.operators.ranking import range_index, salted_index
 from pagewright.session import checkpointed
 
@@ -25,8 +27,8 @@ BLOCK, SHARD = 128, 4096
 WEIGHTS = (5, 2, 1)
 #: A source's target stops at this many times its size.
 REPEAT = 3
-#: Primes that permutations step by; each is larger than any remainder used with it. Fixed values.
-STEPS = (1_000_000_007, 998_244_353, 754_974_721, 469_762_049)
+#: Rounds of a permutation.
+ROUNDS = 24
 
 
 def size_of(text: Column) -> Column:
@@ -55,13 +57,20 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat:
     return sources.select("source", "s", "source_size", F.least(F.col("weight") * level, F.col("most")).alias("target"))
 
 
-def _permuted(at: Column, n: Column, turn: Column) -> Column:
-    """Place of the ``at``-th draw in a permutation of 0..n-1 that depends on ``turn``: a step coprime to ``n``."""
-    start = F.pmod(F.xxhash64(turn, n), n)
-    step = F.coalesce(*[F.when(F.lit(p) % n != 0, F.lit(p) % n) for p in STEPS], F.lit(1))
-    wide = "decimal(38,0)"
-    far = ((at.cast(wide) * step.cast(wide) + start.cast(wide)) % n.cast(wide)).cast("long")
-    return F.when(n < 2_000_000_000, F.pmod(at * step + start, n)).otherwise(far)
+def permuted(at: Column, n: Column, *key: Column, back: bool = False) -> Column:
+    """The ``at``-th place of a pseudorandom permutation of 0..n-1 that depends on ``key`` as a whole (or, with ``back``,
+    where a place comes from).
+
+    Swap or not (Hoang, Morris, Rogaway 2012), which is a permutation for every ``n``: a round pairs each place with its
+    mirror image at a round key, and a hash of the pair decides whether the two change places.
+    """
+    rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+
+    def swap(x: Column, r: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(*key, n, r), n) - x, n)
+        return F.when(F.xxhash64(*key, r, F.greatest(x, mirror)) > 0, mirror).otherwise(x)
+
+    return F.aggregate(F.reverse(rounds) if back else rounds, at.cast("long"), swap)
 
 
 def _owners(intervals: DataFrame, points: DataFrame, total: int, rows: int) -> DataFrame:
@@ -80,11 +89,10 @@ def shard_counts(quotas: DataFrame, seed: int, shard: int) -> DataFrame:
     slots = spark.range(total).select(F.floor(F.col("id") / shard).alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))).alias("ticket"))
     drawn = checkpointed(_owners(line, slots, total, rows).groupBy("s", "shard").agg(F.count(F.lit(1)).alias("n")))
     # settle: draws over a source's quota, counted over shards in order, go to sources that came short
-    order = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = (
-        drawn.join(quotas.select("s", "quota"), "s")
-        .withColumn("upto", F.sum("n").over(order))
-        .withColumn("keep", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("upto") + F.col("n"))))
+        _cumulative(drawn, "shard", "n", "s")
+        .join(quotas.select("s", "quota"), "s")
+        .withColumn("keep", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("lo"))))
     )
     within = checkpointed(within.select("s", "shard", "keep", (F.col("n") - F.col("keep")).alias("over")))
     kept = within.groupBy("s").agg(F.sum("keep").alias("has"))
@@ -98,16 +106,19 @@ def shard_counts(quotas: DataFrame, seed: int, shard: int) -> DataFrame:
     return within.select("s", "shard", "keep").union(moved.select("s", "shard", "keep")).groupBy("s", "shard").agg(F.sum("keep").alias("n")).where("n > 0")
 
 
-def _cumulative(df: DataFrame, key: str, amount: str) -> DataFrame:
-    """Intervals ``[lo, hi)`` of the running sum of ``amount`` in order of ``key``, summed in ranges of keys first."""
-    spans = 1024
-    dealt = df.withColumn("_range", F.floor(F.col(key) / spans))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per 1024 keys
-    offsets = dealt.groupBy("_range").agg(F.sum(amount).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _cumulative(df: DataFrame, key: str, amount: str, group: str | None = None) -> DataFrame:
+    """Intervals ``[lo, hi)`` of the running sum of ``amount`` in order of ``key`` (a long), of each ``group`` on its own.
+
+    Spans of 1024 keys are summed first, so no task holds more than one row per span of a group.
+    """
+    of = [group] if group else []
+    dealt = df.withColumn("_range", F.floor(F.col(key) / 1024))
+    before = Window.partitionBy(*of).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*of, "_range").agg(F.sum(amount).alias("_n")).select(*of, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(*of, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         dealt.withColumn("_upto", F.sum(amount).over(within))
-        .join(offsets, "_range")
+        .join(offsets, [*of, "_range"])
         .select(*df.columns, (F.col("_offset") + F.col("_upto") - F.col(amount)).alias("lo"), (F.col("_offset") + F.col("_upto")).alias("hi"))
     )
 
@@ -135,15 +146,17 @@ def mix_pieces(docs: DataFrame, keep: list[str], order: list[Column], block: int
         .withColumn("full", F.floor(F.col("source_size") / block).cast("long"))
         .select("s", "blocks", "full", "quota", "over")
     )
-    counts = shard_counts(quotas, seed, shard)
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = _cumulative(shard_counts(quotas, seed, shard), "shard", "n", "s")
+    # every shard's slots are made in a task of their own choosing, at most ``shard`` from a row
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shuffled = permuted(F.col("place"), F.greatest("full", F.lit(1)), F.lit(seed), F.col("s"), F.col("turn"))
     slots = (
-        counts.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("slot", F.explode(F.sequence("from", F.col("from") + F.col("n") - 1)))
+        counts.repartition(parts, "s", "shard")
+        .withColumn("slot", F.explode(F.sequence("lo", F.col("hi") - 1)))
         .join(quotas, "s")
         .withColumn("turn", F.floor(F.col("slot") / F.col("blocks")))
         .withColumn("place", F.col("slot") % F.col("blocks"))
-        .withColumn("block", F.when(F.col("place") < F.col("full"), _permuted(F.col("place"), F.greatest("full", F.lit(1)), F.xxhash64("turn", "s", F.lit(seed)))).otherwise(F.col("place")))
+        .withColumn("block", F.when(F.col("place") < F.col("full"), shuffled).otherwise(F.col("place")))
     )
     uses = slots.groupBy("s", "block").agg(
         F.count(F.lit(1)).alias("times"),
@@ -151,18 +164,8 @@ def mix_pieces(docs: DataFrame, keep: list[str], order: list[Column], block: int
     )
     marked = sized.join(sources.select(F.col("source").alias("_source"), "s", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     indexed = salted_index(marked, "s", order, "at")
-    salts = 256
-    # where a document's words start in its source's stream: sums of spans of documents first, then within a span
-    spanned = indexed.withColumn("_span", F.floor(F.col("at") / salts))
-    across = Window.partitionBy("s").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = spanned.groupBy("s", "_span").agg(F.sum("size").alias("_n")).select("s", "_span", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("s", "_span").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        spanned.withColumn("_upto", F.sum("size").over(inside))
-        .join(starts, ["s", "_span"])
-        .withColumn("start", F.col("_start") + F.col("_upto") - F.col("size"))
-        .drop("_upto", "_start", "_span")
-    )
+    # where a document's words start in its source's stream
+    placed = _cumulative(indexed, "at", "size", "s").withColumnRenamed("lo", "start").drop("hi")
     lies_in = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     pieces = placed.withColumn("block", F.explode_outer(lies_in))
     lo = F.greatest(F.col("start"), F.col("block") * block)
@@ -180,7 +183,7 @@ def mix_pieces(docs: DataFrame, keep: list[str], order: list[Column], block: int
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",), **params) -> DataFrame:
     """One row per document: ``keep`` + ``size, source_size, target, taken``."""
-    sized = docs.select(F.struct(*keep).alias("_keep"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"))
+    sized = docs.select(F.struct(*[named(c) for c in keep]).alias("_keep"), named(source).cast("string").alias("source"), size_of(named(text)).alias("size"))
     pieces = mix_pieces(sized, ["_keep"], [F.col("_keep"), F.col("size")], **params)
     used = F.sum(F.coalesce(F.col("words") * F.col("times") - F.col("cut"), F.lit(0)))
     mixed = pieces.groupBy("s", "at", "_keep", "size", "source_size", "target").agg(used.cast("long").alias("taken"))
@@ -192,11 +195,12 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
 
     A use that takes the whole document keeps its text as it is; one that takes some of its blocks has the words of those
     blocks, joined by single spaces. ``length``, if there is such a column, is set anew. Documents that the mix does not
-    use, and those without words, have no row.
+    use, and those without words, have no row. Rows are known by 128 bits of their values; rows alike in every column are
+    copies of one document.
     """
     columns = docs.columns
-    key = F.xxhash64(*[F.col(c) for c in columns])  # rows alike in every column are copies of one document
-    marked = docs.select(F.struct(*columns).alias("_row"), key.alias("_key"), F.col(text).alias("_text"), F.col(source).cast("string").alias("source"))
+    row = F.struct(*[named(c) for c in columns])
+    marked = docs.select(row.alias("_row"), row_key(docs).alias("_key"), named(text).alias("_text"), named(source).cast("string").alias("source"))
     sized = marked.select("_key", "source", size_of(F.col("_text")).alias("size"))
     pieces = mix_pieces(sized, ["_key"], [F.col("_key"), F.col("size")], **params).where("times > 0")
     repeat = params.get("repeat", REPEAT)
@@ -215,12 +219,33 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     rebuilt = F.transform(F.array(F.regexp_extract_all(F.col("_text"), F.lit(WORD), F.lit(0))), cut)[0]
     made = joined.withColumn("_text", F.when(F.col("whole"), F.col("_text")).otherwise(rebuilt))
     new = {text: F.col("_text"), length: F.length("_text").cast("long")}
-    return made.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"_row.{c}").alias(c) for c in columns])
+    return made.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in columns])
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op4_source_mixing": op4_source_mixing}
-ORACLES = {}
+def mixing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture by source: what it takes of each, beside the target."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = mix(docs, keep=("doc_id", "source"))
+    return mixed.groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.first("source_size").alias("source_size"), F.round(F.first("target"), 3).alias("target"), F.sum("taken").alias("taken")
+    )
+
+
+QUERIES = {"op4_source_mixing": op4_source_mixing, "mixing_totals": mixing_totals}
+#: The level of the targets in one pass: sources capped first are those with the least size per weight.
+ORACLES = {
+    "mixing_totals": rf"""
+WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
+t AS (SELECT source, count(*) AS documents, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(s % 3 + 1)::INT]::DOUBLE AS weight, {REPEAT} * source_size::DOUBLE AS most FROM t),
+c AS (SELECT *, coalesce(sum(most) OVER before, 0) AS capped, sum(weight) OVER (ORDER BY most / weight DESC, s DESC) AS free
+      FROM w WINDOW before AS (ORDER BY most / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, ((SELECT sum(source_size) FROM t) - capped) / free AS level FROM c),
+l AS (SELECT level FROM v WHERE level <= most / weight + 1e-9 ORDER BY most / weight, s LIMIT 1)
+SELECT source, documents, source_size, round(least(weight * level, most), 3) AS target, floor(least(weight * level, most) + 0.5)::BIGINT AS taken FROM w, l
+"""
+}

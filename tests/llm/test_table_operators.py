@@ -136,10 +136,55 @@ def test_mixing_awkward_rows(spark):
     assert mixing.mixed_documents(with_clashes(docs)).columns == with_clashes(docs).columns
 
 
-def test_permutation_is_one(spark):
+def test_permutation_is_one_in_both_directions(spark):
     for n in (1, 2, 97, 1000):
-        rows = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.xxhash64(F.lit(3))).alias("x")).collect()
+        x, size, key = F.col("id"), F.lit(n).cast("long"), (F.lit(17), F.lit(3), F.lit(0))
+        there = mixing.permuted(x, size, *key)
+        rows = spark.range(n).select("id", there.alias("x"), mixing.permuted(there, size, *key, back=True).alias("back")).collect()
         assert sorted(r["x"] for r in rows) == list(range(n))
+        assert all(r["back"] == r["id"] for r in rows)
+
+
+def test_permutations_scatter_and_differ(spark):
+    n = 5000
+    of = lambda *key: [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), *map(F.lit, key))).collect()]
+    one, other, turned = of(17, 0, 0), of(17, 1, 0), of(17, 0, 1)
+    for p in (one, other, turned):
+        steps = Counter((b - a) % n for a, b in zip(p, p[1:]))
+        assert max(steps.values()) < 20  # no fixed step between neighbouring slots
+        assert abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.06
+    assert sum(a == b for a, b in zip(one, other)) < 20 and sum(a == b for a, b in zip(one, turned)) < 20
+
+
+def test_mixing_slots_match_an_independent_count(spark):
+    """Words taken of every document, from the shard counts and the permutation alone, slot by slot."""
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" * rng.choice([0, 3, 60])), "en", rng.choice(["a", "a", "b", None])) for i in range(120)]
+    docs = documents(spark, rows)
+    block, shard, seed = 16, 8, 17
+    sized = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    pieces = mixing.mix_pieces(sized, ["doc_id"], [F.col("doc_id"), F.col("size")], block=block, shard=shard, seed=seed).collect()
+    spots = {(r["s"], r["at"]): (r["source"], r["size"]) for r in pieces}
+    streams = {}
+    for (s, at), (source, size) in sorted(spots.items()):
+        streams.setdefault(s, []).extend([at] * size)  # the document of every word, in order
+    target = brute_targets({src: sum(n for x, n in spots.values() if x == src) for src in {x for x, _ in spots.values()}})
+    expected = Counter()
+    for s, stream in streams.items():
+        source = next(src for (k, _), (src, _) in spots.items() if k == s)
+        goal, size, turn = int(target[source] + 0.5), len(stream), 0
+        while goal > 0:
+            full = size // block
+            order = [r[0] for r in spark.range(full).select(mixing.permuted(F.col("id"), F.lit(full).cast("long"), F.lit(seed), F.lit(s).cast("long"), F.lit(turn).cast("long"))).collect()]
+            for b in [*order, *([full] if size % block else [])]:
+                words = stream[b * block : (b + 1) * block][: max(0, goal)]
+                goal -= len(words)
+                expected.update((s, at) for at in words)
+            turn += 1
+    got = Counter()
+    for r in pieces:
+        got[(r["s"], r["at"])] += (r["words"] or 0) * r["times"] - (r["cut"] if r["words"] else 0)
+    assert {k: v for k, v in got.items() if v} == dict(expected)
 
 
 # --- packing
