@@ -4,9 +4,12 @@ Every rolling word k-gram of a document whose hash occurs in a template is joine
 it. Each joined pair votes for the diagonal ``document position - template position``; diagonals that lie within
 ``DIAGONAL_GAP`` of each other are merged, so that a few inserted or missing words do not break a span, and a merged
 span is kept when the template k-grams it saw, compared as words and not only as hashes, cover enough of the template.
+Where a chain of diagonals is longer than a span may be (phrases of a licence repeated beside it), its densest window of
+diagonals is verified instead.
 
-Defined results: a null or word-less text has no words and no labels; repeated rows each get their own row; extra
-columns are ignored; an empty table gives no rows.
+Defined results: a null or word-less text has no words and no labels; a text of any length is scanned whole; of windows
+that hold as much, the one on the smallest diagonal counts; a place that several templates claim has a span of each;
+repeated rows each get their own row; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,9 +17,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.rows import named, quoted
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 DIAGONAL_GAP = 3
 #: Share of a long template's k-grams that a span must hold.
@@ -24,6 +29,9 @@ COVERAGE = 0.5
 #: A span may be this many times as long as its template.
 STRETCH = 1.5
 TEXT_K = 4
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Template k-grams that are sent to every task; a larger table is shuffled.
+BROADCAST_GRAMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -85,6 +93,28 @@ def template_grams(templates: tuple[Template, ...]) -> list[tuple]:
 GRAM_SCHEMA = "tid int, label string, phrase boolean, n_template int, n_grams int, k int, at int, gram_hash long, gram string"
 
 
+def _window(votes: Column, first: Column) -> Column:
+    """What some diagonals hold together; larger is better."""
+    return F.struct(
+        F.size(F.array_distinct(F.flatten(F.transform(votes, lambda v: v["seen"])))).alias("held"),
+        (-first).alias("order"),
+        F.array_min(F.transform(votes, lambda v: v["lo"])).alias("lo"),
+        F.array_max(F.transform(votes, lambda v: v["hi"])).alias("hi"),
+    )
+
+
+def _too_long(votes: str) -> Column:
+    reach = F.array_max(F.transform(votes, lambda v: v["hi"])) - F.array_min(F.transform(votes, lambda v: v["lo"])) + 1
+    return ~F.col("phrase") & (reach > STRETCH * F.col("n_template"))
+
+
+def _windows(votes: str) -> Column:
+    """From every diagonal as far as a span may drift: one candidate span each."""
+    drift = F.floor((STRETCH - 1) * F.col("n_template"))
+    within = lambda v: F.filter(votes, lambda w: (w["diagonal"] >= v["diagonal"]) & (w["diagonal"] <= v["diagonal"] + drift))
+    return F.transform(votes, lambda v: _window(within(v), v["diagonal"]))
+
+
 def spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """Verified licence spans of every document.
 
@@ -92,8 +122,10 @@ def spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     one row whose label is null.
     """
     spark: SparkSession = docs.sparkSession
+    keep = tuple(map(quoted, keep))
     grams = template_grams(templates)
-    table = F.broadcast(spark.createDataFrame(grams, GRAM_SCHEMA))  # a few hundred rows, fixed by the templates
+    table = spark.createDataFrame(grams, GRAM_SCHEMA)
+    table = F.broadcast(table) if len(grams) <= BROADCAST_GRAMS else table
 
     def held(words, k):
         wanted = sorted({g[7] for g in grams if g[5] == k})
@@ -115,7 +147,7 @@ def spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
             found.append(F.transform(F.filter(places, held(words, k)), gram(words, k)))
         return F.struct(F.size(words).alias("n_words"), F.concat(*found).alias("hits"))
 
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.translate(F.coalesce(named(text), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
     read = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.transform(F.array(words), hits)[0].alias("_h"))
     voted = (
         read.select(*keep, "_row", F.col("_h.n_words").alias("n_words"), F.explode_outer("_h.hits").alias("hit"))
@@ -131,11 +163,12 @@ def spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
         voted.withColumn("_new", F.when(apart, 1).otherwise(0))
         .withColumn("_span", F.sum("_new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*keep, "_row", "n_words", "tid", "label", "phrase", "n_template", "n_grams", "_span")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("held"),
-            F.min("lo").alias("first_word"),
-            F.max(F.col("hi") + F.col("k") - 1).alias("last_word"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("diagonal", "seen", "lo", (F.col("hi") + F.col("k") - 1).alias("hi")))).alias("votes"))
+        .withColumn("best", F.when(_too_long("votes"), F.array_max(_windows("votes"))).otherwise(_window(F.col("votes"), F.lit(0))))
+        .select(
+            *keep, "_row", "n_words", "tid", "label", "phrase", "n_template", "n_grams",
+            "best.held", F.col("best.lo").alias("first_word"), F.col("best.hi").alias("last_word"),
+        )
         .withColumn("coverage", F.col("held") / F.col("n_grams"))
     )
     whole = F.col("held") == F.col("n_grams")
@@ -151,11 +184,11 @@ def spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """One row per document with its licence labels; ``first_word``/``last_word`` are starts of base phrases."""
-    base = F.col("phrase")
+    base, names = F.col("phrase"), tuple(map(quoted, keep))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     return (
         spans(docs, text, keep, templates)
-        .groupBy("_row", *keep, "n_words")
+        .groupBy("_row", *names, "n_words")
         .agg(
             F.count(F.when(base, 1)).alias("n_base"),
             F.min(F.when(base, F.col("first_word"))).cast("long").alias("first_word"),
@@ -192,10 +225,14 @@ m AS (SELECT rid, tid, diagonal,
              CASE WHEN phrase OR diagonal - lag(diagonal) OVER (PARTITION BY rid, tid ORDER BY diagonal) > {DIAGONAL_GAP} THEN 1 ELSE 0 END AS apart
       FROM o),
 n AS (SELECT rid, tid, diagonal, sum(apart) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS span FROM m),
-s AS (SELECT v.rid, v.tid, label, phrase, n_template, n_grams, span, count(DISTINCT tpos) AS held,
-             min(pos) AS first_word, max(pos + v.k - 1) AS last_word
-      FROM v JOIN n ON v.rid = n.rid AND v.tid = n.tid AND v.diagonal = n.diagonal
-      GROUP BY ALL),
+vn AS (SELECT v.*, span FROM v JOIN n ON v.rid = n.rid AND v.tid = n.tid AND v.diagonal = n.diagonal),
+s0 AS (SELECT rid, tid, label, phrase, n_template, n_grams, span, count(DISTINCT tpos) AS held, min(pos) AS first_word, max(pos + k - 1) AS last_word FROM vn GROUP BY ALL),
+chain AS (SELECT * FROM s0 WHERE NOT phrase AND last_word - first_word + 1 > {STRETCH} * n_template),
+anchors AS (SELECT DISTINCT vn.rid, vn.tid, vn.span, vn.diagonal AS anchor FROM vn JOIN chain USING (rid, tid, span)),
+win AS (SELECT vn.rid, vn.tid, label, phrase, n_template, n_grams, vn.span, anchor, count(DISTINCT tpos) AS held, min(pos) AS first_word, max(pos + k - 1) AS last_word
+      FROM anchors a JOIN vn ON vn.rid = a.rid AND vn.tid = a.tid AND vn.span = a.span AND vn.diagonal BETWEEN anchor AND anchor + floor({STRETCH - 1} * n_template) GROUP BY ALL),
+s AS (SELECT * EXCLUDE (anchor) FROM win QUALIFY row_number() OVER (PARTITION BY rid, tid, span ORDER BY held DESC, anchor) = 1
+      UNION ALL SELECT * FROM s0 WHERE NOT (NOT phrase AND last_word - first_word + 1 > {STRETCH} * n_template)),
 f AS (SELECT *, held / n_grams AS coverage FROM s
       WHERE CASE WHEN phrase THEN held = n_grams ELSE held / n_grams >= {COVERAGE} AND last_word - first_word + 1 <= {STRETCH} * n_template END),
 r AS (SELECT rid, count(*) FILTER (WHERE phrase) AS n_base, min(first_word) FILTER (WHERE phrase) AS first_word,

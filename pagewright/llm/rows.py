@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(column: str) -> str:
+    """A name as Spark reads it: dots are part of it."""
+    return "`" + column.replace("`", "``") + "`" if "." in column or "`" in column else column
+
+
 def named(column: str) -> Column:
-    """The column of exactly this name, dots and all."""
-    return F.col("`" + column.replace("`", "``") + "`")
+    """The column of exactly this name."""
+    return F.col(quoted(column))
 
 
 def _holds_map(kind: T.DataType) -> bool:
