@@ -1,20 +1,22 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is the sum of one word from each of ``BOOKS`` full-dimensional codebooks. Codebooks are fitted on residuals and
-then refitted together by least squares, on a bounded sample of at most ``SAMPLE`` vectors; every vector is encoded, by a
-beam search that keeps the ``BEAM`` best partial sums per codebook. Next to its code a vector stores the ratio of its
-norm to its sum's, which undoes the shrinking of quantisation. A query scores a block of codes by adding lookup-table
-entries; the best ``SHORTLIST`` of each block (ties included) are reranked by exact inner products in double precision
-on the original vectors, and the best of all blocks are kept.
+then refitted together by least squares, on a bounded sample of at most ``SAMPLE`` different vectors; every vector is
+encoded, by a beam search that keeps the ``BEAM`` best partial sums per codebook. Next to its code a vector stores the
+ratio of its norm to its sum's, which undoes the shrinking of quantisation.
 
-Queries and codes meet in blocks of bounded size: each (query block, code block) is a group of its own, so neither side
-is ever whole in one task, and no cap applies to the rows.
+Queries meet codes in blocks of bounded size: each (query block, code block) is a group of its own, so neither side is
+ever whole in one task. Only codes travel: a query adds up lookup-table entries and keeps the best of the block, and the
+``SHORTLIST`` best of the whole table go on. These are reranked by exact inner products in double precision: a vector is
+sent once to every query block that asks for it, however many of its queries do. No cap applies to the rows.
 
-Measured recall at 20 against brute force is in the README; it is tested to be at least 0.9.
+Every query meets every code, so scoring grows with queries times rows; from some 10^8 rows on, ``shortlist`` has to grow
+for the same recall. Measured recall at 20 against brute force is in the README; it is tested to be at least 0.9.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and rows with a null id, take
 no part; a row is never its own neighbour, but a repeated row is a candidate of its own; vectors of other dimension than
-the query's are no candidates; ties go to the smaller id; an empty table gives no rows.
+the query's are no candidates; ties go to the smaller id, in the shortlist as well; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +33,15 @@ from pagewright.llm.vectors import packed
 from pagewright.session import checkpointed
 
 K = 20
-BOOKS, WORDS, BEAM = 16, 64, 6
+BOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE = 8192
 ITERATIONS = 6
-QUERY_BLOCK, CODE_BLOCK = 16_384, 8192
-SHORTLIST = 512
+#: Queries of a block; codes of a block at least; blocks of codes, until a block has the most codes it may have.
+QUERY_BLOCK, CODE_BLOCK, CODE_BLOCKS, MOST_CODES = 16_384, 8192, 64, 1 << 20
+#: Candidates of a query that are reranked, of the whole table.
+SHORTLIST = 640
+#: Pairs that one task reranks, about.
+PAIRS = 1 << 18
 
 
 def _nearest_word(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -97,87 +103,136 @@ def sums(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return books[np.arange(books.shape[0])[None, :], codes].sum(axis=1)
 
 
-def search_block(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray | None, scale: np.ndarray, books: np.ndarray | None, k: int, shortlist: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(query, candidates, scores)``: the exact best ``k`` of each query's shortlist in one block of codes."""
-    n, least = len(x), min(shortlist, len(x))
+def _largest(about: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
+    """Places of the ``m`` largest, ties to the smaller id."""
+    if m >= len(about):
+        return np.arange(len(about))
+    least = np.partition(about, len(about) - m)[len(about) - m]
+    above, level = np.flatnonzero(about > least), np.flatnonzero(about == least)
+    short = m - len(above)
+    return np.concatenate((above, level[np.argsort(ids[level], kind="stable")[:short]]))
+
+
+def best_codes(queries: np.ndarray, own: np.ndarray, rid: np.ndarray, ids: np.ndarray, score, m: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(query, places, approximate products)`` of the best ``m`` of a block, each query's own row left out."""
     for s in range(0, len(queries), 64):
-        part = queries[s : s + 64]
-        if books is not None:
-            tables = (part.astype(np.float32) @ books.reshape(-1, books.shape[2]).T).reshape(len(part), *books.shape[:2])
-            about = np.zeros((len(part), n), np.float32)
-            for m in range(books.shape[0]):
-                about += np.take(np.ascontiguousarray(tables[:, m]), codes[:, m], axis=1)
-            about *= scale
-        for i, query in enumerate(part):
-            if books is None:
-                near = np.arange(n)
-            else:
-                near = np.flatnonzero(about[i] >= np.partition(about[i], n - least)[n - least])
-            near = near[rows[near] != own[s + i]]
-            exact = np.einsum("ij,j->i", x[near], query)
-            order = np.lexsort((rows[near], ids[near], -exact))[:k]
-            yield s + i, near[order], exact[order]
-
-
-def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector: str = "embedding", k: int = K, shortlist: int = SHORTLIST, code_block: int = CODE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+        about = score(queries[s : s + 64])
+        for i, row in enumerate(about):
+            row[rid == own[s + i]] = -np.inf
+            near = _largest(row, ids, m)
+            near = near[row[near] > -np.inf]
+            yield s + i, near, row[near]
+
+
+def table_scores(codes: np.ndarray, scale: np.ndarray, books: np.ndarray):
+    """Approximate products of queries with all codes: sums of lookup-table entries."""
+
+    def score(part: np.ndarray) -> np.ndarray:
+        tables = (part.astype(np.float32) @ books.reshape(-1, books.shape[2]).T).reshape(len(part), *books.shape[:2])
+        about = np.zeros((len(part), len(codes)), np.float32)
+        for m in range(books.shape[0]):
+            about += np.take(np.ascontiguousarray(tables[:, m]), codes[:, m], axis=1)
+        return about * scale
+
+    return score
+
+
+def fitted_books(base: DataFrame, kind: str, n: int) -> dict[int, np.ndarray]:
+    """Codebooks per dimension, from at most ``SAMPLE`` different vectors by hash; none where there are too few."""
+    drawn = base.where(F.pmod(F.xxhash64("vec"), F.lit(max(1, n // (2 * SAMPLE)))) == 0).select("dim", "vec").distinct()
+    taken = drawn.orderBy(F.xxhash64("vec", F.lit(1)), "vec").limit(SAMPLE).collect()
+    by_dim: dict[int, list[bytes]] = {}
+    for r in taken:
+        by_dim.setdefault(r["dim"], []).append(bytes(r["vec"]))
+    return {dim: fit_books(np.frombuffer(b"".join(v), kind).reshape(-1, dim).astype(np.float32)) for dim, v in by_dim.items() if len(v) > 2 * WORDS}
+
+
+def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector: str = "embedding", k: int = K, shortlist: int = SHORTLIST, code_block: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, <id_col>, score``: the ``k`` nearest found of every row whose id column passes ``is_query``."""
     spark: SparkSession = rows.sparkSession
     base, kind = packed(rows.where(F.col(id_col).isNotNull()), id_col, vector)
     base = checkpointed(base.where("vec is not null").select(F.col(id_col).alias("id"), "dim", "vec", F.monotonically_increasing_id().alias("rid")))
     n = base.count()
-    taken = base.where(F.pmod(F.xxhash64("vec"), F.lit(max(1, -(-n // SAMPLE)))) == 0).select("dim", "vec", "rid").orderBy("rid").limit(2 * SAMPLE).collect()
-    by_dim: dict[int, list[bytes]] = {}
-    for r in taken:
-        by_dim.setdefault(r["dim"], []).append(bytes(r["vec"]))
-    books = {dim: fit_books(np.frombuffer(b"".join(v), kind).reshape(-1, dim).astype(np.float32)[:SAMPLE]) for dim, v in by_dim.items() if len(v) > WORDS}
-    shared = spark.sparkContext.broadcast(books)  # BOOKS x WORDS vectors
+    shared = spark.sparkContext.broadcast(fitted_books(base, kind, n))  # BOOKS x WORDS vectors
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, vec = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            code, scale = np.full(batch.num_rows, b"", object), np.ones(batch.num_rows, np.float32)
+            dims, code = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).copy()
+            scale = np.ones(batch.num_rows, np.float32)
             for dim in np.unique(dims):
                 if int(dim) not in shared.value:
-                    continue  # a dimension too rare to fit; its vectors are all compared exactly
+                    continue  # a dimension with too few different vectors to fit: the vector is its own code
                 at = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(vec[at]), kind).reshape(len(at), -1).astype(np.float32)
+                x = np.frombuffer(b"".join(code[at]), kind).reshape(len(at), -1).astype(np.float32)
                 codes = encode(x, shared.value[int(dim)])
                 about = np.linalg.norm(sums(codes, shared.value[int(dim)]), axis=1)
                 scale[at] = np.where(about > 0, np.linalg.norm(x, axis=1) / np.maximum(about, 1e-30), 1)
                 code[at] = [c.tobytes() for c in codes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.binary()), pa.array(scale)], names=[*batch.schema.names, "code", "scale"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(code, pa.binary()), pa.array(scale)], names=["id", "dim", "rid", "code", "scale"])
 
-    coded = base.mapInArrow(encoded, "id long, dim int, vec binary, rid long, code binary, scale float")
-    queries = base.where(is_query(F.col("id")))
+    coded = checkpointed(base.mapInArrow(encoded, "id long, dim int, rid long, code binary, scale float"))
+    queries = checkpointed(base.where(is_query(F.col("id"))))
+    code_block = code_block or min(MOST_CODES, max(CODE_BLOCK, -(-n // CODE_BLOCKS)))
     blocks, query_blocks = max(1, -(-n // code_block)), max(1, -(-queries.count() // query_block))
     dealt = lambda count: F.pmod(F.xxhash64("rid"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = queries.select("dim", dealt(query_blocks).alias("qb"), every(blocks).alias("cb"), F.lit(0).alias("side"), "id", "rid", "vec", F.lit(b"").alias("code"), F.lit(1.0).cast("float").alias("scale"))
-    right = coded.select("dim", every(query_blocks).alias("qb"), dealt(blocks).alias("cb"), F.lit(1).alias("side"), "id", "rid", "vec", "code", "scale")
+    left = queries.select("dim", dealt(query_blocks).alias("qb"), every(blocks).alias("cb"), F.lit(0).alias("side"), "id", "rid", F.col("vec").alias("code"), F.lit(1.0).cast("float").alias("scale"))
+    right = coded.select("dim", every(query_blocks).alias("qb"), dealt(blocks).alias("cb"), F.lit(1).alias("side"), "id", "rid", "code", "scale")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = left.union(right).repartition(parts, "dim", "qb", "cb").sortWithinPartitions("dim", "qb", "cb", "side")
+    # rows are dealt by hash, so a block holds about its share of a query's shortlist; twice that and some is kept of each
+    of_block = min(shortlist, 2 * -(-shortlist // blocks) + 64)
+    arrays = lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        for dim, qb, cb, side, ids, rid, vec, code, scale in sorted_runs(batches, 3, arrays):
+        for dim, qb, cb, side, ids, rid, code, scale in sorted_runs(batches, 3, arrays):
             for s, e in zip(*run_bounds(dim, qb, cb)):
                 cut = s + int((side[s:e] == 0).sum())
                 if cut in (s, e):
                     continue
-                x = np.frombuffer(b"".join(vec[s:e]), kind).reshape(e - s, -1).astype(float)
+                x = np.frombuffer(b"".join(code[s:cut]), kind).reshape(cut - s, -1).astype(float)
                 book = shared.value.get(int(dim[s]))
-                codes = None if book is None else np.frombuffer(b"".join(code[cut:e]), np.uint8).reshape(e - cut, -1)
-                out = list(search_block(x[: cut - s], rid[s:cut], x[cut - s :], ids[cut:e], rid[cut:e], codes, scale[cut:e], book, k, shortlist))
-                sizes = np.array([len(near) for _, near, _ in out])
-                query = np.repeat(np.array([q for q, _, _ in out], np.int64), sizes) + s
-                near = np.concatenate([a for _, a, _ in out]) + cut
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (rid[query], ids[query], ids[near], rid[near], np.concatenate([c for _, _, c in out]))], names=["q", "query_id", "id", "rid", "score"]
-                )
+                if book is None:
+                    y = np.frombuffer(b"".join(code[cut:e]), kind).reshape(e - cut, -1).astype(float)
+                    score = lambda part, y=y: part @ y.T
+                else:
+                    score = table_scores(np.frombuffer(b"".join(code[cut:e]), np.uint8).reshape(e - cut, -1), scale[cut:e], book)
+                for q, near, about in best_codes(x, rid[s:cut], rid[cut:e], ids[cut:e], score, of_block):
+                    many = len(near)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c) for c in (np.full(many, dim[s]), np.full(many, qb[s]), np.full(many, rid[s + q]), rid[cut:e][near], ids[cut:e][near], about.astype(np.float32))],
+                        names=["dim", "qb", "q", "rid", "id", "about"],
+                    )
+
+    order = Window.partitionBy("q").orderBy(F.desc("about"), "id", "rid")
+    found = met.mapInArrow(compare, "dim int, qb int, q long, rid long, id long, about float")
+    chosen = checkpointed(found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= shortlist).select("dim", "qb", "q", "rid"))
+    # rerank: pairs meet their vectors by query block and a slice of the candidates
+    slices = max(1, -(-chosen.count() // PAIRS // query_blocks))
+    slice_ = F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(slices)).cast("int").alias("part")
+    none = lambda kind_: F.lit(None).cast(kind_)
+    asked = chosen.select("qb", "rid").distinct()
+    sides = [
+        queries.select("dim", dealt(query_blocks).alias("qb"), every(slices).alias("part"), F.lit(0).alias("side"), F.col("rid").alias("q"), "rid", "id", "vec"),
+        base.join(asked, "rid").select("dim", "qb", slice_, F.lit(1).alias("side"), F.lit(-1).cast("long").alias("q"), "rid", "id", "vec"),
+        chosen.select("dim", "qb", slice_, F.lit(2).alias("side"), "q", "rid", F.lit(-1).cast("long").alias("id"), none("binary").alias("vec")),
+    ]
+    dealt_again = sides[0].union(sides[1]).union(sides[2]).repartition(parts, "dim", "qb", "part").sortWithinPartitions("dim", "qb", "part", "side")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, qb, part, side, q, rid, ids, vec in sorted_runs(batches, 3, arrays):
+            for s, e in zip(*run_bounds(dim, qb, part)):
+                a, b = s + int((side[s:e] == 0).sum()), s + int((side[s:e] <= 1).sum())
+                x = np.frombuffer(b"".join(vec[s:b]), kind).reshape(b - s, -1).astype(float)
+                by_query, by_row = np.argsort(rid[s:a]), np.argsort(rid[a:b])
+                one = by_query[np.searchsorted(rid[s:a], q[b:e], sorter=by_query)]
+                other = by_row[np.searchsorted(rid[a:b], rid[b:e], sorter=by_row)]
+                exact = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x[one[t : t + 16_384]], x[a - s + other[t : t + 16_384]]) for t in range(0, e - b, 16_384))])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q[b:e], ids[s:a][one], ids[a:b][other], rid[b:e], exact)], names=["q", "query_id", "id", "rid", "score"])
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id", "rid")
-    found = met.mapInArrow(compare, "q long, query_id long, id long, rid long, score double")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    scored = dealt_again.mapInArrow(rerank, "q long, query_id long, id long, rid long, score double")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
