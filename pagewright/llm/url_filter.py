@@ -5,12 +5,13 @@ canonical, are aliases: connected components over those edges spread a block dec
 names. Precedence, strongest first: the url's own rule (so an explicit allow is never overridden by an alias), a block
 by rule of any alias, then allow.
 
-Edges are read from the pages (``rel=canonical`` links and ``http-equiv=refresh`` targets, resolved against the page)
-and may be given as a table of (source url, target url) too. Aliases are compared by lower-cased host, path and query;
-scheme and fragment do not matter.
+Edges are read from the pages (``rel=canonical`` links and ``http-equiv=refresh`` targets outside comments, character
+references decoded, resolved against the page) and may be given as a table of (source url, target url) too. Aliases are
+compared by lower-cased host, path and query; scheme and fragment do not matter.
 
-Defined results: a null url, or one without ``://``, has an empty host and path, no rule and verdict allow; repeated
-rows each get their own row; extra columns are ignored; an empty table gives no rows.
+Defined results: a null url, or one without ``://``, has an empty host and path, no rule and verdict allow; of rules of one
+length the first by name counts; html of any length is read whole, and the first tag of each kind counts; repeated rows
+each get their own row; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.rows import named, quoted
 from pagewright.operators.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,6 +49,9 @@ RULES = (
 CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+COMMENT = r"(?s)<!--.*?-->"
+# Character references that urls are written with; the ampersand comes last.
+REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 TARGET = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
 
 
@@ -80,13 +85,22 @@ def resolve(href: Column, base: Column) -> Column:
     )
 
 
+def decoded(value: Column) -> Column:
+    """Character references of an attribute value replaced."""
+    for name, sign in REFERENCES:
+        value = F.replace(value, F.lit(name), F.lit(sign))
+    return value
+
+
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(source, target)`` alias keys that the pages themselves declare."""
+    shown = F.regexp_replace(F.col("html"), COMMENT, "")
     found = F.array(
-        F.regexp_extract(F.regexp_extract(F.col(html), CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(F.col(html), REFRESH, 0), TARGET, 1),
+        F.regexp_extract(F.regexp_extract(shown, CANONICAL, 0), HREF, 1),
+        F.regexp_extract(F.regexp_extract(shown, REFRESH, 0), TARGET, 1),
     )
-    marked = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("base"), F.explode(found).alias("href"))
+    read = pages.select(named(url).alias("base"), named(html).alias("html")).where(F.col("html").rlike("(?i)canonical|refresh"))
+    marked = read.select("base", F.explode(found).alias("href")).withColumn("href", decoded(F.col("href")))
     return (
         marked.select(alias_key(F.col("base")).alias("source"), alias_key(resolve(F.col("href"), F.col("base"))).alias("target"))
         .where("source is not null and target is not null and source <> target")
@@ -95,12 +109,13 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def rule_name(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     """Name of the longest rule that fits; rules fit their host and all its subdomains. Null if none fits."""
-    fits = [(r, ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)) for r in sorted(rules, key=lambda r: -len(r.name))]
+    fits = [(r, ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)) for r in sorted(rules, key=lambda r: (-len(r.name), r.name))]
     return F.coalesce(*[F.when(test, F.lit(r.name)) for r, test in fits])
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per page: ``keep`` + ``host, path, rule, verdict, alias_of`` (smallest alias key, or null)."""
+    keep = tuple(map(quoted, keep))
     edges = page_edges(pages, url, html)
     if redirects is not None:
         source, target = redirects.columns[:2]
@@ -111,7 +126,7 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[Rul
     ruled = rule_name(host_of(absolute), path_of(absolute), rules)
     decided = members.groupBy("component").agg(F.max(F.coalesce(F.try_element_at(action, ruled) == "block", F.lit(False))).alias("_blocked"))
     aliases = members.join(decided, "component").select(F.col("node").alias("_key"), F.col("component").alias("alias_of"), "_blocked")
-    page = F.col(url)
+    page = named(url)
     judged = pages.select(*keep, host_of(page).alias("host"), path_of(page).alias("path"), alias_key(page).alias("_key"))
     judged = judged.withColumn("rule", rule_name(F.col("host"), F.col("path"), rules)).join(aliases, "_key", "left")
     own = F.try_element_at(action, F.col("rule"))
@@ -126,7 +141,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_rule(host: str, path: str) -> str:
     cases = " ".join(
         f"WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN '{r.name}'"
-        for r in sorted(RULES, key=lambda r: -len(r.name))
+        for r in sorted(RULES, key=lambda r: (-len(r.name), r.name))
     )
     return f"CASE {cases} END"
 
@@ -145,7 +160,14 @@ def _sql_key(url: str) -> str:
 
 def _oracle() -> str:
     quote = lambda p: "'" + p.replace("'", "''") + "'"
-    href = lambda outer, inner: f"regexp_extract(regexp_extract(html, {quote(outer)}), {quote(inner)}, 1)"
+    shown = f"regexp_replace(html, {quote(COMMENT)}, '', 'g')"
+
+    def href(outer: str, inner: str) -> str:
+        value = f"regexp_extract(regexp_extract({shown}, {quote(outer)}), {quote(inner)}, 1)"
+        for name, sign in REFERENCES:
+            value = f"replace({value}, {quote(name)}, {quote(sign)})"
+        return value
+
     root = r"regexp_extract(url, '(?s)^(.*?)://', 1) || '://' || " + _sql_host("url")
     return rf"""
 WITH RECURSIVE found AS (
