@@ -8,18 +8,19 @@ Scoring is two matrix products per batch: presence rows times landmark n-grams,
 Every labelled language is learned. Learning reads ``SAMPLE`` labelled texts, shared evenly by the languages, but two a
 language at least; ``LANDMARKS`` of them, again two a language at least, are landmarks. Of the landmarks' n-grams
 ``GRAMS`` are used: those that most landmarks of each language hold, in even shares, then those that most landmarks hold
-at all. The model grows by two landmarks and a column a language. Texts are taken by hash, whole, and leave the executors
-as sets of n-grams. Prediction reads every text whole, and nothing but the text.
+at all. The model grows by two landmarks and a column a language. Texts are taken by hash, whole. Prediction reads every
+text whole, and nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is everything if nothing could be
-learned; ties go to the language first in code-point order; repeated rows each get their own row; a null id is never
+learned; a very long text is one set of n-grams like any other; ties go to the language first in code-point order; repeated rows each get their own row; a null id is never
 learned from and not held out; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.batches import with_text
-from pagewright.session import nullable, text_batches
+from pagewright.session import checkpointed, nullable, text_batches
 
 UND = "und"
 SAMPLE, LANDMARKS, GRAMS = 960, 160, 1 << 17
@@ -53,19 +54,28 @@ def _slots(codes: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    #: Slot -> n-gram number, and the n-gram codes to tell a match from a collision.
-    table: np.ndarray
+    #: n-gram codes by slot, the first of every slot (or -1), and whether another one of the slot follows.
     codes: np.ndarray
+    first: np.ndarray
+    more: np.ndarray
     #: n-grams x landmarks (presence, each landmark scaled), landmarks x languages.
-    landmarks: np.ndarray
-    weights: np.ndarray
+    landmarks: np.ndarray | None = None
+    weights: np.ndarray | None = None
 
     def presence(self, text: str) -> np.ndarray:
         """Numbers of the known n-grams that the text holds; repeats may occur."""
-        codes = grams(text)
-        number = self.table[_slots(codes)]
-        number, codes = number[number >= 0], codes[number >= 0]
-        return number[self.codes[number] == codes]
+        return self.numbers(grams(text))
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        at = self.first[_slots(codes)]
+        at, codes = at[at >= 0], codes[at >= 0]
+        found = []
+        while len(at):  # n-grams that share a slot lie side by side
+            hit = self.codes[at] == codes
+            found.append(at[hit])
+            onward = ~hit & self.more[at]
+            at, codes = at[onward] + 1, codes[onward]
+        return np.concatenate(found) if found else np.empty(0, np.int32)
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Kernel values of texts against the landmarks, one row per text."""
@@ -82,75 +92,80 @@ class Model:
         return [self.languages[b] for b in best], np.clip((top.astype(float) + 1) / 2, 0, 1)
 
 
-def fit_sets(samples: list[tuple[str, np.ndarray]]) -> Model | None:
-    """Fit on (language, distinct n-gram codes) pairs, in a fixed order."""
-    languages = sorted({language for language, _ in samples})
-    if not languages:
-        return None
-    by = {language: [s for name, s in samples if name == language] for language in languages}
-    marks_of = [by[language][: max(2, LANDMARKS // len(languages))] for language in languages]
-    chosen = [s for own in marks_of for s in own]
-    codes, held = np.unique(np.concatenate(chosen), return_counts=True)
+def known_grams(marks_of: dict[str, list[np.ndarray]]) -> Model:
+    """A model without weights: the n-grams of the landmarks that are used, at most ``GRAMS``."""
+    languages = sorted(marks_of)
+    codes, held = np.unique(np.concatenate([s for name in languages for s in marks_of[name]]), return_counts=True)
     if len(codes) > GRAMS:
         shares = []  # every language keeps some of its own n-grams, however many languages there are
-        for own in marks_of:
-            mine, times = np.unique(np.concatenate(own), return_counts=True)
+        for name in languages:
+            mine, times = np.unique(np.concatenate(marks_of[name]), return_counts=True)
             shares.append(mine[np.lexsort((mine, -held[np.searchsorted(codes, mine)], -times))[: max(1, GRAMS // (2 * len(languages)))]])
         shares = np.unique(np.concatenate(shares))
         others = ~np.isin(codes, shares)
         rest = codes[others][np.lexsort((codes[others], -held[others]))[: max(0, GRAMS - len(shares))]]
         codes = np.union1d(shares, rest)
-    table = np.full(1 << SLOT_BITS, -1, np.int32)
-    table[_slots(codes)] = np.arange(len(codes), dtype=np.int32)  # of colliding n-grams the last keeps the slot
-    kept = table[_slots(codes)] == np.arange(len(codes))
-    codes = codes[kept]
-    table[table >= 0] = -1
-    table[_slots(codes)] = np.arange(len(codes), dtype=np.int32)
-
-    def numbers(sample: np.ndarray) -> np.ndarray:
-        number = table[_slots(sample)]
-        number, sample = number[number >= 0], sample[number >= 0]
-        return number[codes[number] == sample]
-
-    marks = np.zeros((len(codes), len(chosen)), np.float32)
-    for j, s in enumerate(chosen):
-        at = numbers(s)
-        marks[at, j] = 1 / np.sqrt(max(1, len(at)))
-    kernel, target = [], []
-    for language, s in samples:
-        at = numbers(s)
-        kernel.append(marks[at].sum(axis=0) / np.sqrt(max(1, len(at))))
-        target.append([1.0 if language == name else -1.0 for name in languages])
-    k, y = np.array(kernel, float), np.array(target)
-    share = np.array([1 / len(by[language]) for language, _ in samples])  # languages weigh the same
-    between = marks.T.astype(float) @ marks
-    left = k.T @ (k * share[:, None]) + RIDGE * between + 1e-6 * np.eye(len(chosen))
+    slots = _slots(codes)
+    order = np.argsort(slots, kind="stable")
+    codes, slots = codes[order], slots[order]
+    start = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1]))) if len(codes) else np.empty(0, np.int64)
+    first = np.full(1 << SLOT_BITS, -1, np.int32)
+    first[slots[start]] = start
+    return Model(languages, codes, first, np.concatenate((slots[1:] == slots[:-1], [False])))
+
+
+def fit_numbers(model: Model, samples: list[tuple[str, np.ndarray]], marks: list[np.ndarray]) -> Model:
+    """Fit the weights on (language, numbers of distinct known n-grams) pairs; ``marks`` are those of the landmarks."""
+    counts = Counter(language for language, _ in samples)
+    table = np.zeros((len(model.codes), len(marks)), np.float32)
+    for j, at in enumerate(marks):
+        table[at, j] = 1 / np.sqrt(max(1, len(at)))
+    k = np.array([table[at].sum(axis=0) / np.sqrt(max(1, len(at))) for _, at in samples], float)
+    y = np.array([[1.0 if language == name else -1.0 for name in model.languages] for language, _ in samples])
+    share = np.array([1 / counts[language] for language, _ in samples])  # languages weigh the same
+    between = table.T.astype(float) @ table
+    left = k.T @ (k * share[:, None]) + RIDGE * between + 1e-6 * np.eye(len(marks))
     weights = np.linalg.solve(left, k.T @ (y * share[:, None]))
-    return Model(languages, table, codes, marks, weights.astype(np.float32))
+    return replace(model, landmarks=table, weights=weights.astype(np.float32))
 
 
 def fit(labelled: DataFrame, text: str, label: str, key: Column) -> Model | None:
-    """Fit on a bounded sample by hash of ``key``; only sets of n-grams of sampled texts reach the driver."""
+    """Fit on a bounded sample by hash of ``key``: the landmarks' n-grams reach the driver, and of every sampled text the
+    numbers of those it holds, at most ``GRAMS``."""
     counts = labelled.groupBy(label).count().collect()
     if not counts:
         return None
     # draw more than are used of each language, so that none comes out short, then cut in order of the hash
-    most = max(2, SAMPLE // len(counts))
+    most, marks = max(2, SAMPLE // len(counts)), max(2, LANDMARKS // len(counts))
     shares = labelled.sparkSession.createDataFrame([(r[label], min(1.0, max(1.5 * most, most + 30) / r["count"])) for r in counts], "language string, share double")
     drawn = F.pmod(F.col("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     read = labelled.select(F.col(label).cast("string").alias("language"), F.col(text).alias("text"), key.alias("key"))
-    some = read.join(F.broadcast(shares), "language").where(drawn < F.col("share")).select("language", "text", "key")
+    some = read.join(F.broadcast(shares), "language").where((drawn < F.col("share")) & (F.col("text") != ""))
     place = F.row_number().over(Window.partitionBy("language").orderBy("key", "text"))
-    taken = some.withColumn("place", place).where(F.col("place") <= most).select("language", "text", "key")
+    taken = checkpointed(some.select("language", "text", "key").withColumn("place", place).where(F.col("place") <= most))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(grams(t.as_py())).astype(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["language", "key", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["language", "codes"])
+
+    marks_of: dict[str, list[np.ndarray]] = {}
+    for r in taken.where(F.col("place") <= marks).mapInArrow(sets, "language string, codes array<long>").collect():
+        marks_of.setdefault(r["language"], []).append(np.array(r["codes"], np.int64).astype(np.uint64))
+    if not marks_of:
+        return None
+    model = known_grams(marks_of)
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shared.value.presence(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(found, pa.list_(pa.int32()))], names=["language", "place", "numbers"])
 
-    rows = taken.mapInArrow(sets, "language string, key long, codes array<long>").collect()
-    rows.sort(key=lambda r: (r["language"], r["key"]))
-    return fit_sets([(r["language"], np.array(r["codes"], np.int64).astype(np.uint64)) for r in rows if r["codes"]])
+    rows = taken.mapInArrow(known, "language string, place int, numbers array<int>").collect()
+    rows.sort(key=lambda r: (r["language"], r["place"]))
+    samples = [(r["language"], np.array(r["numbers"], np.int64)) for r in rows]
+    return fit_numbers(model, samples, [at for r, (_, at) in zip(rows, samples) if r["place"] <= marks])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
