@@ -44,6 +44,26 @@ def test_url_rules_and_precedence(spark):
     assert (got[9]["host"], got[9]["path"], got[10]["host"]) == ("", "", "")
 
 
+def test_url_references_comments_and_long_html(spark):
+    filler = "<p>" + "x" * 300_000 + "</p>"
+    rows = [
+        (1, "https://a.net/p?x=1&y=2", None),  # blocked by rule
+        (2, "https://free.io/1", '<link rel="canonical" href="https://a.net/p?x=1&amp;y=2">'),
+        (3, "https://free.io/2", filler + '<link rel="canonical" href="https://a.net/p?x=1&#38;y=2">'),
+        (4, "https://free.io/3", '<!-- <link rel="canonical" href="https://a.net/p?x=1&amp;y=2"> -->'),
+        (5, "https://free.io/4", '<link rel="canonical" href="https://a.net/q?x=1&amp;amp;y=2">'),
+    ]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i]["verdict"] for i in (1, 2, 3, 4, 5)] == ["block", "block", "block", "allow", "block"]
+    assert got[1]["alias_of"] == got[2]["alias_of"] == got[3]["alias_of"] and got[4]["alias_of"] is None
+
+
+def test_url_columns_with_dots(spark):
+    pages = spark.createDataFrame([(1, "https://a.net/", None)], PAGES).withColumnsRenamed({"url": "the.url", "html": "the.html", "page_id": "page.id"})
+    (row,) = url_filter.judge(pages, url="the.url", html="the.html", keep=("page.id",)).collect()
+    assert row["page.id"] == 1 and row["verdict"] == "block"
+
+
 def test_url_redirect_table_and_awkward_rows(spark):
     pages = spark.createDataFrame([(i, f"https://h{i}.io/p", None) for i in range(40)] + [(0, "https://h0.io/p", None)], PAGES)
     hops = [(f"https://h{i}.io/p", f"https://h{i + 1}.io/p") for i in range(20)] + [("https://h20.io/p", "http://w.net/"), (None, "https://h30.io/p")]
@@ -134,6 +154,8 @@ def test_mixing_awkward_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs.where("doc_id < 3")).count() == 2  # no words at all
     assert mixing.mixed_documents(with_clashes(docs)).columns == with_clashes(docs).columns
+    odd = docs.withColumns({"a.b": F.lit(1), "m": F.create_map(F.lit("k"), F.col("doc_id"))})
+    assert mixing.mixed_documents(odd).dtypes == odd.dtypes and mixing.mixed_documents(odd).where("doc_id = 5").count() > 0
 
 
 def test_permutation_is_one_in_both_directions(spark):
@@ -203,6 +225,49 @@ def test_encoding_is_the_tokenizers(text):
     assert packing.encode(text).tolist() == reference_ids(text).tolist()
 
 
+def test_encoding_of_random_texts_is_the_tokenizers():
+    rng = random.Random(31)
+    classes = [
+        "abcXYZ", "0123456789", " \t\n\r\x0b\x0c", "\u00a0\u2003\u3000\u200b\ufeff\u2028", ".,;:!?'\"-_()[]{}<>/\\|@#$%^&*+=~`", "éüßøçñ", "дж", "日本語한", "אבعر", "🙂👍🏽\u200d🇩🇪",
+        "\u0301\u0308", "\x00\x07\x7f", "ⅷ½²", "'s't'll",
+    ]
+    for _ in range(400):
+        text = "".join("".join(rng.choices(rng.choice(classes), k=rng.randint(1, 5))) for _ in range(rng.randint(0, 30)))
+        assert packing.encode(text).tolist() == reference_ids(text).tolist(), repr(text)
+
+
+def histogram(name):
+    rng = np.random.default_rng(0)
+    made = {
+        "uniform": lambda: rng.integers(1, 2049, 20_000),
+        "six": lambda: rng.choice([100, 300, 517, 700, 900, 1100], 7000),
+        "lognormal": lambda: np.clip(rng.lognormal(5.8, 1.0, 16_000).astype(int), 1, 2048),
+        "middle": lambda: rng.integers(600, 1101, 20_000),
+        "few": lambda: np.clip(rng.lognormal(6, 1.0, 1100).astype(int), 1, 2048),
+        "many": lambda: np.repeat(rng.integers(600, 1101, 4000), 5000),
+    }[name]()
+    return {n: c for n, c in Counter(made.tolist()).items() if n < packing.CAPACITY}
+
+
+@pytest.mark.parametrize("name", ["uniform", "six", "lognormal", "middle", "few", "many"])
+def test_plan_is_near_the_bound_and_never_worse_than_best_fit(name):
+    counts = histogram(name)
+    program = packing.solve_program(counts)
+    volume = sum(n * c for n, c in counts.items()) / packing.CAPACITY
+    assert program.bound >= volume - 1e-6
+    covered = Counter()
+    for fill, times in program.fills.items():
+        assert times > 0 and sum(n * a for n, a in fill) <= packing.CAPACITY
+        for n, a in fill:
+            covered[n] += a * times
+    assert all(covered[n] >= c * (1 - 1e-9) for n, c in counts.items())  # the fractional plan is feasible
+    chosen, left = packing.rounded(program, counts)
+    assert sum(t for _, t in chosen) >= {"few": 0.4, "uniform": 0.6, "lognormal": 0.6}.get(name, 0.9) * program.bound  # less where lengths are as many as pieces
+    plan = packing.sequences(packing.plan_fills(counts))
+    assert plan <= packing.sequences(packing.best_fit_fills(counts, packing.CAPACITY))
+    assert np.ceil(program.bound - 1e-6) <= plan <= 1.01 * program.bound + 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_covers_the_histogram_exactly(seed):
     rng = random.Random(seed)
@@ -296,6 +361,19 @@ def test_embedding_near_dedup_matches_brute_force(spark):
         assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in got if i not in expected)
 
 
+def test_embedding_bounds_save_work_and_lose_nothing():
+    rng = np.random.default_rng(3)
+    for spread in (np.ones(64), 0.9 ** np.arange(64)):  # without and with dominant axes
+        x = rng.normal(size=(700, 64)) * spread
+        x = np.concatenate((x, x[:200] + 0.02 * rng.normal(size=(200, 64)) * spread))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        _, basis = np.linalg.eigh(unit.T @ unit)
+        turned, work = unit @ basis[:, ::-1], []
+        found = {(int(i), int(j)) for a, b in embedding_dedup.linked_pairs(x, x, turned, turned, 0.9, work) for i, j in zip(a, b)}
+        assert found == set(zip(*(k.tolist() for k in np.nonzero(unit @ unit.T >= 0.9))))
+        assert sum(work) < 0.5 * len(x) ** 2 * 64
+
+
 def test_embedding_near_dedup_awkward_rows(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.0, 0.0], 0), (None, [1.0, 0.01], 0), (4, [-1.0, 0.0], 0)]
     df = spark.createDataFrame(rows, VECTORS)
@@ -308,7 +386,7 @@ def test_embedding_near_dedup_awkward_rows(spark):
 
 def test_search_recall_and_exact_scores(spark):
     df, good = vectors(spark, n=3000, seed=9)
-    got = ann_search.search(df, lambda i: i % 20 == 0, shortlist=150, code_block=1000, query_block=100).collect()
+    got = ann_search.search(df, lambda i: i % 20 == 0, shortlist=100, code_block=1000, query_block=100).collect()
     by = {}
     for r in got:
         by.setdefault(r["query_id"], []).append(r)
@@ -328,6 +406,17 @@ def test_search_recall_and_exact_scores(spark):
     assert hits / (20 * len(queries)) >= 0.9
 
 
+def test_search_prefers_smaller_ids_among_more_copies_than_the_shortlist(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 0.0] + [0.0] * 6, 0) for i in range(1, 400)] + [(1000 + i, [float(v) for v in rng.normal(size=8)], 0) for i in range(1500)] + [(0, [2.0, 0.0] + [0.0] * 6, 0)]
+    got = ann_search.search(spark.createDataFrame(rows, VECTORS), lambda i: i == 0, k=5, shortlist=40, code_block=500).collect()
+    best = sorted(((-2 * v[0], i) for i, v, _ in rows if i))[:5]
+    exact_ties = [r["vec_id"] for r in got if r["score"] == 2.0]
+    assert exact_ties == sorted(exact_ties) and len(got) == 5
+    if best[-1][0] == -2.0:
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [i for _, i in best]
+
+
 def test_search_awkward_rows(spark):
     rows = [(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (2, [0.5, 0.5], 0), (3, None, 0), (4, [0.0, 0.0], 0), (20, [1.0, 0.0, 0.0], 0), (None, [9.0, 9.0], 0), (40, [-1.0, 1.0], 0)]
     df = spark.createDataFrame(rows, VECTORS)

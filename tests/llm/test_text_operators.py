@@ -63,6 +63,22 @@ def test_license_text_is_found_through_small_changes_only(spark):
     assert all(r["n_base"] == 0 for r in got.values())
 
 
+def test_license_beside_a_chain_of_repeats_is_found(spark):
+    bsd = next(t for t in license_scan.TEMPLATES if t.label == "bsd").text
+    opening = " ".join(bsd.split()[:6])  # two 4-grams of the template, repeated with one word between: diagonals 7 apart
+    short = " ".join(bsd.split()[:4])
+    chained = " ".join([short + " x", *[" ".join(bsd.split()[:4][i:] + bsd.split()[:4]) for i in (2, 1, 2, 1, 2, 1)], bsd])
+    rows = [(1, bsd, "en", "a"), (2, chained, "en", "a"), (3, f"{opening} x " * 9 + bsd, "en", "a"), (4, (short + " ") * 12, "en", "a")]
+    got = {r["doc_id"]: r for r in license_scan.scan(documents(spark, rows)).collect()}
+    assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["bsd", "bsd", "bsd", ""]
+    assert got[1]["score"] == got[2]["score"] == got[3]["score"] == 1.0
+
+
+def test_license_lowers_ascii_only(spark):
+    got = license_scan.scan(documents(spark, [(1, "MIT L\u0130CENSE", "en", "a"), (2, "GNU GENERAL PUBLIC LICENSE \u212a", "en", "a")])).collect()
+    assert {r["doc_id"]: r["n_base"] for r in got} == {1: 0, 2: 1}
+
+
 def test_license_hash_is_sparks(spark):
     words = ["gnu", "général", "public"]
     assert spark.range(1).select(F.xxhash64(*map(F.lit, words))).first()[0] == license_scan.gram_hash(words)
@@ -200,6 +216,16 @@ def spoken(n, seed):
     return out
 
 
+def fitted(samples):
+    """A model whose landmarks are all samples, and the numbers of their n-grams."""
+    marks: dict = {}
+    for lang, text in samples:
+        marks.setdefault(lang, []).append(np.unique(language_id.grams(text)))
+    model = language_id.known_grams(marks)
+    numbers = [np.unique(model.presence(text)) for _, text in samples]
+    return language_id.fit_numbers(model, [(lang, at) for (lang, _), at in zip(samples, numbers)], numbers), numbers
+
+
 def test_language_held_out_accuracy(spark):
     rows = spoken(400, 7)
     docs = documents(spark, rows)
@@ -212,7 +238,7 @@ def test_language_held_out_accuracy(spark):
 
 def test_language_kernel_is_the_share_of_common_ngrams():
     texts = ["abcab", "bcd", "xyz"]
-    model = language_id.fit_sets([("a", np.unique(language_id.grams(t))) for t in texts])
+    model, _ = fitted([("a", t) for t in texts])
 
     def share(a, b):
         ga, gb = (set(language_id.grams(t).tolist()) for t in (a, b))
@@ -222,6 +248,33 @@ def test_language_kernel_is_the_share_of_common_ngrams():
     assert np.allclose(model.kernel(texts), expected, atol=1e-6)
 
 
+def test_language_weights_are_the_ridge_solution(spark):
+    """Brute force: kernels from Python sets, one regression per language by normal equations."""
+    samples = [(lang, text) for _, text, lang, _ in spoken(30, 21)]
+    model, _ = fitted(samples)
+    sets = [set(language_id.grams(t).tolist()) for _, t in samples]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    share = np.array([1 / sum(x == lang for x, _ in samples) for lang, _ in samples])
+    for j, name in enumerate(model.languages):
+        y = np.array([1.0 if lang == name else -1.0 for lang, _ in samples])
+        left = kernel.T @ np.diag(share) @ kernel + language_id.RIDGE * kernel + 1e-6 * np.eye(len(sets))
+        expected = np.linalg.solve(left, kernel.T @ (share * y))
+        assert np.allclose(kernel @ model.weights[:, j], kernel @ expected, atol=1e-3)
+
+
+def test_language_ngrams_that_share_a_slot_are_told_apart(monkeypatch):
+    monkeypatch.setattr(language_id, "SLOT_BITS", 4)
+    texts = ["the quick brown fox", "jumps over the lazy dog", "zażółć gęślą jaźń"]
+    model, numbers = fitted([("a", t) for t in texts])
+    for text, at in zip(texts, numbers):
+        assert {int(c) for c in model.codes[at]} == set(language_id.grams(text).tolist())
+
+
+def test_language_ties_go_to_the_first_name():
+    model, _ = fitted([("b", "same text"), ("a", "same text")])
+    assert model.predict(["same text"])[0] == ["a"]
+
+
 def test_language_inputs_are_text_only(spark):
     docs = documents(spark, spoken(200, 9))
     model = language_id.learned(docs)
@@ -238,6 +291,7 @@ def test_language_awkward_rows(spark):
     assert by[4]["lang_pred"] in SAYINGS
     assert rows_of(language_id.predict(with_clashes(odd), model)) == rows_of(language_id.predict(odd, model))
     assert language_id.learned(odd.limit(0)) is None
+    assert language_id.predict(odd.limit(0), model).count() == 0
     assert {r["lang_pred"] for r in language_id.predict(odd, None).collect()} == {"und"}
 
 
