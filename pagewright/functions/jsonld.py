@@ -36,36 +36,61 @@ def _bad_crumb(entry) -> bool:
     return not (right and has_item)
 
 
-def _bad_list(value, bad) -> bool:
-    return not isinstance(value, list) or not value or any(map(bad, value))
+def _kind(value) -> str:
+    """What a script's ``typeof`` says of a value that may be missing."""
+    if value is _MISSING:
+        return "undefined"
+    if isinstance(value, bool):
+        return "boolean"
+    return "number" if isinstance(value, (int, float)) else "string" if isinstance(value, str) else "object"
+
+
+_MISSING = object()
+
+
+def _list_evidence(block: dict, field: str, bad, kind: str, names: tuple[str, str, str]) -> dict | None:
+    items = block.get(field, _MISSING)
+    if not isinstance(items, list) or not items:
+        return {"schemaType": kind, names[0]: _kind(items)}
+    wrong = sum(map(bad, items))
+    return {names[1]: wrong, names[2]: len(items)} if wrong else None
+
+
+def block_evidence(blocks: list) -> dict[str, dict]:
+    """Evidence per structured-data rule that parsed blocks break, SD-001 and SD-007 aside; the first block that breaks a
+    rule about one type is shown."""
+    of_type = lambda *names: [b for b in blocks if isinstance(b, dict) and b.get("@type") in names]
+    first = lambda found: next((f for f in found if f), None)
+    untyped = sum(not isinstance(b, dict) or "@type" not in b for b in blocks)
+    bare = sum(not _is_object(b) or not _get(b, "@context") for b in blocks)
+    unusable = [i for i, b in enumerate(blocks) if b is None or isinstance(b, str) or (_is_object(b) and not b)]
+    foreign = [
+        {"index": i, "context": _get(b, "@context")}
+        for i, b in enumerate(blocks)
+        if _is_object(b) and not (isinstance(_get(b, "@context"), str) and "schema.org" in b["@context"])
+    ]
+    lacking = lambda b, names: [n for n in names if not _get(b, n)]
+    article = first({"schemaType": b["@type"], "missingFields": lacking(b, ARTICLE_FIELDS)} if lacking(b, ARTICLE_FIELDS) else None for b in of_type(*ARTICLES))
+    offers = [b["offers"] for b in of_type("Product") if _is_object(b.get("offers"))]
+    price = ("price", "priceCurrency")
+    found = {
+        "SD-002": {"totalBlocks": len(blocks), "missingTypeCount": untyped} if untyped else None,
+        "SD-003": {"totalBlocks": len(blocks), "missingContextCount": bare} if bare else None,
+        "SD-004": {"schemaType": "Organization", "missingProperty": "name"} if any(not b.get("name") for b in of_type("Organization")) else None,
+        "SD-005": article,
+        "SD-006": {"schemaType": "Product", "missingProperty": "offers"} if any(b.get("offers") is None for b in of_type("Product")) else None,
+        "SD-008": {"totalBlocks": len(blocks), "invalidBlockIndices": unusable} if unusable else None,
+        "SD-009": {"invalidContextCount": len(foreign), "invalidContexts": foreign} if foreign else None,
+        "SD-010": first(_list_evidence(b, "mainEntity", _bad_question, "FAQPage", ("mainEntityType", "invalidQuestionCount", "totalQuestions")) for b in of_type("FAQPage")),
+        "SD-011": first(_list_evidence(b, "itemListElement", _bad_crumb, "BreadcrumbList", ("itemListElementType", "invalidEntryCount", "totalEntries")) for b in of_type("BreadcrumbList")),
+        "SD-012": first({"missingFields": lacking(o, price)} if lacking(o, price) else None for o in offers),
+    }
+    return {rule: shown for rule, shown in found.items() if shown}
 
 
 def block_rules(blocks: list) -> list[str]:
     """Ids of the structured-data rules that parsed blocks break, SD-001 and SD-007 aside."""
-    found = []
-    of_type = lambda *names: [b for b in blocks if _get(b, "@type") in names]
-    if any(not isinstance(b, dict) or "@type" not in b for b in blocks):
-        found.append("SD-002")
-    if any(not _is_object(b) or not _get(b, "@context") for b in blocks):
-        found.append("SD-003")
-    if any(not b.get("name") for b in of_type("Organization")):
-        found.append("SD-004")
-    if any(not b.get(f) for b in of_type(*ARTICLES) for f in ARTICLE_FIELDS):
-        found.append("SD-005")
-    if any(b.get("offers") is None for b in of_type("Product")):
-        found.append("SD-006")
-    if any(b is None or isinstance(b, str) or (_is_object(b) and not b) for b in blocks):
-        found.append("SD-008")
-    if any(_is_object(b) and not (isinstance(_get(b, "@context"), str) and "schema.org" in b["@context"]) for b in blocks):
-        found.append("SD-009")
-    if any(_bad_list(b.get("mainEntity"), _bad_question) for b in of_type("FAQPage")):
-        found.append("SD-010")
-    if any(_bad_list(b.get("itemListElement"), _bad_crumb) for b in of_type("BreadcrumbList")):
-        found.append("SD-011")
-    offers = [b["offers"] for b in of_type("Product") if _is_object(b.get("offers"))]
-    if any(not _get(o, "price") or not _get(o, "priceCurrency") for o in offers):
-        found.append("SD-012")
-    return found
+    return list(block_evidence(blocks))
 
 
 def _parsed(texts) -> list:
@@ -78,10 +103,11 @@ def _parsed(texts) -> list:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def broken_rules(blocks: pd.Series) -> pd.Series:
-    """Structured-data rules that a page's JSON texts break; texts that do not parse are left out."""
-    return pd.Series([block_rules(_parsed(texts)) for texts in blocks])
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def block_findings(blocks: pd.Series) -> pd.Series:
+    """Structured-data rules that a page's JSON texts break, with their evidence as JSON; texts that do not parse are left out."""
+    shown = lambda value: json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return pd.Series([{rule: shown(value) for rule, value in block_evidence(_parsed(texts)).items()} for texts in blocks])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

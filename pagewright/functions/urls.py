@@ -160,6 +160,19 @@ def query_names(url: Column | str) -> Column:
     return F.transform(pairs, lambda p: F.element_at(F.split(p, "="), 1))
 
 
+def query_map(url: Column | str) -> Column:
+    """Decoded parameters by name: of repeated names the last value, in the place of the first."""
+    query = F.substring(_part(col(url), 4), 2, 1 << 20)
+    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    value = lambda p: F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")
+    names = F.transform(pairs, lambda p: decoded(F.element_at(F.split(p, "="), 1)))
+    values = F.transform(pairs, lambda p: decoded(value(p)))
+    last = lambda n: F.element_at(F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda e: e["n"] == n), -1)["v"]
+    kept = F.array_distinct(names)
+    return F.map_from_arrays(kept, F.transform(kept, last))
+
+
 def token_words(url: Column | str) -> Column:
     """Words of the path for keyword use; a malformed escape anywhere gives none."""
     decoded = F.transform(segments(url), lambda s: F.try_url_decode(s))

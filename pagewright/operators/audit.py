@@ -6,42 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.operators import rules as catalogue
-from pagewright.operators.shared import derived, enriched, last_by
+from pagewright.operators.shared import enriched
+from pagewright.session import configure
 
 
-def _loops(pages: DataFrame) -> DataFrame:
-    """``(page_id, loops)``: redirects whose target, taken without a base, has the page itself as canonical."""
-    from pagewright.functions import urls
-
-    raw = F.coalesce(urls.comparable("canonical_url"), urls.bare_slash("canonical_url"))
-    back = last_by(pages.withColumn("_back", raw), "norm_url", "_back").select(F.col("norm_url").alias("_to"), "_back")
-    return pages.select("page_id", "norm_url", raw.alias("_to")).join(back, "_to").select("page_id", (F.col("_back") == F.col("norm_url")).alias("loops"))
-
-
-def evaluated(pages: DataFrame) -> DataFrame:
-    """Pages ready for every rule."""
-    rows = derived(pages)
-    return catalogue.structured_columns(enriched(pages, rows).join(_loops(rows), "page_id", "left").withColumn("loops", F.coalesce("loops", F.lit(False))))
+def evaluated(pages: DataFrame, found: list[catalogue.Rule]) -> DataFrame:
+    """Pages with what these rules read, and nothing else joined."""
+    needs = catalogue.needs(found)
+    page = enriched(pages, needs)
+    return catalogue.structured_columns(page) if "structured" in needs else page
 
 
 def audit(pages: DataFrame, categories: tuple[str, ...] | None = None) -> DataFrame:
-    """``rule_id, category, severity, title, affected_url, page_id, evidence`` per broken rule and url.
+    """``rule_id, category, severity, title, description, affected_url, page_id, evidence`` per broken rule and url.
 
-    All rules are one projection to arrays of findings and one explode: the pages are read once, whatever the number of
-    rules. A rule gives at most one row per page; of pages that share a url the first by id counts.
+    All rules are one projection to arrays of findings and one explode, whatever the number of rules. A rule gives at most
+    one row per page; of pages that share a url the first by id counts.
     """
+    configure(pages.sparkSession)
     found = [r for r in catalogue.catalogue() if categories is None or r.category in categories]
 
     def finding(rule: catalogue.Rule):
-        values = {"rule_id": rule.id, "category": rule.category, "severity": rule.severity, "title": rule.title}
-        evidence = rule.evidence if rule.evidence is not None else F.lit(None).cast("string")
-        return F.when(rule.broken, F.struct(*[F.lit(v).alias(k) for k, v in values.items()], evidence.alias("evidence")))
+        # constants are looked up by rule once the findings are few, not carried through the shuffle
+        return F.when(rule.broken, F.struct(F.lit(rule.id).alias("rule_id"), rule.evidence.alias("evidence")))
 
     groups = {}
     for rule in found:
         groups.setdefault(rule.category, []).append(finding(rule))
     per_category = [F.filter(F.array(*items), lambda f: f.isNotNull()) for items in groups.values()]
-    rows = evaluated(pages).select("page_id", F.col("url").alias("affected_url"), F.explode(F.concat(*per_category)).alias("f"))
+    rows = evaluated(pages, found).select("page_id", F.col("url").alias("affected_url"), F.explode(F.concat(*per_category)).alias("f"))
     first = F.min_by(F.struct("page_id", "f"), F.struct(F.length("page_id"), F.col("page_id"))).alias("_first")
-    kept = rows.groupBy(F.col("f.rule_id").alias("_rule"), "affected_url").agg(first)
-    return kept.select("_first.f.rule_id", "_first.f.category", "_first.f.severity", "_first.f.title", "affected_url", "_first.page_id", "_first.f.evidence")
+    kept = rows.groupBy(F.col("f.rule_id").alias("rule_id"), "affected_url").agg(first)
+    constant = lambda of: F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r.id, of(r))]), F.col("rule_id"))
+    return kept.select(
+        "rule_id", constant(lambda r: r.category).alias("category"), constant(lambda r: r.severity).alias("severity"), constant(lambda r: r.title).alias("title"),
+        constant(lambda r: r.description).alias("description"), "affected_url", "_first.page_id", "_first.f.evidence",
+    )

@@ -194,7 +194,3 @@ def counts(issues: DataFrame, linked: bool = False) -> DataFrame:
 
 def category_severity(issues: DataFrame) -> DataFrame:
     return issues.groupBy(F.concat_ws(":", "category", "severity").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def missing_text(c: str) -> Column:
-    return F.when(falsy(c), "").otherwise(F.col(c))

@@ -171,7 +171,3 @@ def unread(notifications: DataFrame, kinds: list[str] | None = None) -> DataFram
     """Unread notifications, of given types if any are given."""
     out = notifications.where(~F.coalesce("is_read", F.lit(False)))
     return out.where(F.col("type").isin(kinds)) if kinds else out
-
-
-def group_of(url: str = "url") -> Column:
-    return urls.group(url)

@@ -1,7 +1,9 @@
 """Cross-page inputs of the audit, joined to each page once.
 
-``enriched`` adds the derived columns that rules share and eight joined inputs. All joins are equi joins on url keys;
-per-key aggregates are partial before they are shuffled. Site-wide scalars are one-row frames.
+``enriched`` adds the derived columns that rules share and the joined inputs that were asked for. Pages are read for them
+at most twice: once for a narrow table of keys, once for the rows of links; both are materialised, and every aggregate is
+made from those. Aggregates of one key are one join. All joins are equi joins on url keys, and per-key aggregates are
+partial before they are shuffled; lists of a key are cut before they are gathered. Site-wide scalars are one-row frames.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import urls
 from pagewright.functions.text import blank, trimmed
+from pagewright.operators.evidence import LISTED
+from pagewright.session import checkpointed
 
 #: A redirect chain is followed this far.
 MAX_HOPS = 10
@@ -70,79 +74,157 @@ def site_languages(pages: DataFrame) -> DataFrame:
 
 
 def redirect_hops(pages: DataFrame) -> DataFrame:
-    """``(page_id, hops)`` for redirecting pages that name a target (their canonical, taken without a base).
+    """``(page_id, hops, chain)`` for redirecting pages that name a target (their canonical, taken without a base).
 
     The walk counts one hop to the target and one more for every redirecting page with a target that it meets; it ends
-    at any other page, at one seen before, and at ``MAX_HOPS``. Each hop is one equi join of the walks still going.
+    at any other page, at one seen before, and at ``MAX_HOPS``. ``chain`` holds the urls it met. Each hop is one equi
+    join of the walks still going.
     """
     target = F.when(~blank("canonical_url"), urls.lenient("canonical_url"))
     moved = F.col("status_code").between(300, 399)
-    known = last_by(pages.withColumn("_next", target), "norm_url", "status_code", "_next")
-    steps = known.where(moved & F.col("_next").isNotNull()).select(F.col("norm_url").alias("at"), F.col("_next").alias("next"))
-    walk = pages.where(moved & target.isNotNull()).select("page_id", target.alias("at"), F.array("norm_url").alias("seen"), F.lit(1).alias("hops"))
+    known = last_by(pages.withColumn("_next", target), "norm_url", "status_code", "_next", "canonical_url")
+    steps = known.where(moved & F.col("_next").isNotNull()).select(F.col("norm_url").alias("at"), F.col("_next").alias("next"), F.col("canonical_url").alias("raw"))
+    walk = pages.where(moved & target.isNotNull()).select(
+        "page_id", target.alias("at"), F.col("canonical_url").alias("named"), F.array("norm_url").alias("seen"), F.array("url").alias("chain"), F.lit(1).alias("hops")
+    )
     for _ in range(MAX_HOPS - 1):
-        fresh = ~F.array_contains("seen", F.col("at"))
+        fresh = F.coalesce(~F.array_contains("seen", F.col("at")), F.lit(False))
         onward = F.when(fresh, F.col("next"))
         walk = walk.join(steps, "at", "left").select(
             "page_id",
             onward.alias("at"),
+            F.col("raw").alias("named"),
             F.when(fresh, F.concat("seen", F.array("at"))).otherwise(F.col("seen")).alias("seen"),
+            F.when(fresh, F.concat("chain", F.array("named"))).otherwise(F.col("chain")).alias("chain"),
             (F.col("hops") + F.when(onward.isNotNull(), 1).otherwise(0)).alias("hops"),
         )
-    return walk.select("page_id", "hops")
-
-
-def enriched(pages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """Pages with every shared input. Works on whole tables: pages, their links, and aggregates of both."""
-    page = rows if rows is not None else derived(pages)
-    links = link_rows(page)
-    inbound = links.groupBy("target").agg(F.count(F.lit(1)).alias("inbound"), F.count_distinct("url").alias("linking_pages"))
-    titled = page.where((F.col("status_code") == 200) & ~blank("title"))
-    title_key = F.lower(trimmed("title"))
-    titles = titled.groupBy(title_key.alias("title_key")).agg(F.count_distinct("url").alias("title_urls"))
-    canon_in = page.where(F.col("canon_norm").isNotNull() & (F.col("canon_norm") != F.col("norm_url"))).groupBy("canon_norm").agg(F.count(F.lit(1)).alias("canon_incoming"))
-    lookup = last_by(page, "norm_url", "status_code", "canon_norm", "canonical_url", "url")
-    target = lookup.select(
-        F.col("norm_url").alias("_t"), F.col("status_code").alias("canon_status"), F.col("canon_norm").alias("canon_of_target"), F.lit(True).alias("canon_known")
-    )
+    return walk.select("page_id", "hops", "chain")
+
+
+#: Page columns that the joined inputs are made of.
+KEYS = ("page_id", "url", "norm_url", "canon_norm", "canonical_url", "status_code", "title", "response_time", "page_size", "hreflang_tags")
+ALL = frozenset(("inbound", "canonical", "incoming", "titles", "outcomes", "alternates", "languages", "scalars", "hops", "loops"))
+
+
+def _order() -> Column:
+    return F.struct(F.length("page_id").alias("n"), F.col("page_id").alias("id"))
+
+
+def first_urls(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """``key, name``: the first ``n`` different urls of a key by page order; rows beyond are dropped before they are sent."""
+    once = rows.groupBy(key, "url").agg(F.min(_order()).alias("_o"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_o", "url"))
+    kept = once.withColumn("_place", place).where(F.col("_place") <= n)
+    return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "url"))), lambda u: u["url"]).alias(name))
+
+
+def _by_url(keys: DataFrame, links: DataFrame | None, needs: frozenset | set) -> DataFrame | None:
+    """Aggregates per comparable url: links to it and canonicals that name it."""
+    out = None
+    if "inbound" in needs:
+        per_source = links.groupBy(F.col("target").alias("norm_url"), "url").agg(F.count(F.lit(1)).alias("n"), F.min_by("page_id", _order()).alias("page_id"))
+        missing = keys.where(F.col("status_code").between(400, 499)).select("norm_url").distinct()
+        listed = first_urls(per_source.join(missing, "norm_url", "left_semi"), "norm_url", LISTED, "linking_list")
+        out = per_source.groupBy("norm_url").agg(F.sum("n").alias("inbound"), F.count(F.lit(1)).alias("linking_pages")).join(listed, "norm_url", "left")
+    if "incoming" in needs:
+        named = keys.where(F.col("canon_norm").isNotNull() & (F.col("canon_norm") != F.col("norm_url"))).select(F.col("canon_norm").alias("_n"), "url", "page_id").withColumnRenamed("_n", "norm_url")
+        incoming = named.groupBy("norm_url").agg(F.count(F.lit(1)).alias("canon_incoming")).join(first_urls(named, "norm_url", 10, "canon_list"), "norm_url", "left")
+        out = incoming if out is None else out.join(incoming, "norm_url", "full_outer")
+    return out
+
+
+def _outcomes(links: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Per page: where its links lead, as counts and lists in order. A page's own links bound its lists."""
     by_target = lookup.select(F.col("norm_url").alias("target"), F.col("status_code").alias("_status"))
-    outcome = (
-        links.join(by_target, "target", "left")
-        .groupBy("page_id")
-        .agg(
-            F.count_if(F.col("_status").between(300, 399)).alias("links_moved"),
-            F.count_if(F.col("_status") >= 400).alias("links_broken"),
-            F.count_if(F.col("target") == F.col("norm_url")).alias("links_self"),
-        )
+    item = F.struct("pos", F.col("target").alias("href"), F.col("_status").alias("statusCode"))
+    told = lambda c: F.transform(F.array_sort(c), lambda i: F.struct(i["href"].alias("href"), i["statusCode"].alias("statusCode")))
+    moved, broken, own = F.col("_status").between(300, 399), F.col("_status") >= 400, F.col("target") == F.col("norm_url")
+    found = links.join(by_target, "target", "left").where(moved | broken | own).groupBy("page_id").agg(
+        F.count_if(moved).alias("links_moved"),
+        F.count_if(broken).alias("links_broken"),
+        F.count_if(own).alias("links_self"),
+        told(F.collect_list(F.when(moved, item))).alias("moved_list"),
+        told(F.collect_list(F.when(broken, item))).alias("broken_list"),
+        F.transform(F.array_sort(F.collect_list(F.when(own, F.struct("pos", "text")))), lambda i: i["text"]).alias("self_list"),
+    )
+    return found
+
+
+def _alternates(keys: DataFrame) -> DataFrame:
+    """Per page: alternates that do not refer back, and those that do not answer 200."""
+    bare = urls.bare_slash
+    asked = keys.select("page_id", bare("url").alias("own"), F.posexplode("hreflang_tags").alias("pos", "tag"))
+    asked = asked.select("page_id", "own", "pos", F.col("tag.lang").alias("lang"), F.col("tag.href").alias("href"), bare("tag.href").alias("to"))
+    none = F.array().cast("array<struct<lang: string, href: string>>")
+    named = last_by(keys.withColumn("own", bare("url")), "own", "status_code", "hreflang_tags").select(
+        F.col("own").alias("to"), F.col("status_code").alias("_status"), F.transform(F.coalesce("hreflang_tags", none), lambda t: bare(t["href"])).alias("_back")
     )
-    alternates = page.select("page_id", "url", F.explode("hreflang_tags").alias("tag")).select("page_id", urls.bare_slash("url").alias("own"), urls.bare_slash("tag.href").alias("to"))
-    named = last_by(page.withColumn("own", urls.bare_slash("url")), "own", "status_code", "hreflang_tags").select(
-        F.col("own").alias("to"), F.col("status_code").alias("_status"), F.transform(F.coalesce("hreflang_tags", F.array().cast("array<struct<lang: string, href: string>>")), lambda t: urls.bare_slash(t["href"])).alias("_back")
-    )
-    alternate = (
-        alternates.join(named, "to")
-        .groupBy("page_id")
-        .agg(
-            F.count_if((F.col("own") != F.col("to")) & ~F.coalesce(F.array_contains("_back", F.col("own")), F.lit(False))).alias("alternates_one_way"),
-            F.count_if(F.col("_status") != 200).alias("alternates_bad"),
-        )
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return (
-        page.withColumn("title_key", F.when((F.col("status_code") == 200) & ~blank("title"), title_key))
-        .join(inbound.withColumnRenamed("target", "norm_url"), "norm_url", "left")
-        .join(titles, "title_key", "left")
-        .join(canon_in.select(F.col("canon_norm").alias("norm_url"), "canon_incoming"), "norm_url", "left")
-        .join(target, F.col("canon_norm") == F.col("_t"), "left")
-        .join(outcome, "page_id", "left")
-        .join(alternate, "page_id", "left")
-        .join(redirect_hops(page), "page_id", "left")
-        .join(F.broadcast(site_scalars(page)))  # one row each
-        .join(F.broadcast(site_languages(page)))
-        .withColumns({c: zero(c) for c in ("inbound", "linking_pages", "title_urls", "canon_incoming", "links_moved", "links_broken", "links_self", "alternates_one_way", "alternates_bad", "hops")})
+    one_way = (F.col("own") != F.col("to")) & ~F.coalesce(F.array_contains("_back", F.col("own")), F.lit(False))
+    bad = F.col("_status") != 200
+    tag, told = F.struct("pos", "lang", "href"), F.struct("pos", "lang", "href", F.col("_status").alias("statusCode"))
+    bare_of = lambda c, *names: F.transform(F.array_sort(c), lambda i: F.struct(*[i[n].alias(n) for n in names]))
+    return asked.join(named, "to").groupBy("page_id").agg(
+        F.count_if(one_way).alias("alternates_one_way"),
+        F.count_if(bad).alias("alternates_bad"),
+        bare_of(F.collect_list(F.when(one_way, tag)), "lang", "href").alias("one_way_list"),
+        bare_of(F.collect_list(F.when(bad, told)), "lang", "href", "statusCode").alias("bad_list"),
     )
 
 
-def title_peers() -> Column:
-    """Other pages with the same title, as a window over pages of status 200."""
-    return F.count(F.lit(1)).over(Window.partitionBy("title_key")) - 1
+def _loops(keys: DataFrame) -> DataFrame:
+    """``(page_id, loops, loop_canonical)``: pages whose target, taken without a base, has a canonical, and whether that is
+    the page itself."""
+    raw = F.coalesce(urls.comparable("canonical_url"), urls.bare_slash("canonical_url"))
+    back = last_by(keys.withColumn("_back", raw), "norm_url", "_back", "canonical_url").select(F.col("norm_url").alias("_to"), "_back", F.col("canonical_url").alias("loop_canonical"))
+    moved = keys.where(F.col("status_code").between(300, 399))
+    return moved.select("page_id", "norm_url", raw.alias("_to")).join(back, "_to").select("page_id", (F.col("_back") == F.col("norm_url")).alias("loops"), "loop_canonical")
+
+
+def enriched(pages: DataFrame, needs: frozenset | set = ALL) -> DataFrame:
+    """Pages with derived columns and the shared inputs named in ``needs``."""
+    page = derived(pages)
+    if not needs & ALL:
+        return page
+    keys = checkpointed(page.select(*KEYS))
+    links = checkpointed(link_rows(page)) if needs & {"inbound", "outcomes"} else None
+    lookup = last_by(keys, "norm_url", "status_code", "canon_norm", "canonical_url") if needs & {"canonical", "outcomes"} else None
+    zero = []
+    by_url = _by_url(keys, links, needs)
+    if by_url is not None:
+        page = page.join(by_url, "norm_url", "left")
+        zero += ["inbound", "linking_pages"] * ("inbound" in needs) + ["canon_incoming"] * ("incoming" in needs)
+    if "titles" in needs:
+        title_key = F.when((F.col("status_code") == 200) & ~blank("title"), F.lower(trimmed("title")))
+        titled = keys.select(title_key.alias("title_key"), "url", "page_id").where("title_key is not null")
+        titles = titled.groupBy("title_key").agg(F.count_distinct("url").alias("title_urls")).where("title_urls > 1").join(first_urls(titled, "title_key", 11, "title_list"), "title_key")
+        page = page.withColumn("title_key", title_key).join(titles, "title_key", "left")
+        zero.append("title_urls")
+    if "canonical" in needs:
+        target = lookup.select(
+            F.col("norm_url").alias("_t"), F.col("status_code").alias("canon_status"), F.col("canon_norm").alias("canon_of_target"), F.col("canonical_url").alias("target_canonical"), F.lit(True).alias("canon_known")
+        )
+        page = page.join(target, F.col("canon_norm") == F.col("_t"), "left")
+    per_page = []
+    if "outcomes" in needs:
+        per_page.append(_outcomes(links, lookup))
+        zero += ["links_moved", "links_broken", "links_self"]
+    if "alternates" in needs:
+        per_page.append(_alternates(keys))
+        zero += ["alternates_one_way", "alternates_bad"]
+    if "hops" in needs:
+        per_page.append(redirect_hops(keys))
+        zero.append("hops")
+    if "loops" in needs:
+        per_page.append(_loops(keys))
+    if per_page:  # one row per page and input: one join with the wide rows
+        merged = per_page[0]
+        for more in per_page[1:]:
+            merged = merged.join(more, "page_id", "full_outer")
+        page = page.join(merged, "page_id", "left")
+    if "loops" in needs:
+        page = page.withColumn("loops", F.coalesce("loops", F.lit(False)))
+    if "scalars" in needs:
+        page = page.join(F.broadcast(site_scalars(keys)))  # one row
+    if "languages" in needs:
+        page = page.join(F.broadcast(site_languages(keys)))  # one row
+    return page.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})

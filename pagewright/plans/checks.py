@@ -42,7 +42,7 @@ def _p(column: str = "page_id") -> Column:
 
 
 def _audit(category: str):
-    return lambda spark, sf_dir: audit(site(spark, sf_dir), (category,)).select("rule_id", "affected_url", "page_id")
+    return lambda spark, sf_dir: audit(site(spark, sf_dir), (category,)).select("rule_id", "affected_url", "page_id", "evidence")
 
 
 for _category in CATEGORIES:
@@ -1024,7 +1024,7 @@ def unread_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "evidence_links",
-    f"""WITH RECURSIVE {_AUDIT_CTE} SELECT page_id, url AS link FROM a WHERE rule_id = 'IDX-004' UNION ALL SELECT a.page_id, k.canon_norm FROM a JOIN k USING (p) WHERE rule_id = 'IDX-004' AND k.canon_norm <> a.url""",
+    f"""WITH RECURSIVE {_AUDIT_CTE} SELECT page_id, url AS link FROM a WHERE rule_id = 'IDX-004' UNION ALL SELECT a.page_id, k.canonical_url FROM a JOIN k USING (p) WHERE rule_id = 'IDX-004' AND k.canonical_url LIKE 'http%' AND k.canonical_url <> a.url""",
 )
 def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audit(site(spark, sf_dir), ("INDEXABILITY",)).where("rule_id = 'IDX-004'")

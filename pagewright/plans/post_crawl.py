@@ -29,7 +29,7 @@ def run(pages: DataFrame, issues: DataFrame, now: Column, agents: DataFrame | No
         except Exception as error:  # a step's failure must not stop the others
             out.failures[name] = str(error)
 
-    step("issues", lambda: lifecycle.sync_issues(audit(pages).withColumn("description", F.col("title")), issues, now))
+    step("issues", lambda: lifecycle.sync_issues(audit(pages), issues, now))
     step("keywords", lambda: keywords.keyword_table(pages))
     step("edges", lambda: graph.edges(pages))
     if "issues" in out.tables:
