@@ -160,6 +160,19 @@ def query_names(url: Column | str) -> Column:
     return F.transform(pairs, lambda p: F.element_at(F.split(p, "="), 1))
 
 
+def sitemap_url(raw: Column | str, site: Column | str) -> Column:
+    """A sitemap reference as an absolute url of the site: relative ones resolved, host without ``www.``, no fragment; null
+    if it is blank or not http(s)."""
+    text = trimmed(col(raw))
+    full = resolved(text, F.concat(site_url(site), F.lit("/")))
+
+    def parts(u: Column) -> Column:
+        at = F.when(path(u) == "", "/").otherwise(path(u))
+        return F.when(scheme(u).isin("http", "https"), F.concat(scheme(u), F.lit("://"), normal_host(host(u)), F.regexp_extract(u, r"(?s)^[^/?#]*//[^/?#]*?(:\d+)?(?:[/?#]|$)", 1), at, F.regexp_extract(u, r"(?s)^[^?#]*(\?[^#]*)", 1)))
+
+    return F.when(text != "", once(full, parts))
+
+
 def query_map(url: Column | str) -> Column:
     """Decoded parameters by name: of repeated names the last value, in the place of the first."""
     query = F.substring(_part(col(url), 4), 2, 1 << 20)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import urls
 from pagewright.functions.text import blank, contains_ci, severity_rank
+from pagewright.operators.ranking import first_of
 from pagewright.operators.shared import derived, last_by, link_rows
 
 ANCHOR = 200
@@ -86,10 +87,18 @@ def subgraph(node: DataFrame, edge: DataFrame, group: str | None = None, status:
     return kept, inner
 
 
-def adjacency(edge: DataFrame) -> DataFrame:
-    """``page_id, neighbours, incident``: undirected neighbours in order, and links at the page."""
-    both = edge.select(F.col("source").alias("page_id"), F.col("target").alias("other")).union(edge.select(F.col("target"), F.col("source")))
-    return both.groupBy("page_id").agg(F.array_sort(F.collect_set("other")).alias("neighbours"), F.count(F.lit(1)).alias("incident"))
+def adjacency_rows(edge: DataFrame) -> DataFrame:
+    """``page_id, other``: both directions of every link."""
+    return edge.select(F.col("source").alias("page_id"), F.col("target").alias("other")).union(edge.select(F.col("target"), F.col("source")))
+
+
+def adjacency(edge: DataFrame, shown: int = 50) -> DataFrame:
+    """``page_id, neighbours, incident``: the first neighbours in order, and how many links meet at the page.
+
+    A hub has any number of neighbours: ``adjacency_rows`` has them all.
+    """
+    both = adjacency_rows(edge)
+    return both.groupBy("page_id").agg(F.count(F.lit(1)).alias("incident")).join(first_of(both, "page_id", "other", shown, "neighbours"), "page_id").select("page_id", "neighbours", "incident")
 
 
 def groups(node: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import contains_ci, falsy, rounded, severity_rank
+from pagewright.functions.text import contains_ci, rounded, severity_rank
+from pagewright.operators.ranking import first_of
+from pagewright.session import checkpointed
 
 DESCRIBED = ("category", "severity", "title", "description", "page_id", "evidence")
 # Points a rule costs if it is broken everywhere.
@@ -162,22 +164,30 @@ def by_severity() -> list[Column]:
     return [F.desc(severity_rank("severity")), F.desc("last_detected_at"), F.asc("issue_id")]
 
 
-def linked_from(issues: DataFrame, pages: DataFrame, internal_only: bool = False) -> DataFrame:
-    """Issues with ``linked_from``: sorted urls of the pages that link to the affected url."""
+def linking_rows(issues: DataFrame, pages: DataFrame, internal_only: bool = False) -> DataFrame:
+    """``affected_url, source``: every page that links to an issue's url, a row each."""
     from pagewright.functions import urls
     from pagewright.operators.shared import derived, link_rows
 
-    links = link_rows(derived(pages), internal_only)
-    sources = links.groupBy(F.col("target").alias("_target")).agg(F.sort_array(F.collect_set("url")).alias("linked_from"))
-    joined = issues.withColumn("_key", urls.lenient("affected_url")).join(sources, F.col("_key") == F.col("_target"), "left")
-    return joined.drop("_key", "_target").withColumn("linked_from", F.coalesce("linked_from", F.array().cast("array<string>")))
+    named = issues.select("affected_url").distinct().withColumn("target", urls.lenient("affected_url"))
+    links = link_rows(derived(pages), internal_only).select("target", F.col("url").alias("source"))
+    return links.join(named, "target").select("affected_url", "source").distinct()
 
 
-def grouped_for_report(issues: DataFrame) -> DataFrame:
-    """By (rule, title): count, urls in order, severity of the first issue by id."""
-    return issues.groupBy("rule_id", "title").agg(
-        F.min_by("severity", "issue_id").alias("severity"), F.count(F.lit(1)).alias("instances"), F.sort_array(F.collect_list("affected_url")).alias("urls")
-    )
+def linked_from(issues: DataFrame, pages: DataFrame, internal_only: bool = False, shown: int = 50) -> DataFrame:
+    """Issues with ``linked_from``, the first urls of the pages that link to the affected url, and ``linking_pages``, how
+    many there are. ``linking_rows`` has them all."""
+    rows = checkpointed(linking_rows(issues, pages, internal_only))
+    counted = rows.groupBy("affected_url").agg(F.count(F.lit(1)).alias("linking_pages")).join(first_of(rows, "affected_url", "source", shown, "linked_from"), "affected_url")
+    joined = issues.join(counted, "affected_url", "left")
+    return joined.withColumns({"linked_from": F.coalesce("linked_from", F.array().cast("array<string>")), "linking_pages": F.coalesce("linking_pages", F.lit(0))})
+
+
+def grouped_for_report(issues: DataFrame, shown: int = 50) -> DataFrame:
+    """By (rule, title): count, the first urls in order, severity of the first issue by id. The rows have all urls."""
+    keyed = issues.withColumn("_key", F.concat_ws("\u0001", "rule_id", F.coalesce("title", F.lit(""))))
+    counted = keyed.groupBy("_key", "rule_id", "title").agg(F.min_by("severity", "issue_id").alias("severity"), F.count(F.lit(1)).alias("instances"))
+    return counted.join(first_of(keyed, "_key", "affected_url", shown, "urls"), "_key").drop("_key").select("rule_id", "title", "severity", "instances", "urls")
 
 
 def grouped_for_view(issues: DataFrame) -> DataFrame:

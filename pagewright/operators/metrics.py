@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.functions import urls
 from pagewright.functions.jsonld import valid_blocks
 from pagewright.functions.text import CATEGORIES, blank, rounded, severity_rank, trimmed, utf16_length
 

@@ -46,3 +46,11 @@ def range_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         .withColumn(name, F.col("_offset") + F.col("_at"))
         .drop("_part", "_offset", "_at")
     )
+
+
+def first_of(rows: DataFrame, key: str, value: str, n: int, name: str) -> DataFrame:
+    """``key, name``: the ``n`` smallest different values of a key, in order. What is beyond is dropped before it is sent, so
+    a key with any number of rows costs a task no more than ``n`` values from each of its map tasks."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    kept = rows.select(key, value).distinct().withColumn("_place", place).where(F.col("_place") <= n)
+    return kept.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(name))

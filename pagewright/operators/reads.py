@@ -97,6 +97,32 @@ def previous_findings(runs: DataFrame, findings: DataFrame, agent_id: str, cap:
     return findings.join(F.broadcast(last), "run_id", "left_semi").orderBy("created_at", "finding_id").limit(cap)
 
 
+def project_list(projects: DataFrame, user_id: str) -> DataFrame:
+    """A user's projects, the one changed last first."""
+    return projects.where(F.col("user_id") == user_id).orderBy(F.desc("updated_at"), "project_id")
+
+
+def notification_list(notifications: DataFrame, projects: DataFrame, user_id: str, project_id: str | None = None, limit: int = 50) -> DataFrame:
+    """A user's newest notifications with the name of their project."""
+    mine = notifications.where(F.col("user_id") == user_id)
+    if project_id is not None:
+        mine = mine.where(F.col("project_id") == project_id)
+    newest = mine.orderBy(F.desc("created_at"), F.desc("notification_id")).limit(limit)
+    return newest.join(projects.select("project_id", F.col("name").alias("project_name")), "project_id", "left").orderBy(F.desc("created_at"), F.desc("notification_id"))
+
+
+def agent_with_runs(agents: DataFrame, runs: DataFrame, findings: DataFrame, most: int = 20, shown: int = 50) -> DataFrame:
+    """Agents with ``runs``, the newest first, each with its first ``findings`` and how many there are."""
+    kept = latest_per(runs, "agent_id", "created_at", most)
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("created_at", "finding_id"))
+    first = findings.withColumn("_n", place).where(F.col("_n") <= shown)
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_n", "finding_id", "severity", "title"))), lambda f: F.struct(f["finding_id"], f["severity"], f["title"]))
+    per_run = first.groupBy("run_id").agg(items.alias("findings")).join(findings.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_findings")), "run_id")
+    told = kept.join(per_run, "run_id", "left").withColumns({"findings": F.coalesce("findings", F.array().cast("array<struct<finding_id: long, severity: string, title: string>>")), "n_findings": F.coalesce("n_findings", F.lit(0))})
+    newest = F.sort_array(F.collect_list(F.struct("created_at", "run_id", "status", "n_findings", "findings")), asc=False)
+    return agents.join(told.groupBy("agent_id").agg(newest.alias("runs")), "agent_id", "left")
+
+
 def project_summary(projects: DataFrame, pages: DataFrame, issues: DataFrame, project_id: str) -> DataFrame:
     mine = F.col("project_id") == project_id
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))

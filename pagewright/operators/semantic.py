@@ -17,7 +17,6 @@ from pagewright.session import checkpointed
 
 # Words that carry no topic.
 STOP_WORDS = "a an and are as at be by for from has in is it of on or that the to was were with www com org net page pages".split()
-KEYWORDS_READ = 5000
 TERMS, NEIGHBOURS, SHARED, TOP_TERMS = 24, 6, 4, 10
 COMMON, LEAST_WEIGHT, LEAST_SIMILARITY = 0.7, 0.08, 0.12
 
@@ -29,8 +28,8 @@ def normal_keyword(text: Column) -> Column:
     return F.when(fit, word)
 
 
-def strongest(stored: DataFrame, most: int = KEYWORDS_READ) -> DataFrame:
-    """The keyword rows that analytics reads: the best by score."""
+def strongest(stored: DataFrame, most: int = 5000) -> DataFrame:
+    """The best keyword rows by score, for a report; analytics reads all of them."""
     return stored.orderBy(F.desc("score"), "page_id", "keyword").limit(most)
 
 

@@ -225,6 +225,68 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "title", F.try_element_at("h1", F.lit(1)).alias("h1"), (F.size("internal_links") + F.size("external_links")).alias("links"), "page_size", F.size("images").alias("images"))
 
 
+def tagged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw pages with head and body tags that they lack, chosen by arithmetic on ``page_id``."""
+    configure(spark)
+    pages = table(spark, sf_dir, "pages")
+    p, n = _p(), F.col("page_id").cast("string")
+    tag = lambda text: F.concat(*[n if part == "#" else F.lit(part) for part in text.replace("#", "\0#\0").split("\0") if part])
+    some = lambda test, text: F.when(test, tag(text)).otherwise("")
+    head = F.concat(
+        some(p % 3 == 1, '<meta name="description" content=" About &amp; more # ">'), some(p % 3 == 2, '<meta name="description" content="  ">'),
+        some(p % 4 == 1, '<meta name="robots" content="noindex, follow">'), some(p % 5 == 2, '<link rel="canonical" href="/c/#">'), some(p % 5 == 3, '<link href="http://other.test/x?y=1" rel="canonical"/>'),
+        some(p % 2 == 0, '<meta property="og:title" content="T #"><meta property="og:type" content="article"><meta property="og:empty" content="">'),
+        some(p % 7 == 0, '<link rel="alternate" hreflang="en" href="https://e.test/#"><link rel="alternate" hreflang="x-default" href="/d"><link rel="alternate" href="/feed">'),
+        some(p % 6 == 0, '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Product","name":"n #"}</script><script type="application/ld+json">{broken</script>'),
+    )
+    body = F.concat(
+        some(p % 3 == 1, "<h2>Sub &lt; #</h2><h2> </h2><h3>Deep</h3>"), some(p % 4 == 2, '<img src="/i#.png" alt="A" width="10px" height="20"><img src="http://x.test/j.png"><img alt=" " width="0">')
+    )
+    marked = F.replace(F.replace("html", F.lit("</head>"), F.concat(head, F.lit("</head>"))), F.lit("<article>"), F.concat(F.lit("<article>"), body))
+    return pages.withColumn("html", marked)
+
+
+_FIELDS_SQL = """fd AS (SELECT page_id, url, page_id AS p, CASE WHEN page_id % 3 = 1 THEN 'About & more ' || page_id END AS meta_description, CASE WHEN page_id % 4 = 1 THEN 'noindex, follow' END AS meta_robots,
+  CASE WHEN page_id % 5 = 2 THEN '/c/' || page_id WHEN page_id % 5 = 3 THEN 'http://other.test/x?y=1' END AS canonical_url, CASE WHEN page_id % 2 = 0 THEN 'T ' || page_id END AS og_title, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END AS n_og,
+  CASE WHEN page_id % 7 = 0 THEN 'en=https://e.test/' || page_id || '|x-default=/d' ELSE '' END AS alternates, CASE WHEN page_id % 6 = 0 THEN 'n ' || page_id END AS product,
+  CASE WHEN page_id % 3 = 1 THEN 'Sub < ' || page_id ELSE '' END AS h2, CASE WHEN page_id % 3 = 1 THEN 'Deep' ELSE '' END AS h3,
+  CASE WHEN page_id % 4 = 2 THEN '/i' || page_id || '.png,A,10,20|http://x.test/j.png,,,|, ,,' ELSE '' END AS images FROM pages)"""
+
+
+@query("html_fields", f"WITH {_FIELDS_SQL} SELECT * EXCLUDE (p, url) FROM fd")
+def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(tagged_pages(spark, sf_dir))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    image = lambda i: F.concat_ws(",", i["src"], i["alt"], text(i["width"]), text(i["height"]))
+    return found.select(
+        "page_id", "meta_description", "meta_robots", "canonical_url", F.try_element_at("og_tags", F.lit("og:title")).alias("og_title"), F.size(F.map_keys("og_tags")).alias("n_og"),
+        F.array_join(F.transform("hreflang_tags", lambda t: F.concat(t["lang"], F.lit("="), t["href"])), "|").alias("alternates"), F.get_json_object(F.try_element_at("json_ld", F.lit(1)), "$.name").alias("product"),
+        F.array_join("h2", "|").alias("h2"), F.array_join("h3", "|").alias("h3"), F.array_join(F.transform("images", image), "|").alias("images"),
+    )
+
+
+@query(
+    "extracted_audit",
+    f"""WITH {_U}, {_FIELDS_SQL}, t AS (SELECT page_id, nullif({_plain("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '') AS title, nullif({_plain("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}, '') AS h1 FROM pages),
+c AS (SELECT lower(trim(title)) AS key, count(DISTINCT url) AS n FROM t JOIN pages USING (page_id) WHERE title IS NOT NULL GROUP BY 1),
+x AS (SELECT fd.*, v.scheme, t.title, t.h1, c.n AS same FROM fd JOIN v USING (page_id) JOIN t USING (page_id) LEFT JOIN c ON c.key = lower(trim(title))),
+f AS (SELECT page_id, url, unnest([CASE WHEN title IS NULL THEN 'OPG-001' END, CASE WHEN same > 1 THEN 'OPG-002' END, CASE WHEN len(title) > 60 THEN 'OPG-003' END, CASE WHEN h1 IS NULL THEN 'OPG-004' END,
+  CASE WHEN meta_description IS NULL THEN 'OPG-006' END, CASE WHEN len(trim(title)) BETWEEN 1 AND 9 THEN 'OPG-009' END,
+  CASE WHEN images <> '' THEN 'IMG-001' END, CASE WHEN images <> '' THEN 'IMG-003' END, CASE WHEN images <> '' AND scheme = 'https' THEN 'IMG-006' END,
+  CASE WHEN canonical_url IS NULL THEN 'CAN-001' END, CASE WHEN canonical_url LIKE 'http%' THEN 'CAN-002' END, CASE WHEN canonical_url LIKE 'http%' THEN 'CAN-004' END, CASE WHEN canonical_url LIKE 'http%' AND scheme = 'https' THEN 'CAN-005' END,
+  CASE WHEN canonical_url LIKE '/%' THEN 'CAN-006' END, CASE WHEN canonical_url IS NOT NULL AND meta_robots IS NOT NULL THEN 'CAN-007' END,
+  CASE WHEN n_og = 0 THEN 'SOC-001' END, CASE WHEN n_og > 0 THEN 'SOC-003' END, CASE WHEN n_og > 0 THEN 'SOC-004' END, CASE WHEN n_og > 0 THEN 'SOC-005' END]) AS rule_id FROM x)
+SELECT DISTINCT rule_id, url AS affected_url FROM f WHERE rule_id IS NOT NULL""",
+)
+def extracted_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages, extracted and audited. Rules on word counts are left to the tests: SQL has no parser."""
+    from pagewright.plans.site import as_pages
+
+    found = html.extract(tagged_pages(spark, sf_dir)).withColumn("status_code", F.lit(200))
+    kept = audit(as_pages(found), ("ON_PAGE", "IMAGES", "CANONICALIZATION", "SOCIAL"))
+    return kept.where(~F.col("rule_id").isin("OPG-008")).select("rule_id", "affected_url")
+
+
 ROBOTS = (
     "User-agent: *", "Disallow: /fr/", "Allow: /fr/1", "Disallow: /*ref=x", "Sitemap: https://ex.test/sitemap.xml", "# comment",
     "User-agent: other", "Disallow: /", "User-agent: *", "Disallow: /de/2", "Disallow:", "Crawl-delay: 2",
@@ -249,12 +311,12 @@ def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH RECURSIVE {SITE},
 known AS (SELECT DISTINCT norm_url FROM k),
 step AS (SELECT DISTINCT norm_url AS a, target AS b FROM lt WHERE target IN (SELECT norm_url FROM known)),
-walk(key, depth) AS (SELECT norm_url, 0 FROM k WHERE p % 50 = 1 UNION SELECT step.b, depth + 1 FROM walk JOIN step ON step.a = walk.key WHERE depth < 3)
+walk(key, depth) AS (SELECT norm_url, 0 FROM k WHERE p % 50 = 1 UNION SELECT step.b, depth + 1 FROM walk JOIN step ON step.a = walk.key WHERE depth < 10)
 SELECT key, min(depth)::INT AS depth FROM walk GROUP BY key""",
 )
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = site(spark, sf_dir)
-    return frontier.crawl(pages.where(_p() % 50 == 1).select("url"), pages, "ex.test", max_depth=3, max_pages=1_000_000)
+    return frontier.crawl(pages.where(_p() % 50 == 1).select("url"), pages, "ex.test", max_pages=None)
 
 
 @query(
@@ -335,7 +397,7 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "graph_adjacency",
     f"""WITH {_GRAPH_CTE}, b AS (SELECT s AS x, t AS y FROM ed UNION ALL SELECT t, s FROM ed)
-SELECT x::VARCHAR AS page_id, array_to_string(list_sort(list(DISTINCT y::VARCHAR)), '|') AS neighbours, count(*) AS incident FROM b GROUP BY x""",
+SELECT x::VARCHAR AS page_id, array_to_string(list_sort(list(DISTINCT y::VARCHAR))[1:50], '|') AS neighbours, count(*) AS incident FROM b GROUP BY x""",
 )
 def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.adjacency(graph.edges(site(spark, sf_dir))).withColumn("neighbours", F.array_join("neighbours", "|"))
@@ -381,12 +443,14 @@ def graph_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "components",
-    """WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE c_custkey % 10 <> 0), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS root FROM b UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node""",
+    """WITH n AS (SELECT c_custkey AS k FROM customer UNION SELECT c_custkey + 1 FROM customer), r AS (SELECT k, k - row_number() OVER (ORDER BY k) AS run FROM n),
+c AS (SELECT k AS node, min(k) OVER (PARTITION BY run) AS component FROM r)
+SELECT node, component FROM c UNION ALL SELECT 1000000000 + o_orderkey, component FROM orders JOIN c ON c.node = o_custkey""",
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer")
-    return connected_components(customer.where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b")))
+    """A path over all customers, and the orders of each as a star: in SQL, runs of successive keys."""
+    path = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+    return connected_components(path.union(table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey") + 1_000_000_000)))
 
 
 # --- keywords and topics -------------------------------------------------------------------------------------------
@@ -394,21 +458,23 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP = _quoted(keywords.STOP_WORDS)
 _TOKENS = lambda t: f"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({t}, '')), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+'), lambda x: len(x) > 2 AND x NOT IN ({_STOP}))"
 _KEYWORD_CTE = rf"""{SITE},
-tk AS (SELECT p, {_TOKENS("title")} AS t, {_TOKENS("regexp_replace(regexp_extract(url, '^https?://[^/?]*([^?]*)', 1), '[/-]', ' ', 'g')")} AS u FROM k),
-al AS (SELECT p, j, {_TOKENS("'x' || j")} AS t FROM k, range(0) AS r(j)),
-gr AS (SELECT p, 0 AS src, n, i, array_to_string(t[i:i + n - 1], ' ') AS keyword, 10.0 AS weight FROM tk, range(1, 4) AS a(n), range(1, len(t) - n + 2) AS b(i)
-  UNION ALL SELECT p, 1, n, i, array_to_string(u[i:i + n - 1], ' '), 3.0 FROM tk, range(1, 3) AS a(n), range(1, len(u) - n + 2) AS b(i)),
-kw AS (SELECT p, keyword, sum(weight) AS score, count(*)::INT AS frequency, min(src * 1000000 + n * 10000 + i) AS first FROM gr GROUP BY 1, 2),
+fl AS (SELECT p, 0 AS src, 0 AS j, {_TOKENS("title")} AS t, 3 AS longest, 10.0 AS weight FROM k
+  UNION ALL SELECT p, 1, j, {_TOKENS("'Heading' || (p % 7) || ' part' || j")}, 3, 8.0 FROM k, range(p % 3) AS r(j)
+  UNION ALL SELECT p, 2, 0, {_TOKENS("descr")}, 3, 5.0 FROM k
+  UNION ALL SELECT p, 3, j, {_TOKENS("'section' || (p % 5) || ' notes' || j")}, 3, 4.0 FROM k, range(p % 4) AS r(j)
+  UNION ALL SELECT p, 4, j, {_TOKENS("'Detail ' || (p % 11 + 100)")}, 3, 4.0 FROM k, range(p % 2) AS r(j)
+  UNION ALL SELECT p, 5, 0, {_TOKENS("regexp_replace(regexp_extract(url, '^https?://[^/?]*([^?]*)', 1), '[/-]', ' ', 'g')")}, 2, 3.0 FROM k
+  UNION ALL SELECT p, 6, i.k, {_TOKENS("alt")}, 2, 1.0 FROM i WHERE alt <> ''),
+gr AS (SELECT p, src, j, n, i, array_to_string(t[i:i + n - 1], ' ') AS keyword, weight FROM fl, range(1, longest + 1) AS a(n), range(1, len(t) - n + 2) AS b(i)),
+kw AS (SELECT p, keyword, sum(weight) AS score, count(*)::INT AS frequency, min(src * 1000000000::BIGINT + j * 1000000 + n * 10000 + i) AS first FROM gr GROUP BY 1, 2),
 kt AS (SELECT * FROM kw QUALIFY row_number() OVER (PARTITION BY p ORDER BY score DESC, first) <= 20),
 kd AS (SELECT keyword, count(DISTINCT p) AS df FROM kt GROUP BY 1),
 ks AS (SELECT p, keyword, floor(score * ln((SELECT count(*) FROM pages) / df) * 100 + 0.5) / 100 AS score, frequency FROM kt JOIN kd USING (keyword))"""
 
 
 def keyword_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The site with titles and urls as the only keyword fields."""
-    bare = {c: F.lit(None).cast(t) for c, t in (("h1", "array<string>"), ("h2", "array<string>"), ("h3", "array<string>"), ("meta_description", "string"))}
-    pages = site(spark, sf_dir)
-    return pages.withColumns({**bare, "images": F.lit(None).cast(pages.schema["images"].dataType)})
+    """The site, all keyword fields filled."""
+    return site(spark, sf_dir)
 
 
 @query("keywords", f"WITH {_KEYWORD_CTE} SELECT p::VARCHAR AS page_id, keyword, score, frequency FROM ks")
@@ -419,7 +485,7 @@ def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "keyword_search",
     f"""WITH {_KEYWORD_CTE}, m AS (SELECT p FROM k WHERE contains(lower(url), 'the') OR contains(lower(coalesce(title, '')), 'the') OR EXISTS (SELECT 1 FROM ks WHERE ks.p = k.p AND contains(lower(ks.keyword), 'the'))),
-m2 AS (SELECT p FROM m JOIN k USING (p) WHERE contains(lower(url), 's1')), t AS (SELECT k.p, k.page_id, k.url FROM k JOIN m2 USING (p) ORDER BY url LIMIT 50),
+m2 AS (SELECT p FROM m JOIN k USING (p) WHERE contains(lower(url), 's1') OR contains(lower(coalesce(title, '')), 's1') OR EXISTS (SELECT 1 FROM ks WHERE ks.p = k.p AND contains(lower(ks.keyword), 's1'))), t AS (SELECT k.p, k.page_id, k.url FROM k JOIN m2 USING (p) ORDER BY url LIMIT 50),
 b AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, keyword) AS n FROM ks)
 SELECT page_id, url, (SELECT string_agg(keyword, '|' ORDER BY n) FROM b WHERE b.p = t.p AND n <= 10) AS keywords, (SELECT count(*) FROM pages) AS total FROM t""",
 )
@@ -442,7 +508,7 @@ def _topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """Nodes with their order, keyword scores and vectors of the site."""
     configure(spark)
     pages = keyword_pages(spark, sf_dir)
-    stored = checkpointed(semantic.strongest(keywords.keyword_table(pages)))
+    stored = checkpointed(keywords.keyword_table(pages))
     node = checkpointed(
         pages.select(_p().alias("ix"), "page_id", "url", urls.group("url").alias("grp"), "depth", (_p() % 6).cast("int").alias("issue_count"), (_p() % 4).cast("int").alias("inbound_links"))
     )
@@ -454,8 +520,7 @@ _TOPIC_STOP = _quoted(semantic.STOP_WORDS)
 _NORMAL = lambda x: f"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9 -]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _FIT = lambda x: f"len({x}) >= 3 AND NOT regexp_full_match({x}, '[0-9]+') AND {x} NOT IN ({_TOPIC_STOP})"
 _TOPIC_CTE = rf"""{_KEYWORD_CTE},
-st AS (SELECT * FROM ks ORDER BY score DESC, p::VARCHAR, keyword LIMIT 5000),
-sc0 AS (SELECT p, {_NORMAL("keyword")} AS keyword, greatest(0.05, score) AS score FROM st),
+sc0 AS (SELECT p, {_NORMAL("keyword")} AS keyword, greatest(0.05, score) AS score FROM ks),
 sc AS (SELECT * FROM sc0 WHERE {_FIT("keyword")}),
 wd AS (SELECT p, {_NORMAL("w")} AS term, score * 0.35 AS score FROM (SELECT p, unnest(string_split(keyword, ' ')) AS w, score FROM sc WHERE contains(keyword, ' '))),
 uw AS (SELECT p, {_NORMAL("w")} AS term, 0.25 AS score FROM (SELECT p, unnest(regexp_split_to_array(lower(regexp_replace(regexp_extract(url, '^https?://[^/?]*([^?]*)', 1), '[^a-zA-Z0-9_-]', ' ', 'g')), '[\s_-]+')) AS w FROM k)),
@@ -513,14 +578,44 @@ def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.keyword_distribution(_topics(spark, sf_dir)[1])
 
 
-@query("topic_segments")
+#: Pages that wait are taken one by one in their order, as the rule is worded; the plan settles them in rounds.
+_SEGMENT_CTE = f"""{_TOPIC_CTE},
+s0 AS (SELECT a, b FROM kn WHERE sim >= 0.3 OR (sim >= 0.24 AND len(shared) >= 2)), sb AS (SELECT a, b FROM s0 UNION SELECT b, a FROM s0),
+re AS (SELECT a AS node, a AS root FROM sb UNION SELECT sb.b, re.root FROM re JOIN sb ON sb.a = re.node), co AS (SELECT node, min(root) AS seg FROM re GROUP BY node),
+wn AS (SELECT a AS ix, list({{'nb': b, 'seg': co.seg}} ORDER BY place) AS nbs, row_number() OVER (ORDER BY a) AS rn FROM kn LEFT JOIN co ON co.node = b WHERE sim >= 0.24 AND a NOT IN (SELECT node FROM co) GROUP BY a),
+tw(rn, joined) AS (SELECT 0::BIGINT, []::STRUCT(ix BIGINT, seg BIGINT)[] UNION ALL
+  SELECT rn, CASE WHEN pick IS NULL THEN joined ELSE list_append(joined, {{'ix': ix, 'seg': pick}}) END FROM (SELECT wn.rn, wn.ix, tw.joined,
+    list_filter(list_transform(wn.nbs, lambda x: coalesce(x.seg, list_filter(tw.joined, lambda y: y.ix = x.nb)[1].seg)), lambda z: z IS NOT NULL)[1] AS pick FROM tw JOIN wn ON wn.rn = tw.rn + 1)),
+jo AS (SELECT unnest(joined) AS u FROM (SELECT joined FROM tw ORDER BY rn DESC LIMIT 1)),
+sm AS (SELECT node AS p, seg FROM co UNION ALL SELECT u.ix, u.seg FROM jo),
+sz AS (SELECT seg, count(*) AS n FROM sm GROUP BY 1 ORDER BY n DESC, seg LIMIT 30), sn AS (SELECT seg, row_number() OVER (ORDER BY n DESC, seg) AS number FROM sz),
+sg AS (SELECT p, number FROM sm JOIN sn USING (seg))"""
+
+
+@query(
+    "topic_segments",
+    f"""WITH RECURSIVE {_SEGMENT_CTE},
+pt AS (SELECT k.p, k.depth, k.grp, number FROM sg JOIN (SELECT p, len(list_filter(string_split(url, '/'), lambda x: x <> '')) - 2 AS depth, split_part(regexp_replace(regexp_extract(url, '^https?://[^/]+([^?]*)', 1), '^/', ''), '/', 1) AS grp FROM k) k USING (p)),
+tw8 AS (SELECT number, term, row_number() OVER (PARTITION BY number ORDER BY round(sum(weight), 9) DESC, term) AS n FROM ve JOIN sg USING (p) WHERE NOT starts_with(term, 'group:') GROUP BY number, term QUALIFY n <= 8),
+kw8 AS (SELECT number, list(term ORDER BY n) AS words FROM tw8 GROUP BY 1),
+gd AS (SELECT number, arg_min(grp, (-n, grp)) AS dominant FROM (SELECT number, grp, count(*) AS n FROM pt GROUP BY 1, 2) GROUP BY 1),
+ch AS (SELECT x.number, floor(avg(sim) * 1000 + 0.5) / 1000 AS cohesion FROM kn JOIN sg x ON x.p = kn.a JOIN sg y ON y.p = kn.b WHERE kn.b > kn.a AND x.number = y.number GROUP BY 1),
+tt AS (SELECT number, count(*) AS size, floor(avg(depth) * 10 + 0.5) / 10 AS avg_depth, sum(p % 6)::BIGINT AS total_issues FROM pt GROUP BY 1)
+SELECT number, 'semantic-' || number AS id, CASE WHEN len(words) >= 2 THEN words[1] || ' + ' || words[2] ELSE '/' || dominant END AS label, size, avg_depth, total_issues,
+  coalesce(array_to_string(words, '|'), '') AS keywords, coalesce(cohesion, 0) AS cohesion FROM tt JOIN gd USING (number) LEFT JOIN kw8 USING (number) LEFT JOIN ch USING (number)""",
+)
 def topic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     node, _, vector = _topics(spark, sf_dir)
     near = checkpointed(semantic.neighbours(vector, semantic.similarities(vector)))
-    return semantic.segment_summary(node, vector, near, checkpointed(semantic.segments(node, near)))
+    return semantic.segment_summary(node, vector, near, checkpointed(semantic.segments(node, near))).withColumn("keywords", F.array_join("keywords", "|"))
 
 
-@query("topic_bridges")
+@query(
+    "topic_bridges",
+    f"""WITH RECURSIVE {_SEGMENT_CTE},
+cr AS (SELECT kn.a AS p, count(DISTINCT y.number) + 1 AS segments FROM kn JOIN sg x ON x.p = kn.a JOIN sg y ON y.p = kn.b WHERE sim >= 0.22 AND x.number <> y.number GROUP BY 1)
+SELECT p AS ix, url, segments, (p % 4)::INT AS inbound_links, (p % 6)::INT AS issue_count FROM cr JOIN k USING (p) ORDER BY segments DESC, p % 4, p % 6 DESC, p LIMIT 20""",
+)
 def topic_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     node, _, vector = _topics(spark, sf_dir)
     near = checkpointed(semantic.neighbours(vector, semantic.similarities(vector)))
@@ -686,18 +781,18 @@ SITE_URL = (url_of, sql_url_of, norm)
 
 @query(
     "issue_linked_from",
-    f"""WITH RECURSIVE {_AUDIT_CTE}, src AS (SELECT target, array_to_string(list_sort(list(DISTINCT url)), '|') AS linked_from FROM lt GROUP BY target)
-SELECT rule_id, a.url AS affected_url, coalesce(linked_from, '') AS linked_from FROM a JOIN k ON k.p = a.p LEFT JOIN src ON src.target = k.norm_url WHERE category = 'CRAWLABILITY'""",
+    f"""WITH RECURSIVE {_AUDIT_CTE}, src AS (SELECT target, array_to_string(list_sort(list(DISTINCT url))[1:50], '|') AS linked_from, count(DISTINCT url) AS linking_pages FROM lt GROUP BY target)
+SELECT rule_id, a.url AS affected_url, coalesce(linked_from, '') AS linked_from, coalesce(linking_pages, 0) AS linking_pages FROM a JOIN k ON k.p = a.p LEFT JOIN src ON src.target = k.norm_url WHERE category = 'CRAWLABILITY'""",
 )
 def issue_linked_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, issues = audit_issues(spark, sf_dir)
     found = lifecycle.linked_from(lifecycle.select_issues(issues, category="CRAWLABILITY", status="ALL"), pages, internal_only=True)
-    return found.select("rule_id", "affected_url", F.array_join("linked_from", "|").alias("linked_from"))
+    return found.select("rule_id", "affected_url", F.array_join("linked_from", "|").alias("linked_from"), "linking_pages")
 
 
 @query(
     "issue_report",
-    f"""WITH RECURSIVE {_AUDIT_CTE} SELECT rule_id, min_by(severity, rule_id || ':' || lpad(page_id, 9, '0')) AS severity, count(*) AS instances, array_to_string(list_sort(list(url)), '|') AS urls
+    f"""WITH RECURSIVE {_AUDIT_CTE} SELECT rule_id, min_by(severity, rule_id || ':' || lpad(page_id, 9, '0')) AS severity, count(*) AS instances, array_to_string(list_sort(list(url))[1:50], '|') AS urls
 FROM a WHERE p % 10 <> 0 AND severity IN ('HIGH', 'CRITICAL') GROUP BY rule_id""",
 )
 def issue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -965,13 +1060,82 @@ def unprocessed_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "notifications",
-    """SELECT n_name, CASE n_nationkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'INFO' ELSE 'LOW' END AS severity FROM nation WHERE n_nationkey % 4 > 0""",
+    """WITH k AS (SELECT *, ['NEW_PAGE', 'PAGE_REMOVED', 'NEW_ISSUE', 'ISSUE_RESOLVED', 'AGENT_FINDING', 'CRAWL_COMPLETED', 'CRAWL_FAILED', 'WEBHOOK_FAILED', 'AGENT_COMPLETED', 'SCORE_CHANGED'][n_nationkey % 10 + 1] AS type FROM nation)
+SELECT n_name, type, CASE WHEN type = 'NEW_ISSUE' THEN CASE WHEN n_nationkey < 10 THEN 'CRITICAL' ELSE 'MEDIUM' END WHEN type = 'AGENT_FINDING' THEN CASE WHEN n_nationkey < 10 THEN 'CRITICAL' ELSE 'INFO' END
+  WHEN type IN ('PAGE_REMOVED', 'WEBHOOK_FAILED') THEN 'MEDIUM' WHEN type = 'CRAWL_FAILED' THEN 'HIGH' ELSE 'INFO' END AS severity FROM k WHERE type NOT IN ('AGENT_COMPLETED', 'SCORE_CHANGED')""",
 )
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
-    kind = F.when(key % 4 == 0, "SOMETHING_ELSE").when(key % 3 == 0, "CRAWL_FAILED").when(key % 3 == 1, "NEW_PAGE").otherwise("NEW_ISSUE")
-    happened = table(spark, sf_dir, "nation").select(F.lit("u").alias("user_id"), F.lit("p").alias("project_id"), kind.alias("type"), F.lit("Site").alias("project_name"), F.when(key % 3 == 2, "LOW").alias("severity"), F.col("n_name").alias("subject"))
-    return events.notifications(happened).select(F.col("body").alias("n_name"), "severity")
+    kinds = ("NEW_PAGE", "PAGE_REMOVED", "NEW_ISSUE", "ISSUE_RESOLVED", "AGENT_FINDING", "CRAWL_COMPLETED", "CRAWL_FAILED", "WEBHOOK_FAILED", "AGENT_COMPLETED", "SCORE_CHANGED")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (key % 10 + 1).cast("int"))
+    happened = table(spark, sf_dir, "nation").select(F.lit("u").alias("user_id"), F.lit("p").alias("project_id"), kind.alias("type"), F.lit("Site").alias("project_name"), F.when(key < 10, "CRITICAL").alias("severity"), F.col("n_name").alias("subject"))
+    return events.notifications(happened).select(F.col("body").alias("n_name"), "type", "severity")
+
+
+@query(
+    "notification_list",
+    """SELECT event_id, n_name AS project_name FROM events JOIN nation ON n_nationkey = user_id % 25 WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 50""",
+)
+def notification_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("notification_id"), F.col("event_type").alias("user_id"), (F.col("user_id") % 25).alias("project_id"), F.col("ts").alias("created_at"))
+    projects = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("project_id"), F.col("n_name").alias("name"))
+    return reads.notification_list(rows, projects, "click").select(F.col("notification_id").alias("event_id"), "project_name")
+
+
+@query("project_list", "SELECT c_custkey FROM customer WHERE c_nationkey = 3")
+def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), F.col("c_nationkey").cast("string").alias("user_id"), F.col("c_acctbal").alias("updated_at"))
+    return reads.project_list(projects, "3").select(F.col("project_id").alias("c_custkey"))
+
+
+@query(
+    "agents_with_runs",
+    """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders),
+f AS (SELECT l_orderkey, count(*) AS findings FROM lineitem GROUP BY 1)
+SELECT c_custkey, (SELECT count(*) FROM r WHERE o_custkey = c_custkey AND n <= 20) AS runs, (SELECT coalesce(sum(findings), 0)::BIGINT FROM r JOIN f ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND n <= 20) AS findings,
+  (SELECT o_orderkey FROM r WHERE o_custkey = c_custkey AND n = 1) AS newest FROM customer""",
+)
+def agents_with_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("agent_id"))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("agent_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("finding_id"), F.lit("LOW").alias("severity"), F.lit("t").alias("title"), F.lit(0).alias("created_at"))
+    got = reads.agent_with_runs(agents, runs, found)
+    total = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.size(r["findings"]))
+    none = F.col("runs").isNull()
+    return got.select(F.col("agent_id").alias("c_custkey"), F.when(none, 0).otherwise(F.size("runs")).cast("long").alias("runs"), F.coalesce(total, F.lit(0)).alias("findings"), F.try_element_at("runs", F.lit(1))["run_id"].alias("newest"))
+
+
+@query(
+    "webhook_deliveries",
+    """WITH q AS (SELECT o_orderkey AS event_id, CASE WHEN n_nationkey % 4 = 0 THEN 3 ELSE n_nationkey % 4 END AS most, o_orderkey % 5 AS good FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+  WHERE n_nationkey % 5 > 0 AND (n_nationkey % 3 > 0 OR o_orderstatus = 'F')),
+d AS (SELECT *, good BETWEEN 1 AND most AS success, CASE WHEN good BETWEEN 1 AND most THEN good ELSE most END AS attempt FROM q)
+SELECT event_id, attempt::INT AS attempt, most::INT AS max_attempts, success, CASE WHEN success THEN 200 ELSE 503 END AS status_code, CASE WHEN NOT success THEN 'HTTP 503: busy' END AS error_message,
+  CASE attempt WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 5.0 END AS waited FROM d""",
+)
+def webhook_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is an event; attempt ``o_orderkey % 5`` is the one that its endpoint accepts (0 is never)."""
+    configure(spark)
+    nation = table(spark, sf_dir, "nation")
+    n = F.col("n_nationkey")
+    hooks = nation.select(n.cast("long").alias("project_id"), F.when(n % 5 > 0, F.concat(F.lit("https://hook.test/"), n.cast("string"))).otherwise("").alias("webhook_url"), F.when(n % 3 == 0, F.array(F.lit("F"))).alias("webhook_events"), F.lit("s").alias("webhook_secret"), (n % 4).alias("webhook_retries"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    happened = orders.select(F.col("o_orderkey").cast("long").alias("event_id"), F.col("c_nationkey").cast("long").alias("project_id"), F.col("o_orderstatus").alias("event"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.to_json(F.struct("o_orderkey")).alias("payload"))
+    made = checkpointed(events.requests(happened, hooks))
+    tried = made.select("event_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt"))
+    good = F.col("attempt") == F.col("event_id") % 5
+    tried = tried.withColumns({"status_code": F.when(good, 200).otherwise(503), "response": F.lit("busy"), "error": F.lit(None).cast("string")})
+    return events.deliveries(made, tried).select("event_id", "attempt", "max_attempts", "success", "status_code", "error_message", "waited")
+
+
+@query(
+    "sitemap_urls",
+    rf"""WITH {_U} SELECT page_id, 'https://ex.test' || path || query AS relative, scheme || '://' || nh || path || query AS absolute FROM v""",
+)
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    tail = F.regexp_extract("url", r"^https?://[^/?#]*([^#]*)", 1)
+    return pages.select("page_id", urls.sitemap_url(tail, F.lit("https://www.ex.test/")).alias("relative"), urls.sitemap_url("url", F.lit("https://ex.test")).alias("absolute"))
 
 
 @query(
@@ -991,8 +1155,8 @@ def due_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "retry_waits",
-    """SELECT n_nationkey, CASE WHEN n_nationkey BETWEEN 1 AND 3 THEN 4.0 ** (n_nationkey - 1) END AS webhook, CASE WHEN n_nationkey BETWEEN 1 AND 3 THEN 5.0 * 2 ** (n_nationkey - 1) END AS job,
-CASE WHEN n_nationkey BETWEEN 1 AND 5 THEN n_nationkey::DOUBLE END AS database FROM nation WHERE n_nationkey > 0""",
+    """SELECT n_nationkey, CASE WHEN n_nationkey BETWEEN 1 AND 2 THEN 4.0 ** (n_nationkey - 1) END AS webhook, CASE WHEN n_nationkey BETWEEN 1 AND 2 THEN 5.0 * 2 ** (n_nationkey - 1) END AS job,
+CASE WHEN n_nationkey BETWEEN 1 AND 4 THEN n_nationkey::DOUBLE END AS database FROM nation WHERE n_nationkey > 0""",
 )
 def retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempt = F.col("n_nationkey")
@@ -1009,10 +1173,10 @@ def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "worst_findings",
     f"""WITH {_EVENT_CTE} SELECT user_id, CASE max(CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 ELSE 1 END) WHEN 5 THEN 'CRITICAL' WHEN 4 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'INFO' END AS severity
-FROM i WHERE event_id % 11 = 0 GROUP BY user_id""",
+FROM i GROUP BY user_id""",
 )
 def worst_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = event_issues(spark, sf_dir).where("event_id % 11 = 0").withColumnRenamed("user_id", "run_id")
+    found = event_issues(spark, sf_dir).withColumnRenamed("user_id", "run_id")
     return events.worst_finding(found).withColumnRenamed("run_id", "user_id")
 
 
@@ -1055,7 +1219,7 @@ def project_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "json_report",
     f"""WITH RECURSIVE {_AUDIT_CTE}, g AS (SELECT rule_id, count(*) AS n FROM a WHERE category = 'SOCIAL' GROUP BY rule_id)
-SELECT 'group' AS part, rule_id AS name, n FROM g UNION ALL SELECT 'summary', NULL, (SELECT count(*) FROM a WHERE category = 'SOCIAL')""",
+SELECT 'group' AS part, rule_id AS name, n FROM g UNION ALL SELECT 'summary', NULL, (SELECT count(*) FROM a WHERE category = 'SOCIAL') UNION ALL SELECT 'row', rule_id, NULL FROM a WHERE category = 'SOCIAL'""",
 )
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = audit_issues(spark, sf_dir)[1].where("category = 'SOCIAL'")

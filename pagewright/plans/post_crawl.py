@@ -1,7 +1,8 @@
-"""What follows a crawl: audit, issues, score, keywords, link graph, triggers; failures are noted, not spread."""
+"""What follows a crawl: audit, issues, score, keywords, link graph, triggers, webhooks; failures are noted, not spread."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import graph, keywords, lifecycle
 from pagewright.operators.audit import audit
+from pagewright.session import checkpointed
 from pagewright.streaming import events
 
 
@@ -18,25 +20,32 @@ class Outcome:
     failures: dict[str, str] = field(default_factory=dict)
 
 
-def run(pages: DataFrame, issues: DataFrame, now: Column, agents: DataFrame | None = None) -> Outcome:
-    """Lazy tables ``issues, score, keywords, edges, nodes, triggered``. A step that cannot be planned is reported in
-    ``failures`` and the steps that do not need it go on."""
+def run(pages: DataFrame, issues: DataFrame, now: Column, agents: DataFrame | None = None, hooks: DataFrame | None = None, post: Callable | None = None, wait: Callable[[float], None] = lambda seconds: None) -> Outcome:
+    """Tables ``issues, score, keywords, edges, nodes, triggered, webhooks``, each computed and kept before the next step.
+
+    A step that fails, be it in planning or in a task, is reported in ``failures``; steps that do not need it go on, and
+    those that do are skipped. With ``hooks`` and ``post``, the end of the crawl is posted to the projects' webhooks.
+    """
     out = Outcome()
 
-    def step(name: str, make):
+    def step(name: str, make: Callable[[], DataFrame], *needs: str):
+        if any(n not in out.tables for n in needs):
+            return
         try:
-            out.tables[name] = make()
+            out.tables[name] = checkpointed(make())  # runs here: what fails in a task fails in this step
         except Exception as error:  # a step's failure must not stop the others
             out.failures[name] = str(error)
 
     step("issues", lambda: lifecycle.sync_issues(audit(pages), issues, now))
     step("keywords", lambda: keywords.keyword_table(pages))
     step("edges", lambda: graph.edges(pages))
-    if "issues" in out.tables:
-        step("score", lambda: lifecycle.health_score(out.tables["issues"], pages))
-        if "edges" in out.tables:
-            step("nodes", lambda: graph.nodes(pages, out.tables["edges"], out.tables["issues"]))
-        if agents is not None:
-            counted = lifecycle.totals(out.tables["issues"]).select(F.lit("site").alias("project_id"), F.lit("crawl").alias("crawl_id"), F.col("new_issues"), F.lit(0).alias("new_pages"))
-            step("triggered", lambda: events.triggered(agents, counted))
+    step("score", lambda: lifecycle.health_score(out.tables["issues"], pages), "issues")
+    step("nodes", lambda: graph.nodes(pages, out.tables["edges"], out.tables["issues"]), "issues", "edges")
+    counted = lambda: lifecycle.totals(out.tables["issues"]).select(F.lit("site").alias("project_id"), F.lit("crawl").alias("crawl_id"), F.col("new_issues"), F.lit(0).alias("new_pages"))
+    if agents is not None:
+        step("triggered", lambda: events.triggered(agents, counted()), "issues")
+    if hooks is not None and post is not None:
+        ended = lambda: counted().select(F.lit(1).cast("long").alias("event_id"), "project_id", F.lit("crawl.completed").alias("event"), now.alias("ts"), F.to_json(F.struct("new_issues", "new_pages")).alias("payload"))
+        step("requests", lambda: events.requests(ended(), hooks), "issues")
+        step("webhooks", lambda: events.deliveries(out.tables["requests"], events.post_all(out.tables["requests"], post, wait)), "requests")
     return out

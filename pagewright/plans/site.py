@@ -119,7 +119,9 @@ def made(raw: DataFrame) -> DataFrame:
         "title": F.when(p % 15 == 2, "  ").when(p % 30 == 4, "Oops, page not found").when(p % 15 == 7, F.concat(title, F.repeat(F.lit("t"), 40))).when(p % 15 != 1, title),
         "meta_description": F.when(p % 4 == 1, F.repeat(F.lit("d"), (p % 200).cast("int"))).when(p % 4 == 2, "   ").when(p % 4 == 3, F.concat(F.lit("About page "), text(p))),
         "meta_robots": F.when(p % 10 == 3, "NoIndex, follow").when(p % 10 == 4, "index, nofollow").when(p % 10 == 5, ""),
-        "h1": _each(p % 3, lambda j: F.concat(F.lit("h"), text(j))),
+        "h1": _each(p % 3, lambda j: F.concat(F.lit("Heading"), text(p % 7), F.lit(" part"), text(j))),
+        "h2": _each(p % 4, lambda j: F.concat(F.lit("section"), text(p % 5), F.lit(" notes"), text(j))),
+        "h3": _each(p % 2, lambda j: F.concat(F.lit("Detail "), text(p % 11 + 100))),
         "og_tags": og,
         "json_ld": blocks,
         "internal_links": _each(F.when(p % 50 == 6, 210).otherwise(p % 8), link),
@@ -132,3 +134,9 @@ def made(raw: DataFrame) -> DataFrame:
     }
     types = {f.name: f.dataType for f in raw.sparkSession.createDataFrame([], schemas.PAGE).schema}
     return raw.select(*[(columns[n].cast(t) if n in columns else F.lit(None).cast(t)).alias(n) for n, t in types.items()])
+
+
+def as_pages(found: DataFrame) -> DataFrame:
+    """Extracted fields as a page table (schema ``schemas.PAGE``); what was not extracted is null."""
+    wanted = found.sparkSession.createDataFrame([], schemas.PAGE).schema
+    return found.select(*[(F.col(f.name).cast(f.dataType) if f.name in found.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted])

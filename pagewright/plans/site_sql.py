@@ -283,7 +283,7 @@ EVIDENCE = {
     "OPG-002": shown(title="title", duplicateUrls="list_filter(title_list, lambda x: x <> url)[1:10]", duplicateCount="title_urls - 1"),
     "OPG-003": shown(title="title", length="len(title)", maxRecommended="60"),
     "OPG-004": shown(h1Count="0"),
-    "OPG-005": shown(h1Count="n_h1", h1Tags="list_transform(range(n_h1), lambda x: 'h' || x)"),
+    "OPG-005": shown(h1Count="n_h1", h1Tags="list_transform(range(n_h1), lambda x: 'Heading' || (p % 7) || ' part' || x)"),
     "OPG-006": shown(metaDescription="NULL"),
     "OPG-007": shown(metaDescription="descr", length="len(descr)", maxRecommended="160"),
     "OPG-008": shown(wordCount="words", minRecommended="300"),

@@ -107,15 +107,20 @@ def sitemap_locations(docs: DataFrame) -> DataFrame:
     return found.withColumn("loc", F.trim(plain)).where("loc <> ''")
 
 
-def sitemap_pages(start: DataFrame, docs: DataFrame, site_host: str, max_depth: int = 10) -> DataFrame:
+def sitemap_pages(start: DataFrame, docs: DataFrame, site_host: str) -> DataFrame:
     """``url``: page locations reached from the sitemaps in ``start`` through sitemap indexes, same site and pages only.
 
-    ``docs`` holds the fetched files. Each round reads the files of a level and keeps those not seen before.
+    ``docs`` holds the fetched files. References are compared in their normal form, so relative ones and ones with ``www.``
+    meet their files. Each round reads the files of a level and keeps those not seen before; rounds go on until nothing is
+    new, however deep indexes are nested.
     """
-    locations = checkpointed(sitemap_locations(docs))
-    seen = checkpointed(start.select("sitemap_url").distinct())
+    root = F.lit(f"https://{site_host}")
+    normal = lambda c: F.coalesce(urls.sitemap_url(c, root), F.col(c))
+    locations = sitemap_locations(docs)
+    locations = checkpointed(locations.withColumns({"sitemap_url": normal("sitemap_url"), "loc": F.when(F.col("is_index"), normal("loc")).otherwise(F.col("loc"))}))
+    seen = checkpointed(start.select(normal("sitemap_url").alias("sitemap_url")).distinct())
     frontier = seen
-    for _ in range(max_depth):
+    while True:
         nested = locations.where("is_index").join(frontier, "sitemap_url", "left_semi").select(F.col("loc").alias("sitemap_url")).distinct()
         frontier = checkpointed(nested.join(seen, "sitemap_url", "left_anti"))
         if frontier.isEmpty():

@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows with fresh ones in place of those with the same key, and fresh ones added; last fresh row wins."""
-    fresh = last_of(fresh, keys)
+def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Stored rows with fresh ones in place of those with the same key, and fresh ones added; the last fresh row wins."""
+    fresh = last_of(fresh, keys, order)
     return stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
-def last_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-    if "last_crawled_at" not in rows.columns:
+def _by_values(rows: DataFrame, keys: list[str]) -> list[Column]:
+    """An order for rows that have none: their values as text."""
+    return [F.desc(F.to_json(F.struct(*[c for c in rows.columns if c not in keys])))] if len(rows.columns) > len(keys) else []
+
+
+def last_of(rows: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """The last row of each key: last in ``order`` (last one first), by ``last_crawled_at`` if that is given, then by values."""
+    given = order or ([F.desc("last_crawled_at")] if "last_crawled_at" in rows.columns else [])
+    newest = [*given, *_by_values(rows, keys)]
+    if not newest:
         return rows.dropDuplicates(keys)
-    newest = Window.partitionBy(*keys).orderBy(F.desc("last_crawled_at"))
-    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where("_n = 1").drop("_n")
 
 
-def insert_new(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """Fresh rows whose key is not stored yet, one per key: what an insert that skips duplicates appends."""
-    return fresh.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+def insert_new(stored: DataFrame, fresh: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Fresh rows whose key is not stored yet, one per key (the first in ``order``, else by values): what an insert that
+    skips duplicates appends."""
+    return last_of(fresh, keys, order).join(stored.select(*keys), keys, "left_anti")
 
 
 def replace_by_key(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
@@ -71,9 +82,38 @@ def keyword_lines(pages: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def json_report(issues: DataFrame, summary: DataFrame) -> DataFrame:
-    """One row ``report`` with the summary (one row) and a row per group; groups stay rows until they are written."""
+    """``json, part``: the summary (one row), a row per group, and a row per issue; parts stay rows until they are written."""
     from pagewright.operators.lifecycle import grouped_for_report
 
-    groups = grouped_for_report(issues).select(F.to_json(F.struct("*")).alias("json"), F.lit("group").alias("part"))
-    head = summary.select(F.to_json(F.struct("*")).alias("json"), F.lit("summary").alias("part"))
-    return head.union(groups)
+    as_json = lambda df, part: df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"), F.lit(part).alias("part"))
+    return as_json(summary, "summary").union(as_json(grouped_for_report(issues), "group")).union(as_json(report_rows(issues), "row"))
+
+
+# Fields of an issue in the report.
+REPORT_FIELDS = ["rule_id", "category", "severity", "status", "title", "description", "affected_url", "evidence"]
+
+
+def report_rows(issues: DataFrame) -> DataFrame:
+    return issues.select(*[F.col(c) if c in issues.columns else F.lit(None).cast("string").alias(c) for c in REPORT_FIELDS])
+
+
+def group_lines(issues: DataFrame, rule_id: str, title: str | None = None) -> DataFrame:
+    """CSV lines of one group of the issue view, by url."""
+    rows = issues.where(F.col("rule_id") == rule_id)
+    if title is not None:
+        rows = rows.where(F.col("title") == title)
+    kept = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in [*GROUP_COLUMNS, "page_id"]])
+    return csv_lines(kept, GROUP_COLUMNS, [F.col("affected_url"), F.col("page_id")])
+
+
+def write_lines(lines: DataFrame, path: str, columns: list[str]) -> None:
+    """CSV files under ``path``, each with the header, one per partition of ``lines``."""
+    header = ",".join(columns)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, batch in enumerate(batches):
+            if i == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([header])], schema=batch.schema)
+            yield batch
+
+    lines.select("line").mapInArrow(headed, "line string").write.mode("overwrite").text(path)

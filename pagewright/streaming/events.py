@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from pagewright.functions.cron import previous_slot
 from pagewright.functions.text import severity_rank
+from pagewright.session import checkpointed
 
-#: Seconds before attempt n of a webhook: 4 ** (n - 1).
+#: Seconds after a failed attempt n: 4 ** (n - 1) for a webhook, 5 * 2 ** (n - 1) for a job, n for the database.
 WEBHOOK_BASE, JOB_BASE, DATABASE_STEP = 4, 5, 1
 ATTEMPTS = {"webhook": 3, "job": 3, "database": 5}
 
@@ -51,23 +52,26 @@ def triggered(agents: DataFrame, crawls: DataFrame) -> DataFrame:
 # Default severity per notification type.
 NOTIFICATION_SEVERITY = {
     "NEW_PAGE": "INFO", "PAGE_REMOVED": "MEDIUM", "NEW_ISSUE": "MEDIUM", "ISSUE_RESOLVED": "INFO",
-    "CRAWL_COMPLETED": "INFO", "CRAWL_FAILED": "HIGH", "AGENT_COMPLETED": "INFO", "SCORE_CHANGED": "MEDIUM",
+    "AGENT_FINDING": "INFO", "CRAWL_COMPLETED": "INFO", "CRAWL_FAILED": "HIGH", "WEBHOOK_FAILED": "MEDIUM",
 }
 
 
 def notifications(events: DataFrame) -> DataFrame:
-    """One row per event of a known type: ``user_id, project_id, type, severity, title, body``.
+    """One row per event of a known type: ``user_id, project_id, type, severity, title, body``; other types are dropped.
 
-    ``events`` holds those ids, ``type``, ``project_name``, and ``severity`` and ``subject`` where they are known.
+    ``events`` holds those ids, ``type``, ``project_name``, and ``severity`` and ``subject`` where they are known. Only a new
+    issue and the findings of an agent run (those of ``worst_finding``) have a severity of their own; any other type has a
+    fixed one.
     """
     default = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in NOTIFICATION_SEVERITY.items()])
     phrase = {
         "NEW_PAGE": "New page on ", "PAGE_REMOVED": "Page gone from ", "NEW_ISSUE": "New issue on ", "ISSUE_RESOLVED": "Issue resolved on ",
-        "CRAWL_COMPLETED": "Crawl finished for ", "CRAWL_FAILED": "Crawl failed for ", "AGENT_COMPLETED": "Agent finished for ", "SCORE_CHANGED": "Score changed for ",
+        "AGENT_FINDING": "Agent findings on ", "CRAWL_COMPLETED": "Crawl finished for ", "CRAWL_FAILED": "Crawl failed for ", "WEBHOOK_FAILED": "Webhook failed for ",
     }
     title = F.coalesce(*[F.when(F.col("type") == k, F.concat(F.lit(v), "project_name")) for k, v in phrase.items()])
     known = events.where(F.col("type").isin(*NOTIFICATION_SEVERITY))
-    return known.select("user_id", "project_id", "type", F.coalesce("severity", default).alias("severity"), title.alias("title"), F.coalesce("subject", F.lit("")).alias("body"))
+    own = F.when(F.col("type").isin("NEW_ISSUE", "AGENT_FINDING"), F.col("severity"))
+    return known.select("user_id", "project_id", "type", F.coalesce(own, default).alias("severity"), title.alias("title"), F.coalesce("subject", F.lit("")).alias("body"))
 
 
 def worst_finding(findings: DataFrame) -> DataFrame:
@@ -85,14 +89,85 @@ def routed(events: DataFrame, hooks: DataFrame, strict: bool = False) -> DataFra
     return events.join(hooks, "project_id").where(F.coalesce(F.col("webhook_url") != "", F.lit(False)) & (wants | (F.lit(not strict) & empty)))
 
 
-def backoff(kind: str, attempt: Column) -> Column:
-    """Seconds to wait before attempt ``attempt`` (from 1); null when no attempt is left."""
+def backoff(kind: str, attempt: Column, attempts: Column | int | None = None) -> Column:
+    """Seconds to wait after failed attempt ``attempt`` (from 1); null when no attempt follows. ``attempts`` may be given per
+    row, as projects do."""
+    most = F.coalesce(attempts if isinstance(attempts, Column) else F.lit(attempts), F.lit(ATTEMPTS[kind]))
     wait = {
         "webhook": F.pow(F.lit(float(WEBHOOK_BASE)), attempt - 1),
         "job": F.lit(float(JOB_BASE)) * F.pow(F.lit(2.0), attempt - 1),
         "database": F.lit(float(DATABASE_STEP)) * attempt,
     }[kind]
-    return F.when(attempt <= ATTEMPTS[kind], wait)
+    return F.when((attempt >= 1) & (attempt < most), wait)
+
+
+def requests(events: DataFrame, hooks: DataFrame) -> DataFrame:
+    """What to post, per routed event: ``event_id, project_id, event, url, body, signature, max_attempts``.
+
+    ``events`` holds ``event_id, project_id, event, ts, payload`` (JSON); ``hooks`` holds ``project_id, webhook_url,
+    webhook_events, webhook_secret, webhook_retries``. No retries, or none set, means three attempts.
+    """
+    known = events.join(hooks, "project_id").where((F.col("webhook_url") != "") & (F.col("webhook_events").isNull() | F.array_contains("webhook_events", F.col("event"))))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    # the payload is JSON already and goes in as it is
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(F.col(c).cast("string"))), r"^\[|\]$", "")
+    body = F.concat(F.lit('{"event":'), quoted("event"), F.lit(',"timestamp":"'), stamp, F.lit('","projectId":'), quoted("project_id"), F.lit(',"data":'), F.coalesce("payload", F.lit("null")), F.lit("}"))
+    made = known.withColumn("body", body)
+    attempts = F.when(F.col("webhook_retries") > 0, F.col("webhook_retries")).otherwise(ATTEMPTS["webhook"]).cast("int")
+    return made.select("event_id", "project_id", "event", F.col("webhook_url").alias("url"), "body", signature("body", "webhook_secret").alias("signature"), attempts.alias("max_attempts"))
+
+
+def post_all(made: DataFrame, post: Callable[[str, str, dict], tuple[int, str]], wait: Callable[[float], None]) -> DataFrame:
+    """``event_id, attempt, status_code, response, error`` per attempt, until one succeeds or none is left.
+
+    ``post(url, body, headers)`` gives a status code and a text, or raises; ``wait(seconds)`` passes the time between two
+    attempts. Both run in the tasks. A lost task posts again: receivers know an event by its id.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                headers = {"Content-Type": "application/json", "X-Event-Id": str(r.event_id)} | ({"X-Signature": r.signature} if r.signature else {})
+                for attempt in range(1, r.max_attempts + 1):
+                    try:
+                        code, text, error = *post(r.url, r.body, headers), None
+                    except Exception as problem:  # an endpoint may fail in any way; that is an outcome
+                        code, text, error = None, None, str(problem)
+                    out.append((r.event_id, attempt, code, None if text is None else text[:5000], error))
+                    if code is not None and 200 <= code < 300:
+                        break
+                    if attempt < r.max_attempts:
+                        wait(float(WEBHOOK_BASE ** (attempt - 1)))
+            yield pd.DataFrame(out, columns=["event_id", "attempt", "status_code", "response", "error"]).astype({"status_code": "Int32", "attempt": "int32"})
+
+    return made.mapInPandas(run, "event_id long, attempt int, status_code int, response string, error string")
+
+
+def deliveries(made: DataFrame, attempts: DataFrame) -> DataFrame:
+    """One delivery row per request: ``event_id, project_id, event, url, attempt, max_attempts, status_code, success,
+    error_message, waited``; ``attempt`` is the first that succeeded, or the last one made."""
+    good = F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
+    within = attempts.join(made.select("event_id", "max_attempts"), "event_id").where(F.col("attempt").between(1, F.col("max_attempts")))
+    told = F.struct("attempt", "status_code", "response", "error", good.alias("success"))
+    last = within.groupBy("event_id").agg(F.coalesce(F.min_by(F.when(good, told), F.when(good, F.col("attempt"))), F.max_by(told, "attempt")).alias("_a"))
+    message = F.when(~F.col("_a.success"), F.coalesce("_a.error", F.concat(F.lit("HTTP "), "_a.status_code", F.lit(": "), F.substring(F.coalesce("_a.response", F.lit("")), 1, 500))))
+    waited = F.aggregate(F.sequence(F.lit(0), F.col("_a.attempt")), F.lit(0.0), lambda sum_, n: sum_ + F.when((n > 0) & (n < F.col("_a.attempt")), F.pow(F.lit(float(WEBHOOK_BASE)), n - 1)).otherwise(0.0))
+    return made.join(last, "event_id").select(
+        "event_id", "project_id", "event", "url", "_a.attempt", "max_attempts", "_a.status_code", "_a.success", message.alias("error_message"), waited.alias("waited")
+    )
+
+
+def post_events(stream: DataFrame, hooks: DataFrame, post: Callable, wait: Callable[[float], None], path: str, checkpoint: str):
+    """Start a query that posts events and keeps the delivery rows under ``path``, a folder per batch, so that a batch that
+    runs again replaces what it wrote."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        made = checkpointed(requests(batch, hooks))
+        attempts = checkpointed(post_all(made, post, wait))
+        deliveries(made, attempts).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 @F.pandas_udf(T.StringType())
