@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators.skew import PLAIN, lookup
 from pagewright.session import checkpointed
 
 
@@ -26,8 +27,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     Returns ``(node, component)`` for the nodes that have an edge to another node; an empty edge list gives no rows.
 
     Every round re-hangs neighbours under the smallest one seen, so path lengths shrink geometrically and a hub never
-    gathers its neighbours into one row: minima are partial aggregates and the join back is an equi join whose hot keys
-    adaptive execution can split. State per round is one row per edge, checkpointed to the shared folder.
+    gathers its neighbours into one row or one task: minima are partial aggregates, and the join back sends the minima of
+    hot nodes to where their edges are. State per round is one row per edge, checkpointed to the shared folder.
     """
     current = checkpointed(
         edges.select(F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo"))
@@ -40,11 +41,13 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
             break
         # large star: a node moves under the smallest neighbour of its smaller neighbour
         below = current.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
-        large = current.join(below, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
+        large = lookup(current, "lo", below, stats[0]).select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
+        if stats[0] >= PLAIN:
+            large = checkpointed(large)  # read four times below
         # small star: smaller neighbours, and the node itself, move under the smallest one
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (
-            large.join(lowest, "hi")
+            lookup(large, "hi", lowest, stats[0])
             .where(F.col("lo") != F.col("m"))
             .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .union(lowest.select("hi", F.col("m").alias("lo")))
