@@ -11,6 +11,9 @@ Equal vectors are one row with a multiplicity.
 
 The axes come from a sample of at most ``PCA_ROWS`` rows; they change how soon pairs are dropped, never which are found.
 
+Without dominant axes cells prune little, and the work grows with the square of the rows: from some 10^7 vectors on, more
+axes (``AXES``) or a higher threshold are needed.
+
 Defined results: a vector that is null, empty, zero or holds a null or non-finite component links with nothing and is its
 own component; vectors of different dimension never link; repeated rows are vectors of their own and link to each other;
 a null id never names a component; extra columns are ignored; an empty table gives no rows.
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.forest import hook, run_bounds, sorted_runs
 from pagewright.llm.vectors import matrix, packed
 from pagewright.operators.components import connected_components
+from pagewright.operators.skew import lookup
 from pagewright.session import checkpointed, nullable
 
 THRESHOLD = 0.9
@@ -125,7 +129,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     found = checkpointed(found)
     distinct = found.where("vec is not null").groupBy("vec", "dim").agg(F.count(F.lit(1)).alias("times"), F.min(id_col).alias("first"))
     distinct = checkpointed(distinct.withColumn("rid", F.monotonically_increasing_id()))
-    axes = spark.sparkContext.broadcast(principal_axes(distinct, kind, distinct.count()))  # basis per dimension
+    n_distinct = distinct.count()
+    axes = spark.sparkContext.broadcast(principal_axes(distinct, kind, n_distinct))  # basis per dimension
     width = float(np.sqrt(2 - 2 * threshold)) + 1e-6
     offset, base = 64, 128  # a coordinate of a unit vector has few cells either side of 0
     if not 0 < threshold < 1 or 1 / width > offset - 1:
@@ -207,9 +212,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
         .join(members, distinct["rid"] == members["node"], "left")
         .select("vec", "first", (F.coalesce("n_links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rid").alias("_component"))
     )
+    named = checkpointed(named)
     smallest = named.groupBy("_component").agg(F.min("first").alias("component_id"))
-    lookup = named.join(smallest, "_component").select("vec", "n_links", "component_id")
-    out = found.join(lookup, "vec", "left")
+    table = lookup(named, "_component", smallest, n_distinct).select("vec", "n_links", "component_id")
+    out = lookup(found, "vec", table, found.count())
     component = F.when(F.col("vec").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
     return out.select(
         id_col,

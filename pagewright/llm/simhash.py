@@ -10,8 +10,11 @@ Work is on distinct fingerprints, so copies of a text cost nothing. Inside a buc
 the task, never all pairs; a bucket above ``TILE`` fingerprints is cut into tiles, and every pair of tiles is compared
 in a task of its own.
 
-Defined results: a null or blank text has fingerprint zero and is linked like any other; a null id never names a
-component; repeated rows each get their own row; extra columns are ignored; an empty table gives no rows.
+The buckets of a choice of blocks grow with the number of fingerprints: at 2^30 of them a bucket of 20 bits holds a
+thousand, and from some 10^9 fingerprints on 7 or 8 blocks (three or four of which have to agree) make fewer pairs.
+
+Defined results: a null or blank text has fingerprint zero and is linked like any other; a text of any length is hashed
+whole; ties of ids within a component go to the smallest; a null id never names a component; repeated rows each get their own row; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.forest import hook, run_bounds, sorted_runs
 from pagewright.operators.components import connected_components
+from pagewright.operators.skew import lookup
 from pagewright.session import checkpointed, nullable, text_batches
 
 WORDS = 4
@@ -168,10 +172,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     marked = checkpointed(fingerprints(docs, text, (id_col, *keep), words))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min(id_col).alias("_first")))
     members = connected_components(near_links(distinct.select("fp"), max_bits, blocks))
-    named = distinct.join(members, distinct["fp"] == members["node"], "left").select("fp", "_first", F.coalesce("component", "fp").alias("_component"))
+    named = checkpointed(distinct.join(members, distinct["fp"] == members["node"], "left").select("fp", "_first", F.coalesce("component", "fp").alias("_component")))
     smallest = named.groupBy("_component").agg(F.min("_first").alias("component_id"))
-    lookup = named.join(smallest, "_component").select("fp", F.col("_component").alias("component"), "component_id")
-    return marked.join(lookup, "fp").select(id_col, *keep, "fp", "component", "component_id")
+    table = lookup(named, "_component", smallest, named.count()).select("fp", F.col("_component").alias("component"), "component_id")
+    return lookup(marked, "fp", table, marked.count()).select(id_col, *keep, "fp", "component", "component_id")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
