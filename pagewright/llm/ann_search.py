@@ -33,7 +33,7 @@ from pagewright.llm.vectors import packed
 from pagewright.session import checkpointed
 
 K = 20
-BOOKS, WORDS, BEAM = 16, 256, 4
+BOOKS, WORDS, BEAM = 24, 64, 4
 SAMPLE = 8192
 ITERATIONS = 6
 #: Queries of a block; codes of a block at least; blocks of codes, until a block has the most codes it may have.
