@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pagewright.functions import urls
 from pagewright.functions.text import rounded
 from pagewright.operators.components import connected_components
+from pagewright.operators.ranking import first_of
+from pagewright.operators.skew import lookup
 from pagewright.session import checkpointed
 
 # Words that carry no topic.
@@ -76,7 +78,11 @@ def similarities(vector: DataFrame) -> DataFrame:
     only those before which what is left of its vector is still 0.12 long. Two pages whose first common term is not
     offered by both cannot reach 0.12, so terms on very many pages rarely meet each other. Candidates are scored on the
     whole vectors, at most ``TERMS`` terms each.
+
+    Pages known by nothing but their group have one and the same vector. Each is paired (one way) with the first pages of
+    its group, as many as it can have neighbours, and not with all of them: neighbours and segments are the same.
     """
+    bare, vector = vector.where(F.col("term").startswith("group:")), vector.where(~F.col("term").startswith("group:"))
     df = vector.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     unit = vector.join(df, "term").select("ix", "term", "df", (F.col("weight") / F.col("norm")).alias("w"))
     onward = Window.partitionBy("ix").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -87,7 +93,10 @@ def similarities(vector: DataFrame) -> DataFrame:
     va, vb = whole.select(F.col("ix").alias("a"), F.col("v").alias("va")), whole.select(F.col("ix").alias("b"), F.col("v").alias("vb"))
     common = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda total, e: total + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
     halves = candidates.join(va, "a").join(vb, "b").select("a", "b", common.alias("sim")).where(F.col("sim") >= LEAST_SIMILARITY)
-    return halves.union(halves.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    named = halves.union(halves.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    known = lookup(bare.select(F.col("ix").alias("a"), "term"), "term", first_of(bare, "term", "ix", NEIGHBOURS + 1, "firsts"), bare.count())
+    alike = known.select("a", F.explode("firsts").alias("b"), F.lit(1.0).alias("sim")).where("a <> b")
+    return named.unionByName(alike)
 
 
 def neighbours(vector: DataFrame, sims: DataFrame) -> DataFrame:

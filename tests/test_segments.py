@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pagewright.operators.components import connected_components
 from pagewright.operators import semantic
 
 
@@ -14,3 +15,16 @@ def test_chains_of_waiting_pages_are_settled_or_an_error(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(i, 1) for i in range(1, 9)]
     with pytest.raises(RuntimeError):
         semantic.attached(node, near, members, max_rounds=3)
+
+
+def test_pages_known_by_their_group_only_are_not_all_paired(spark):
+    rows = [(i, "group:a", 1.0, 1, 1.0) for i in range(200)] + [(500 + i, "group:b", 1.0, 1, 1.0) for i in range(3)] + [(900, "term", 1.0, 1, 1.0)]
+    vector = spark.createDataFrame(rows, "ix long, term string, weight double, place int, norm double")
+    sims = semantic.similarities(vector).persist()
+    assert sims.count() == 200 * 7 - 7 + 3 * 2
+    near = {}
+    for r in semantic.neighbours(vector, sims).collect():
+        near.setdefault(r["ix"], []).append((r["place"], r["nb"]))
+    assert {i: [nb for _, nb in sorted(v)] for i, v in near.items()} == {**{i: [j for j in range(8) if j != i][:6] for i in range(200)}, **{500 + i: [500 + j for j in range(3) if j != i] for i in range(3)}}
+    joined = connected_components(semantic.strong_pairs(semantic.neighbours(vector, sims)))
+    assert {(r["node"], r["component"]) for r in joined.collect()} == {*((i, 0) for i in range(200)), *((500 + i, 500) for i in range(3))}
