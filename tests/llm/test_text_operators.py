@@ -74,6 +74,12 @@ def test_license_beside_a_chain_of_repeats_is_found(spark):
     assert got[1]["score"] == got[2]["score"] == got[3]["score"] == 1.0
 
 
+def test_every_license_template_is_found_in_its_own_text(spark):
+    rows = [(i, f"before it {t.text} and after", "en", "a") for i, t in enumerate(license_scan.TEMPLATES)]
+    got = {r["doc_id"]: r for r in license_scan.scan(documents(spark, rows)).collect()}
+    assert all(t.label in got[i]["labels"].split(",") and got[i]["score"] == 1.0 for i, t in enumerate(license_scan.TEMPLATES))
+
+
 def test_license_lowers_ascii_only(spark):
     got = license_scan.scan(documents(spark, [(1, "MIT L\u0130CENSE", "en", "a"), (2, "GNU GENERAL PUBLIC LICENSE \u212a", "en", "a")])).collect()
     assert {r["doc_id"]: r["n_base"] for r in got} == {1: 0, 2: 1}
