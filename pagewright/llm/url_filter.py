@@ -100,7 +100,7 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.regexp_extract(F.regexp_extract(shown, REFRESH, 0), TARGET, 1),
     )
     read = pages.select(named(url).alias("base"), named(html).alias("html")).where(F.col("html").rlike("(?i)canonical|refresh"))
-    marked = read.select("base", F.explode(found).alias("href")).withColumn("href", decoded(F.col("href")))
+    marked = read.select("base", F.explode(F.transform(found, decoded)).alias("href"))  # decoded once, before it is used often
     return (
         marked.select(alias_key(F.col("base")).alias("source"), alias_key(resolve(F.col("href"), F.col("base"))).alias("target"))
         .where("source is not null and target is not null and source <> target")
