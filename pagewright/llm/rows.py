@@ -24,10 +24,10 @@ def _holds_map(kind: T.DataType) -> bool:
 
 
 def row_key(docs: DataFrame) -> Column:
-    """128 bits of all values of a row, as text: rows alike in every column have one key, and no others do.
+    """128 bits of all values of a row, as bytes: rows alike in every column have one key, and no others do.
 
     At 10^10 rows the chance that any two unlike rows share a key is below 10^-18. Maps are hashed as JSON.
     """
     values = [F.to_json(F.struct(named(f.name).alias("v"))) if _holds_map(f.dataType) else named(f.name) for f in docs.schema]
     # the seed comes first: a hash of several values goes on from the hash of those before
-    return F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(seed), *values)) for seed in (1, 2)])
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *values)), 16, "0") for seed in (1, 2)]))
