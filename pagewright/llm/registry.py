@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.llm import ann_search, embedding_dedup, importance, language_id, license_scan, mixing, packing, periodic_runs, secret_scan, simhash, source_audit, url_filter
+from pagewright.llm import ann_search, embedding_dedup, html_extraction, importance, language_id, license_scan, mixing, packing, periodic_runs, secret_scan, simhash, source_audit, url_filter
 
-_MODULES = (license_scan, url_filter, mixing, packing, secret_scan, simhash, embedding_dedup, language_id, ann_search, importance, source_audit, periodic_runs)
+_MODULES = (license_scan, url_filter, mixing, packing, secret_scan, simhash, embedding_dedup, language_id, ann_search, importance, source_audit, html_extraction, periodic_runs)
 
 
 def queries() -> dict:
