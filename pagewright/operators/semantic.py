@@ -1,8 +1,8 @@
 """Topic analytics over page keywords: vectors, neighbours, segments and the reports built on them.
 
 Pages are known by an integer ``ix`` that gives their order; all ties are broken by ``ix`` or by term, so results do not
-depend on partitioning. Vectors stay in long form (ix, term, weight): similarity is an equi join on term with the very
-common terms left out, and every page has at most ``TERMS`` of them.
+depend on partitioning. Vectors stay in long form (ix, term, weight), at most ``TERMS`` terms a page; similarity is found
+between classes of pages with one vector (``similar``).
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import urls
 from pagewright.functions.text import rounded
+from pagewright.operators import similar
 from pagewright.operators.components import connected_components
-from pagewright.operators.ranking import first_of
-from pagewright.operators.skew import lookup
+from pagewright.operators.similar import Classes
 from pagewright.session import checkpointed
 
 # Words that carry no topic.
@@ -58,10 +58,9 @@ def vectors(node: DataFrame, terms: DataFrame) -> DataFrame:
     weighed = terms.join(df, "term").join(F.broadcast(n)).where(F.col("df") <= F.col("n") * COMMON).select("ix", "term", weight.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
     place = F.row_number().over(Window.partitionBy("ix").orderBy(F.desc(F.round("weight", 9)), "term"))
     kept = weighed.withColumn("place", place).where(F.col("place") <= TERMS)
-    bare = node.join(kept.select("ix").distinct(), "ix", "left_anti").select("ix", F.concat(F.lit("group:"), "grp").alias("term"), F.lit(1.0).alias("weight"), F.lit(1).alias("place"))
-    both = kept.union(bare)
-    norm = both.groupBy("ix").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return both.join(norm, "ix")
+    every = node.select("ix", "grp").join(kept, "ix", "left")
+    named = every.select("ix", *[F.coalesce(c, bare).alias(c) for c, bare in (("term", F.concat(F.lit("group:"), "grp")), ("weight", F.lit(1.0)), ("place", F.lit(1)))])
+    return named.withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("ix"))))
 
 
 def top_terms(vector: DataFrame, n: int = TOP_TERMS) -> DataFrame:
@@ -71,44 +70,21 @@ def top_terms(vector: DataFrame, n: int = TOP_TERMS) -> DataFrame:
     return lists.select("ix", F.slice(F.transform("t", lambda t: t["term"]), 1, n).alias("top"))
 
 
+def alike(vector: DataFrame) -> Classes:
+    """Pages of one vector as classes, and the classes with a cosine of at least 0.12."""
+    return similar.classes(vector, LEAST_SIMILARITY)
+
+
 def similarities(vector: DataFrame) -> DataFrame:
-    """``a, b, sim`` for both directions of every pair of pages with a cosine of at least 0.12.
+    """``a, b, sim`` for both directions of every pair of pages with a cosine of at least 0.12."""
+    return similar.expanded(alike(vector))
 
-    Candidates come from a prefix filter, which loses no pair: terms are ordered from rare to common, and a page offers
-    only those before which what is left of its vector is still 0.12 long. Two pages whose first common term is not
-    offered by both cannot reach 0.12, so terms on very many pages rarely meet each other. Candidates are scored on the
-    whole vectors, at most ``TERMS`` terms each.
 
-    Pages known by nothing but their group have one and the same vector. Each is paired (one way) with the first pages of
-    its group, as many as it can have neighbours, and not with all of them: neighbours and segments are the same.
-    """
-    bare, vector = vector.where(F.col("term").startswith("group:")), vector.where(~F.col("term").startswith("group:"))
-    df = vector.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    unit = vector.join(df, "term").select("ix", "term", "df", (F.col("weight") / F.col("norm")).alias("w"))
-    onward = Window.partitionBy("ix").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    offered = unit.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward))).where(F.col("rest") >= LEAST_SIMILARITY - 1e-9)
-    left, right = offered.select(F.col("ix").alias("a"), "term"), offered.select(F.col("ix").alias("b"), "term")
-    candidates = left.join(right, "term").where("a < b").select("a", "b").distinct()
-    whole = unit.groupBy("ix").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
-    va, vb = whole.select(F.col("ix").alias("a"), F.col("v").alias("va")), whole.select(F.col("ix").alias("b"), F.col("v").alias("vb"))
-    common = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda total, e: total + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    halves = candidates.join(va, "a").join(vb, "b").select("a", "b", common.alias("sim")).where(F.col("sim") >= LEAST_SIMILARITY)
-    named = halves.union(halves.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    known = lookup(bare.select(F.col("ix").alias("a"), "term"), "term", first_of(bare, "term", "ix", NEIGHBOURS + 1, "firsts"), bare.count())
-    alike = known.select("a", F.explode("firsts").alias("b"), F.lit(1.0).alias("sim")).where("a <> b")
-    return named.unionByName(alike)
-
-
-def neighbours(vector: DataFrame, sims: DataFrame) -> DataFrame:
+def neighbours(vector: DataFrame, found: Classes | None = None) -> DataFrame:
     """``ix, nb, sim, shared, place``: the six most similar pages of each page."""
-    top = top_terms(vector)
-    a, b = top.select(F.col("ix").alias("a"), F.col("top").alias("_a")), top.select(F.col("ix").alias("b"), F.col("top").alias("_b"))
-    none = F.array().cast("array<string>")
-    joined = sims.join(a, "a", "left").join(b, "b", "left")
-    shared = F.slice(F.array_intersect(F.coalesce("_a", none), F.coalesce("_b", none)), 1, SHARED)
-    best = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), F.desc(F.size("shared")), "b")
-    ranked = joined.withColumn("shared", shared).withColumn("place", F.row_number().over(best)).where(F.col("place") <= NEIGHBOURS)
-    return ranked.select(F.col("a").alias("ix"), F.col("b").alias("nb"), "sim", "shared", "place")
+    found = found or alike(vector)
+    heads = vector.join(found.members.where("ix = rep").select("ix"), "ix", "left_semi")
+    return similar.nearest(found, top_terms(heads), NEIGHBOURS, SHARED)
 
 
 def strong_pairs(near: DataFrame) -> DataFrame:
@@ -222,15 +198,14 @@ def link_opportunities(node: DataFrame, near: DataFrame, edge: DataFrame, most:
     return best.orderBy(F.desc("r.rank"), "from_url", "to_url").limit(most).select("from_url", "to_url", rounded(F.col("r.sim"), 3).alias("similarity"), F.slice("r.shared", 1, 3).alias("shared"))
 
 
-def cannibalisation(scores: DataFrame, sims: DataFrame, most: int = 20) -> DataFrame:
+def cannibalisation(scores: DataFrame, found: Classes, most: int = 20) -> DataFrame:
     """Keywords on 3 to 10 pages that are alike: ``keyword, pages, avg_similarity, avg_score``."""
     per_page = scores.groupBy("keyword", "ix").agg(F.sum("score").alias("score"))
     counted = per_page.groupBy("keyword").agg(F.count(F.lit(1)).alias("pages"), F.sum("score").alias("total")).where("pages between 3 and 10")
     holders = per_page.join(counted.select("keyword"), "keyword").select("keyword", "ix")
     pairs = holders.withColumnRenamed("ix", "a").join(holders.withColumnRenamed("ix", "b"), "keyword").where("a < b")  # at most 45 per keyword
-    alike = pairs.join(sims, ["a", "b"], "left").groupBy("keyword").agg(F.avg(F.coalesce("sim", F.lit(0.0))).alias("avg"))
-    found = alike.where("avg >= 0.24").join(counted, "keyword")
-    ranked = found.orderBy(F.desc(F.round(F.col("pages") * F.col("avg"), 9)), "keyword").limit(most)
+    means = similar.of_pages(found, pairs).groupBy("keyword").agg(F.avg(F.coalesce("sim", F.lit(0.0))).alias("avg"))
+    ranked = means.where("avg >= 0.24").join(counted, "keyword").orderBy(F.desc(F.round(F.col("pages") * F.col("avg"), 9)), "keyword").limit(most)
     return ranked.select("keyword", "pages", rounded(F.col("avg"), 3).alias("avg_similarity"), rounded(F.col("total") / F.col("pages"), 3).alias("avg_score"))
 
 

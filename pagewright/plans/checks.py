@@ -545,7 +545,7 @@ def topic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("topic_neighbours", f"WITH {_TOPIC_CTE} SELECT a AS ix, b AS nb, floor(sim * 1e6 + 0.5) / 1e6 AS sim, array_to_string(shared, '|') AS shared, place FROM kn")
 def topic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = _topics(spark, sf_dir)[2]
-    near = semantic.neighbours(vector, semantic.similarities(vector))
+    near = semantic.neighbours(vector)
     return near.withColumns({"sim": rounded(F.col("sim"), 6), "shared": F.array_join("shared", "|")})
 
 
@@ -556,7 +556,7 @@ re AS (SELECT a AS node, a AS root FROM sb UNION SELECT sb.b, re.root FROM re JO
 )
 def topic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = _topics(spark, sf_dir)[2]
-    return connected_components(semantic.strong_pairs(semantic.neighbours(vector, semantic.similarities(vector))))
+    return connected_components(semantic.strong_pairs(semantic.neighbours(vector)))
 
 
 @query(
@@ -567,7 +567,7 @@ SELECT keyword, pages, floor(av * 1000 + 0.5) / 1000 AS avg_similarity, floor(to
 )
 def topic_cannibalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, scores, vector = _topics(spark, sf_dir)
-    return semantic.cannibalisation(scores, semantic.similarities(vector))
+    return semantic.cannibalisation(scores, semantic.alike(vector))
 
 
 @query(
@@ -606,7 +606,7 @@ SELECT number, 'semantic-' || number AS id, CASE WHEN len(words) >= 2 THEN words
 )
 def topic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     node, _, vector = _topics(spark, sf_dir)
-    near = checkpointed(semantic.neighbours(vector, semantic.similarities(vector)))
+    near = checkpointed(semantic.neighbours(vector))
     return semantic.segment_summary(node, vector, near, checkpointed(semantic.segments(node, near))).withColumn("keywords", F.array_join("keywords", "|"))
 
 
@@ -618,7 +618,7 @@ SELECT p AS ix, url, segments, (p % 4)::INT AS inbound_links, (p % 6)::INT AS is
 )
 def topic_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     node, _, vector = _topics(spark, sf_dir)
-    near = checkpointed(semantic.neighbours(vector, semantic.similarities(vector)))
+    near = checkpointed(semantic.neighbours(vector))
     return semantic.bridges(node, near, semantic.segments(node, near))
 
 
@@ -633,7 +633,7 @@ ORDER BY round(sim * (1 + 0.03 * greatest(0, y.p % 4 - x.p % 4)), 9) DESC, from_
 )
 def topic_link_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     node, _, vector = _topics(spark, sf_dir)
-    near = semantic.neighbours(vector, semantic.similarities(vector))
+    near = semantic.neighbours(vector)
     edge = checkpointed(graph.edges(site(spark, sf_dir)))
     return semantic.link_opportunities(node, near, edge).withColumn("shared", F.array_join("shared", "|"))
 
@@ -645,7 +645,7 @@ SELECT a AS ix, x.url, place, y.url AS neighbour, floor(sim * 1000 + 0.5) / 1000
 )
 def topic_neighbour_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     node, _, vector = _topics(spark, sf_dir)
-    return semantic.neighbour_report(node, checkpointed(semantic.neighbours(vector, semantic.similarities(vector))))
+    return semantic.neighbour_report(node, checkpointed(semantic.neighbours(vector)))
 
 
 # --- issues over time, from the events table -----------------------------------------------------------------------

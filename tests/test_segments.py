@@ -1,10 +1,18 @@
-"""Pages that join a segment one after another."""
+"""Similar pages by classes, and pages that join a segment one after another."""
 
 from __future__ import annotations
 
+import math
+import random
+
+import duckdb
 import pytest
+from pyspark.sql import functions as F
+
+from pagewright.functions.text import rounded
+from pagewright.operators import semantic, similar
 from pagewright.operators.components import connected_components
-from pagewright.operators import semantic
+from pagewright.plans import checks
 
 
 def test_chains_of_waiting_pages_are_settled_or_an_error(spark):
@@ -17,14 +25,67 @@ def test_chains_of_waiting_pages_are_settled_or_an_error(spark):
         semantic.attached(node, near, members, max_rounds=3)
 
 
-def test_pages_known_by_their_group_only_are_not_all_paired(spark):
-    rows = [(i, "group:a", 1.0, 1, 1.0) for i in range(200)] + [(500 + i, "group:b", 1.0, 1, 1.0) for i in range(3)] + [(900, "term", 1.0, 1, 1.0)]
-    vector = spark.createDataFrame(rows, "ix long, term string, weight double, place int, norm double")
-    sims = semantic.similarities(vector).persist()
-    assert sims.count() == 200 * 7 - 7 + 3 * 2
+def fixture(spark, rows):
+    """Long vectors from ``(ix, {term: weight})``."""
+    out = []
+    for ix, terms in rows:
+        norm = math.sqrt(sum(w * w for w in terms.values()))
+        out += [(ix, t, float(w), i, norm) for i, (t, w) in enumerate(sorted(terms.items(), key=lambda x: (-x[1], x[0])), 1)]
+    return spark.createDataFrame(out, "ix long, term string, weight double, place int, norm double")
+
+
+def site_rows():
+    """Pages known by their group only, templated pages, copies with terms in common with others, and pages of their own."""
+    rng = random.Random(5)
+    rows = [(i, {"group:a": 1.0}) for i in range(12)] + [(20 + i, {"group:b": 1.0}) for i in range(3)] + [(30, {"group:c": 1.0})]
+    template = {f"t{j}": 3.0 - j / 4 for j in range(8)}
+    rows += [(100 + 3 * i, template) for i in range(40)]
+    rows += [(101 + 3 * i, {**template, f"own{i % 5}": 2.0}) for i in range(15)]
+    for i in range(150):
+        rows.append((300 + i, {f"w{int(rng.paretovariate(0.7)) % 200}": rng.uniform(0.1, 3) for _ in range(rng.randint(1, 24))}))
+    return rows
+
+
+def test_topics_of_classes_equal_their_sql(spark):
+    vector = fixture(spark, site_rows()).persist()
+    found = semantic.alike(vector)
+    con = duckdb.connect()
+    con.register("ve", vector.withColumnRenamed("ix", "p").toArrow())
+    sql = "WITH " + checks._TOPIC_CTE[checks._TOPIC_CTE.index("si AS (") :]
+    pairs = con.sql(f"{sql} SELECT a, b, floor(sim * 1e6 + 0.5) / 1e6 FROM si").fetchall()
+    got = similar.expanded(found).withColumn("sim", rounded(F.col("sim"), 6)).collect()
+    assert sorted(map(tuple, got)) == sorted(pairs) and sum(1 for a, b, _ in pairs if a < b < 20) == 66
+    near = con.sql(f"{sql} SELECT a, b, floor(sim * 1e6 + 0.5) / 1e6, array_to_string(shared, '|'), place FROM kn").fetchall()
+    mine = semantic.neighbours(vector, found).select("ix", "nb", rounded(F.col("sim"), 6), F.array_join("shared", "|"), "place").collect()
+    assert sorted(map(tuple, mine)) == sorted(near)
+
+
+def test_equal_pages_cost_one_vector_and_few_pairs_are_scored_in_vain(spark):
+    vector = fixture(spark, site_rows())
+    found = semantic.alike(vector)
+    assert found.members.where("rep < 30 and ix < 30").select("rep").distinct().count() == 2
+    assert found.members.where("rep = 100").count() == 40
+    heads = vector.join(found.members.where("ix = rep").select("ix"), "ix", "left_semi")
+    tried = similar.meetings(similar.offers(heads), semantic.LEAST_SIMILARITY).distinct().count()
+    assert tried < 5 * found.pairs.where("a < b").count()
+
+
+def test_hot_classes_give_the_same(spark, monkeypatch):
+    vector = fixture(spark, site_rows()).persist()
+    read = lambda: sorted(map(tuple, semantic.neighbours(vector).collect()), key=repr)
+    plain = read()
+    monkeypatch.setattr("pagewright.operators.skew.PLAIN", 0)
+    assert read() == plain
+
+
+def test_pages_known_by_their_group_only_are_all_paired(spark):
+    rows = [(i, {"group:a": 1.0}) for i in range(200)] + [(500 + i, {"group:b": 1.0}) for i in range(3)] + [(900, {"term": 1.0})]
+    vector = fixture(spark, rows)
+    found = semantic.alike(vector)
+    assert found.pairs.count() == 2 and similar.expanded(found).count() == 200 * 199 + 3 * 2
     near = {}
-    for r in semantic.neighbours(vector, sims).collect():
+    for r in semantic.neighbours(vector, found).collect():
         near.setdefault(r["ix"], []).append((r["place"], r["nb"]))
     assert {i: [nb for _, nb in sorted(v)] for i, v in near.items()} == {**{i: [j for j in range(8) if j != i][:6] for i in range(200)}, **{500 + i: [500 + j for j in range(3) if j != i] for i in range(3)}}
-    joined = connected_components(semantic.strong_pairs(semantic.neighbours(vector, sims)))
+    joined = connected_components(semantic.strong_pairs(semantic.neighbours(vector, found)))
     assert {(r["node"], r["component"]) for r in joined.collect()} == {*((i, 0) for i in range(200)), *((500 + i, 500) for i in range(3))}
