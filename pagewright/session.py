@@ -81,6 +81,12 @@ def text_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def sized_batches(spark: SparkSession, size: str = "4m", rows: int = 20_000) -> None:
+    """Bound Arrow batches by bytes, for this session from now on: few whole texts, or many narrow rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def nullable(schema: T.StructType) -> T.StructType:
     """``schema`` with every column nullable: what a Python function may return."""
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
