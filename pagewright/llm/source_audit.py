@@ -1,10 +1,10 @@
 """Which sources of a language differ, and in which terms: a sort-based audit of smoothed term shares.
 
 Each task counts the terms of its documents first, by language and source, so that what is shuffled is one partial row per
-(language, term, source) and task, named after its first document. The partial rows are repartitioned and sorted by
-(language, term, source, document), and a scan over the runs of equal keys adds document frequencies and counts; very
-common terms are split by document first, since one language, source and term may hold any share of the rows. A second
-scan over (language, term) keeps the terms of enough documents. From the kept runs, every task emits partial sums for the
+(language, term, source) and task, named after its first document: a term that stands in every document has no more rows
+than tasks times sources. The partial rows are repartitioned by language and term and sorted within partitions, with source
+and document behind (the term leads, as it tells rows apart soonest), and one scan over the runs of equal keys adds document
+frequencies and counts and keeps the terms of enough documents. From the kept runs, every task emits partial sums for the
 pairs of sources that hold a term of the run, and the terms that a source uses more than its language.
 
 A term that only one of two sources holds adds a value that depends on its count alone, and a term that none holds adds
@@ -29,16 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.rows import named
-from pagewright.session import checkpointed, text_batches
+from pagewright.session import checkpointed, sized_batches
 
 MIN_DOCS = 10
 TOP = 10
 #: The contract's scale of a share and its smoothing.
 SCALE, SMOOTH = 1_000_000_000, 2
 #: (language, source, term) keys that a task counts before it sends them on.
-KEYS = 200_000
-#: Parts of a common (language, term, source) run in the first scan.
-SALTS = 16
+KEYS = 500_000
 #: Cells of one block of the pair sums.
 CELLS = 1_000_000
 
@@ -111,14 +109,13 @@ def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First scan: a row per run of (language, term, source); one per batch where a run goes over several."""
+def by_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per (language, term, source) of each batch, so that a held run has few rows however many partial ones it had."""
     for batch in batches:
-        at = _starts(batch, ("lang", "term", "source"))
-        if not len(at):
-            continue
-        sums = [pa.array(np.add.reduceat(_numbers(batch, c), at)) for c in ("df", "n")]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("lang", "term", "source", "doc")], *sums], names=["lang", "term", "source", "doc", "df", "n"])
+        at = _starts(batch, ("term", "lang", "source"))
+        if len(at):
+            sums = [pa.array(np.add.reduceat(_numbers(batch, c), at)) for c in ("df", "n")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("lang", "term", "source")], *sums], names=["lang", "term", "source", "df", "n"])
 
 
 def kept_runs(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, keys: int = KEYS) -> DataFrame:
@@ -126,7 +123,7 @@ def kept_runs(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
 
     ``total`` is the term's count in the language; ``head`` is 1 on one row of a term and 0 on the others.
     """
-    text_batches(docs.sparkSession)
+    sized_batches(docs.sparkSession)
     rows = docs.select(*[F.coalesce(named(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"))], named(text).alias("text"))
     rows = rows.withColumn("doc", F.xxhash64("lang", "source", "text"))
 
@@ -140,24 +137,22 @@ def kept_runs(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
         yield from counts.emitted()
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, at in whole_runs(batches, ("lang", "term")):
+        for batch, at in whole_runs(by_source(batches), ("term", "lang")):
             df, sizes = np.add.reduceat(_numbers(batch, "df"), at), np.diff(np.append(at, batch.num_rows))
             stay = np.repeat(df >= min_docs, sizes)
             if not stay.any():
                 continue
             total = np.repeat(np.add.reduceat(_numbers(batch, "n"), at), sizes)[stay]
             batch = batch.filter(pa.array(stay))
-            inner = _starts(batch, ("lang", "term", "source"))  # parts of a run that was split by document
+            inner = _starts(batch, ("term", "lang", "source"))  # parts of a source's run that came in different batches
             head = np.zeros(batch.num_rows, np.int64)
-            head[_starts(batch, ("lang", "term"))] = 1
+            head[_starts(batch, ("term", "lang"))] = 1
             n = np.add.reduceat(_numbers(batch, "n"), inner)
             columns = [*[batch.column(c).take(inner) for c in ("lang", "term", "source")], pa.array(n), pa.array(total[inner]), pa.array(head[inner])]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "source", "n", "total", "head"])
 
-    salt = F.pmod(F.col("doc"), F.lit(SALTS))
-    partial = rows.mapInArrow(counted, _PARTIAL).repartition("lang", "term", "source", salt)
-    sources = partial.sortWithinPartitions("lang", "term", "source", "doc").mapInArrow(_summed, _PARTIAL)
-    return sources.repartition("lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(kept, _KEPT)
+    partial = rows.mapInArrow(counted, _PARTIAL).repartition("lang", "term")
+    return partial.sortWithinPartitions("term", "lang", "source", "doc").mapInArrow(kept, _KEPT)
 
 
 def share(n: Column, total: Column, size: Column) -> Column:
@@ -183,7 +178,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A source that lacks a term has its share without occurrences there, so its pairs gain nothing.
     """
-    for batch, _ in whole_runs(batches, ("lang", "term")):
+    for batch, _ in whole_runs(batches, ("term", "lang")):
+        found: list[tuple[str, str, pa.Array, np.ndarray]] = []
         langs = batch.column("lang").dictionary_encode()
         for code, lang in enumerate(langs.dictionary.to_pylist()):
             mine = batch.filter(pc.equal(langs.indices, code))
@@ -201,8 +197,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for a, sums in _block_sums(block, zero):
                     other = np.flatnonzero(sums)
                     if len(other):
-                        same = [pa.array([v] * len(other), pa.string()) for v in (lang, names[a].as_py())]
-                        yield pa.RecordBatch.from_arrays([*same, names.take(pa.array(other + a + 1)), pa.array(sums[other])], names=["lang", "source", "item", "value"])
+                        found.append((lang, names[a].as_py(), names.take(pa.array(other + a + 1)), sums[other]))
+        if found:
+            sizes = [len(values) for *_, values in found]
+            same = [pa.array(np.repeat(np.array([row[c] for row in found], object), sizes), pa.string()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*same, pa.concat_arrays([row[2] for row in found]), pa.array(np.concatenate([row[3] for row in found]))], names=["lang", "source", "item", "value"])
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP, keys: int = KEYS) -> DataFrame:
@@ -227,7 +226,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     base = totals.join(other, "lang").where("source <> item").select("lang", "source", "item", F.coalesce(F.col("size") * none, F.lit(0)).alias("value"))
     held = runs.groupBy("lang", "source", "n", "p", "zero").agg(F.count(F.lit(1)).alias("terms"))
     one = held.join(other, "lang").where("source <> item").groupBy("lang", "source", "item").agg(F.sum(F.col("terms") * (f(F.col("p"), F.col("other_zero")) - none)).alias("value"))
-    both = runs.select("lang", "term", "source", "p", "zero").repartition("lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(_met, "lang string, source string, item string, value bigint")
+    both = runs.select("lang", "term", "source", "p", "zero").repartition("lang", "term").sortWithinPartitions("term", "lang", "source").mapInArrow(_met, "lang string, source string, item string, value bigint")
     changes = one.unionByName(both)
     turned = changes.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
     pairs = base.unionByName(changes).unionByName(turned).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
