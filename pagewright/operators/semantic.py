@@ -7,6 +7,9 @@ between classes of pages with one vector (``similar``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +18,14 @@ from pagewright.functions.text import rounded
 from pagewright.operators import similar
 from pagewright.operators.components import connected_components
 from pagewright.operators.similar import Classes
-from pagewright.session import checkpointed
+from pagewright.operators.skew import lookup
+from pagewright.session import checkpointed, written
 
 # Words that carry no topic.
 STOP_WORDS = "a an and are as at be by for from has in is it of on or that the to was were with www com org net page pages".split()
 TERMS, NEIGHBOURS, SHARED, TOP_TERMS = 24, 6, 4, 10
+#: Choices of waiting pages that one task may take in turn.
+IN_A_TASK = 200_000
 COMMON, LEAST_WEIGHT, LEAST_SIMILARITY = 0.7, 0.08, 0.12
 
 
@@ -91,38 +97,86 @@ def strong_pairs(near: DataFrame) -> DataFrame:
     return near.where((F.col("sim") >= 0.30) | ((F.col("sim") >= 0.24) & (F.size("shared") >= 2))).select(F.col("ix").alias("a"), F.col("nb").alias("b"))
 
 
-def attached(node: DataFrame, near: DataFrame, members: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """``ix, segment``: component members, and pages that join one in order of ``ix``.
+def _followed(heads: DataFrame, max_rounds: int | None) -> DataFrame:
+    """Where the first choices lead: ``ix, to, segment, only, over``.
 
-    A page outside all components joins the segment of its first neighbour (similarity 0.24 or more) that has one when
-    its turn comes: members, and earlier pages that joined. Rounds settle every page whose earlier neighbours are
-    settled; each is a join over the unsettled pages' at most six neighbours, so nothing is done page by page. The
-    smallest waiting page is settled in every round, so rounds end; with ``max_rounds``, pages still waiting are an error.
+    ``heads`` has one choice a page: a page ``to`` that is waiting too, or a ``segment``. A round lets every page look where
+    its choice was looking, so a chain of n pages is followed in log2(n) rounds. ``over`` marks chains that end at a page
+    without a choice; ``only`` those along which no page had a second choice.
     """
-    fixed = members.select(F.col("node").alias("ix"), F.col("component").alias("segment"))
-    settled = checkpointed(fixed.withColumn("fixed", F.lit(True)))
-    open_ = checkpointed(near.where("sim >= 0.24").select("ix", "nb", "place").join(fixed.select("ix"), "ix", "left_anti"))
-    rounds = 0
-    while not open_.isEmpty():
+    state = written(heads.withColumn("over", F.lit(False)))
+    n, rounds = state.count(), 0
+    waits = F.col("segment").isNull() & ~F.col("over")
+    while not state.where(waits).isEmpty():
         if rounds == max_rounds:
             raise RuntimeError(f"pages did not settle in {max_rounds} rounds")
         rounds += 1
-        waiting = open_.select(F.col("ix").alias("nb"), F.lit(True).alias("_open")).distinct()
-        seen = open_.join(settled.select(F.col("ix").alias("nb"), "segment", "fixed"), "nb", "left").join(waiting, "nb", "left")
-        hit = F.col("segment").isNotNull() & (F.col("fixed") | (F.col("nb") < F.col("ix")))
-        pending = F.coalesce("_open", F.lit(False)) & (F.col("nb") < F.col("ix"))
-        far = F.lit(1 << 30)
-        state = seen.groupBy("ix").agg(
-            F.coalesce(F.min(F.when(hit, F.col("place"))), far).alias("first_hit"),
-            F.coalesce(F.min(F.when(pending, F.col("place"))), far).alias("first_pending"),
-            F.min_by(F.when(hit, F.col("segment")), F.when(hit, F.col("place"))).alias("segment"),
+        ahead = state.select(F.col("ix").alias("to"), *[F.col(c).alias(f"_{c}") for c in ("to", "segment", "only", "over")])
+        known = F.col("_over").isNotNull()
+        state = written(
+            lookup(state, "to", ahead, n).select(
+                "ix",
+                F.when(waits & known, F.col("_to")).otherwise(F.col("to")).alias("to"),
+                F.when(waits, F.col("_segment")).otherwise(F.col("segment")).alias("segment"),
+                F.when(waits & known, F.col("only") & F.col("_only")).otherwise(F.col("only")).alias("only"),
+                F.when(waits, F.coalesce("_over", F.lit(True))).otherwise(F.col("over")).alias("over"),
+            )
         )
-        # a page joins before any neighbour it would have to wait for, or has nobody left to wait for
-        done = checkpointed(state.where((F.col("first_hit") < F.col("first_pending")) | (F.col("first_pending") == far)))
-        joined = done.where(F.col("first_hit") < far).select("ix", "segment", F.lit(False).alias("fixed"))
-        settled = checkpointed(settled.union(joined))
-        open_ = checkpointed(open_.join(done.select("ix"), "ix", "left_anti"))
-    return settled.select("ix", "segment")
+    return state
+
+
+def _in_reach(choices: DataFrame) -> DataFrame:
+    """``choices`` of the pages that hang together with one that has a segment; the others can never join any."""
+    groups = checkpointed(connected_components(choices.where("segment is null"), "ix", "nb"))
+    has = choices.where("segment is not null").select("ix").distinct()
+    alive = groups.join(has, groups["node"] == has["ix"], "left_semi").select("component").distinct()
+    pages = has.unionByName(groups.join(alive, "component", "left_semi").select(F.col("node").alias("ix")))
+    return choices.join(pages, "ix", "left_semi")
+
+
+def _in_turn(choices: DataFrame) -> DataFrame:
+    """``ix, segment`` of few waiting pages, one after another in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined: dict[int, int] = {}
+        for batch in batches:
+            for ix, nb, segment in zip(*(batch.column(c).to_pylist() for c in ("ix", "nb", "segment"))):
+                if ix not in joined and (found := joined.get(nb) if segment is None else segment) is not None:
+                    joined[ix] = found
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (list(joined), list(joined.values()))], names=["ix", "segment"])
+
+    ordered = choices.select(F.col("ix").cast("long"), F.col("nb").cast("long"), "place", F.col("segment").cast("long")).coalesce(1).sortWithinPartitions("ix", "place")
+    return ordered.mapInArrow(run, "ix bigint, segment bigint")
+
+
+def attached(node: DataFrame, near: DataFrame, members: DataFrame, max_rounds: int | None = None, in_a_task: int = IN_A_TASK) -> DataFrame:
+    """``ix, segment``: component members, and pages that join one in order of ``ix``.
+
+    A page outside all components joins the segment of its first neighbour (similarity 0.24 or more) that has one when
+    its turn comes: members, and earlier pages that joined. So its choices are members and earlier waiting pages, in order.
+    All first choices are followed at once (``_followed``). A chain that ends in a segment settles all its pages; a chain
+    that ends at a page without a choice settles those that had no second one: they stay alone. The others drop the choices that
+    stay alone and choose again, or take their turns in one task once they have no more than ``in_a_task`` choices left.
+    ``max_rounds`` bounds the rounds of one chain; pages still waiting then are an error.
+    """
+    fixed = members.select(F.col("node").alias("ix"), F.col("component").alias("segment"))
+    open_ = near.where("sim >= 0.24").select("ix", "nb", "place").join(fixed.select("ix"), "ix", "left_anti")
+    named = open_.join(fixed.select(F.col("ix").alias("nb"), "segment"), "nb", "left")
+    choices = checkpointed(named.where(F.col("segment").isNotNull() | (F.col("nb") < F.col("ix"))).select("ix", "nb", "place", "segment"))
+    settled, first = fixed, True
+    while not choices.isEmpty():
+        head = choices.groupBy("ix").agg(F.min_by(F.struct("nb", "segment"), "place").alias("h"), (F.count(F.lit(1)) == 1).alias("only"))
+        state = _followed(head.select("ix", F.col("h.nb").alias("to"), F.col("h.segment").alias("segment"), "only"), max_rounds)
+        settled = settled.union(state.where("segment is not null").select("ix", "segment"))
+        again = state.where("segment is null and not only").select("ix")
+        now = state.where("segment is not null or not only").select(F.col("ix").alias("nb"), F.col("segment").alias("_segment"), F.lit(True).alias("_open"))
+        left = choices.join(again, "ix", "left_semi").join(now, "nb", "left").where("segment is not null or _open")
+        choices = written(left.select("ix", "nb", "place", F.coalesce("segment", "_segment").alias("segment")))
+        if first and not choices.isEmpty():
+            choices, first = written(_in_reach(choices)), False
+        if choices.count() <= in_a_task:
+            return settled.union(_in_turn(choices))
+    return settled
 
 
 def segments(node: DataFrame, near: DataFrame, most: int = 30) -> DataFrame:

@@ -22,7 +22,46 @@ def test_chains_of_waiting_pages_are_settled_or_an_error(spark):
     got = semantic.attached(node, near, members)
     assert sorted(tuple(r) for r in got.collect()) == [(i, 1) for i in range(1, 9)]
     with pytest.raises(RuntimeError):
-        semantic.attached(node, near, members, max_rounds=3)
+        semantic.attached(node, near, members, max_rounds=2)  # seven steps take three rounds
+
+
+def in_turn(lists, members):
+    """The rule as it is worded: page after page."""
+    joined = dict(members)
+    for i in sorted(lists):
+        if i not in members and (hit := next((j for j in lists[i] if j in joined), None)) is not None:
+            joined[i] = joined[hit]
+    return joined
+
+
+def attach(spark, lists, members, **options):
+    near = spark.createDataFrame([(i, j, 0.25, p) for i, js in lists.items() for p, j in enumerate(js, 1)], "ix long, nb long, sim double, place int")
+    found = semantic.attached(spark.range(1), near, spark.createDataFrame(list(members.items()), "node long, component long"), **options)
+    return {r["ix"]: r["segment"] for r in found.collect()}
+
+
+def test_a_chain_of_5000_pages_takes_few_rounds(spark):
+    lists = {i: [i - 1] for i in range(2, 5001)}
+    assert attach(spark, lists, {1: 1}, max_rounds=14) == dict.fromkeys(range(1, 5001), 1)
+
+
+def test_dead_ends_and_second_choices(spark):
+    ladder = {i: [i - 1, i - 2] for i in range(12, 60)}  # leads to page 10 and 11, which have nobody
+    ladder |= {100: [59, 1], 101: [100, 58], 102: [103, 59], 103: [2, 102], 104: [57, 56, 58]}
+    assert attach(spark, ladder, {1: 1, 2: 2}) == in_turn(ladder, {1: 1, 2: 2})
+    short = {i: js for i, js in ladder.items() if i < 16 or i > 100} | {100: [15, 1]}
+    assert attach(spark, short, {1: 1, 2: 2}, in_a_task=0) == in_turn(short, {1: 1, 2: 2})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_many_pages_join_as_in_turn(spark, seed):
+    rng = random.Random(seed)
+    members = {i: i // 5 * 5 for i in range(20)}
+    lists = {}
+    for i in range(20, 600):
+        near = [j for j in range(max(0, i - 12), i + 12) if j != i and j >= 20] if rng.random() < 0.95 else list(range(20))
+        lists[i] = rng.sample(near, rng.randint(0, 6))
+    assert attach(spark, lists, members) == in_turn(lists, members)
 
 
 def fixture(spark, rows):
