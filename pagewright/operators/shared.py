@@ -77,28 +77,32 @@ def redirect_hops(pages: DataFrame) -> DataFrame:
     """``(page_id, hops, chain)`` for redirecting pages that name a target (their canonical, taken without a base).
 
     The walk counts one hop to the target and one more for every redirecting page with a target that it meets; it ends
-    at any other page, at one seen before, and at ``MAX_HOPS``. ``chain`` holds the urls it met. Each hop is one equi
-    join of the walks still going.
+    at any other page, at one seen before, and at ``MAX_HOPS``. ``chain`` holds the urls it met. Walks and the steps from
+    every redirecting url are one table of paths, and each join puts behind a path the path from its last url, so paths
+    double and ``MAX_HOPS`` urls take its logarithm of joins. Where a path repeats itself is seen when it is whole.
     """
     target = F.when(~blank("canonical_url"), urls.lenient("canonical_url"))
     moved = F.col("status_code").between(300, 399)
     known = last_by(pages.withColumn("_next", target), "norm_url", "status_code", "_next", "canonical_url")
-    steps = known.where(moved & F.col("_next").isNotNull()).select(F.col("norm_url").alias("at"), F.col("_next").alias("next"), F.col("canonical_url").alias("raw"))
-    walk = pages.where(moved & target.isNotNull()).select(
-        "page_id", target.alias("at"), F.col("canonical_url").alias("named"), F.array("norm_url").alias("seen"), F.array("url").alias("chain"), F.lit(1).alias("hops")
-    )
-    for _ in range(MAX_HOPS - 1):
-        fresh = F.coalesce(~F.array_contains("seen", F.col("at")), F.lit(False))
-        onward = F.when(fresh, F.col("next"))
-        walk = walk.join(steps, "at", "left").select(
-            "page_id",
-            onward.alias("at"),
-            F.col("raw").alias("named"),
-            F.when(fresh, F.concat("seen", F.array("at"))).otherwise(F.col("seen")).alias("seen"),
-            F.when(fresh, F.concat("chain", F.array("named"))).otherwise(F.col("chain")).alias("chain"),
-            (F.col("hops") + F.when(onward.isNotNull(), 1).otherwise(0)).alias("hops"),
-        )
-    return walk.select("page_id", "hops", "chain")
+    step = lambda url, named: F.array(F.struct(url.alias("url"), named.alias("named"))).alias("path")
+    steps = known.where(moved & F.col("_next").isNotNull()).select(F.col("norm_url").alias("at"), step(F.col("_next"), F.col("canonical_url")))
+    walks = pages.where(moved & target.isNotNull()).select("page_id", "url", "norm_url", step(target, F.col("canonical_url")))
+    paths, length = checkpointed(walks.unionByName(steps, allowMissingColumns=True)), 1
+    while length < MAX_HOPS:
+        length *= 2
+        onward = paths.where("at is not null").select(F.col("at").alias("_last"), F.col("path").alias("_path"))
+        going = (paths if length < MAX_HOPS else paths.where("at is null")).withColumn("_last", F.element_at("path", -1)["url"])
+        joined = going.join(onward, "_last", "left").withColumn("path", F.concat("path", F.coalesce("_path", F.filter("path", lambda _: F.lit(False)))))
+        paths = joined.drop("_last", "_path")
+        paths = checkpointed(paths) if length < MAX_HOPS else paths
+    walks = paths
+    nodes = F.concat(F.array("norm_url"), F.transform("path", lambda p: p["url"]))
+    again = F.transform("_nodes", lambda url, i: F.coalesce(F.array_position("_nodes", url) <= i, F.lit(True)))
+    cut = walks.withColumn("path", F.slice("path", 1, MAX_HOPS)).withColumn("_nodes", nodes).withColumn("_again", F.array_position(again, True))
+    fresh = F.when(F.col("_again") > 0, F.greatest(F.col("_again") - 2, F.lit(0))).otherwise(F.size("path")).cast("int")
+    met = cut.withColumn("_fresh", F.least(fresh, F.lit(MAX_HOPS - 1)))
+    chain = F.concat(F.array("url"), F.transform(F.slice("path", F.lit(1), F.col("_fresh")), lambda p: p["named"]))
+    return met.select("page_id", (F.least(F.col("_fresh"), F.size("path") - 1) + 1).alias("hops"), chain.alias("chain"))
 
 
 #: Page columns that the joined inputs are made of.
