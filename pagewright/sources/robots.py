@@ -48,17 +48,46 @@ def matches(path, pattern):
     )
 
 
+def literal_prefix(pattern):
+    """What every path that a pattern matches begins with, as far as it can be read off the pattern.
+
+    In patterns with ``*`` all other characters keep their meaning in a regular expression: the prefix ends before the
+    first that has one, and before the character that a quantifier refers to; an alternative leaves none.
+    """
+    plain = F.regexp_extract(pattern, r"^[^.?+()\[\]{}|^$\\*]*", 0)
+    quantified = F.regexp_like(F.substr(pattern, F.length(plain) + 1, F.lit(1)), F.lit(r"[?+{]"))
+    wild = F.when(pattern.contains("|"), "").when(quantified, F.substr(plain, F.lit(1), F.greatest(F.length(plain) - 1, F.lit(0)))).otherwise(plain)
+    return (
+        F.when(pattern == "/", "")
+        .when(pattern.contains("*"), wild)
+        .when(pattern.endswith("$"), F.substr(pattern, F.lit(1), F.length(pattern) - 1))
+        .otherwise(pattern)
+    )
+
+
+def rules_met(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """``site, _path`` and the rules that may match it: those whose literal prefix begins the path.
+
+    Each path is cut at the lengths that its site's prefixes have, and the cuts meet the rules by (site, prefix): a path
+    makes as many rows as the site has different lengths, however many rules there are.
+    """
+    keyed = rules.where("pattern <> ''").withColumn("_prefix", literal_prefix(F.col("pattern")))
+    lengths = keyed.groupBy("site").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    fits = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    cuts = paths.join(lengths, "site").select("site", "_path", F.explode(fits).alias("_n"))
+    return cuts.withColumn("_prefix", F.substr("_path", F.lit(1), F.col("_n"))).join(keyed, ["site", "_prefix"]).drop("_n", "_prefix")
+
+
 def allowed(pages: DataFrame, rules: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
     """Pages with ``allowed``: blocked if in any group for the agent the longest disallow beats the longest allow.
 
-    Rules meet pages by site, an equi join; a site has as many rule rows as its robots file has lines. Sites without
+    Rules meet paths by site and literal prefix; only patterns with ``*`` are regular expressions then. Sites without
     rules allow everything.
     """
     mine = rules.where(F.col("kind").isin("allow", "disallow") & F.col("user_agent").isin("*", agent.lower()))
     target = pages.withColumn("site", urls.normal_host(urls.host(url))).withColumn("_path", F.concat(urls.path(url), F.regexp_extract(F.col(url), r"(\?[^#]*)", 1)))
-    keys = target.select("site", "_path").distinct()
-    met = keys.join(mine, "site").withColumn("_hit", matches(F.col("_path"), F.col("pattern")))
-    longest = lambda kind: F.coalesce(F.max(F.when((F.col("kind") == kind) & F.col("_hit"), F.length("pattern"))), F.lit(-1))
+    met = rules_met(target.select("site", "_path").distinct(), mine).where(matches(F.col("_path"), F.col("pattern")))
+    longest = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.length("pattern"))), F.lit(-1))
     per_group = met.groupBy("site", "_path", "group_ix").agg((longest("disallow") > longest("allow")).alias("_no"))
     blocked = per_group.groupBy("site", "_path").agg(F.bool_or("_no").alias("_blocked"))
     return target.join(blocked, ["site", "_path"], "left").withColumn("allowed", ~F.coalesce("_blocked", F.lit(False))).drop("site", "_path", "_blocked")
