@@ -18,7 +18,7 @@ from pagewright.plans.site_sql import AGGREGATES, CONDITIONS, SITE, audit_sql, n
 from pagewright.plans.site_sql import url_of as sql_url_of
 from pagewright.session import checkpointed, configure, table
 from pagewright.sources import frontier, html, robots, sinks
-from pagewright.streaming import events
+from pagewright.streaming import crawl_events, events
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -724,6 +724,36 @@ def issue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_lines(rows, ["issue_id", "severity", "title", "affected_url", "done"])
 
 
+@query(
+    "crawl_events",
+    """WITH c AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderkey % 6 > 0 THEN (900 + o_orderkey % 41) / 10.0::DOUBLE END AS score, o_orderkey % 4 AS new FROM orders WHERE o_orderstatus <> 'P'),
+p AS (SELECT c.*, coalesce(last_value(score IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CASE WHEN o_custkey % 2 = 0 THEN (900 + o_custkey % 41) / 10.0::DOUBLE END) AS before FROM c),
+e AS (SELECT *, 'crawl.completed' AS event FROM p UNION ALL SELECT *, 'audit.completed' FROM p WHERE score IS NOT NULL UNION ALL SELECT *, 'issues.new' FROM p WHERE score IS NOT NULL AND new > 0
+  UNION ALL SELECT *, 'health.changed' FROM p WHERE score <> before)
+SELECT o_orderkey::VARCHAR AS crawl_id, o_custkey::VARCHAR AS project_id, event, score AS health, CASE WHEN event IN ('audit.completed', 'health.changed') THEN before END AS before,
+  CASE WHEN event = 'health.changed' THEN floor((score - before) * 1000 + 0.5) / 1000 END AS delta, CASE WHEN score IS NOT NULL AND event <> 'health.changed' THEN new END AS new_issues,
+  CASE WHEN event IN ('audit.completed', 'issues.new') THEN o_orderkey % 100 END AS active, CASE WHEN event = 'crawl.completed' THEN (o_orderkey % 1000 || '/' || o_orderkey % 7 || '/' || o_orderkey % 5 || '/' || o_orderkey % 11 || '/' || o_orderkey % 3) END AS counts FROM e""",
+)
+def crawl_events_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a crawl of its customer's project, audited or not; half of the projects have a score from before."""
+    configure(spark)
+    k = F.col("o_orderkey")
+    told = lambda key: (900 + key % 41) / F.lit(10.0)
+    orders = table(spark, sf_dir, "orders")
+    crawls = orders.select(
+        k.cast("string").alias("crawl_id"), F.col("o_custkey").cast("string").alias("project_id"), F.when(F.col("o_orderstatus") != "P", "COMPLETED").otherwise("RUNNING").alias("status"), F.col("o_orderdate").alias("completed_at"),
+        *[(k % n).cast("int").alias(c) for c, n in zip(crawl_events.COUNTS.values(), (1000, 7, 5, 11, 3))],
+    )
+    audits = orders.where(k % 6 > 0).select(k.cast("string").alias("crawl_id"), told(k).alias("health_score"), (k % 100).alias("active_issues"), (k % 4).alias("new_issues"))
+    c = F.col("c_custkey")
+    before = table(spark, sf_dir, "customer").where(c % 2 == 0).select(c.cast("string").alias("project_id"), told(c).alias("health_score"))
+    made = crawl_events.crawl_events(crawl_events.with_previous(crawl_events.audited(crawls, audits), before))
+    fields = F.from_json("payload", "totalPages int, newPages int, removedPages int, changedPages int, errorCount int, healthScore double, previousHealthScore double, activeIssueCount bigint, newIssueCount bigint, delta double")
+    x = made.withColumn("x", fields)
+    counts = F.when(F.col("event") == "crawl.completed", F.concat_ws("/", *[F.col(f"x.{name}") for name in crawl_events.COUNTS]))
+    return x.select("crawl_id", "project_id", "event", F.col("x.healthScore").alias("health"), F.col("x.previousHealthScore").alias("before"), rounded(F.col("x.delta"), 3).alias("delta"), F.col("x.newIssueCount").alias("new_issues"), F.col("x.activeIssueCount").alias("active"), counts.alias("counts"))
+
+
 @query(
     "triggered_agents",
     """WITH c AS (SELECT c_custkey, c_nationkey, c_custkey % 3 AS kind, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 5 * 3 END AS least FROM customer),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pagewright.session import checkpointed
 
 #: Seconds after a failed attempt n: 4 ** (n - 1) for a webhook, 5 * 2 ** (n - 1) for a job, n for the database.
 WEBHOOK_BASE, JOB_BASE, DATABASE_STEP = 4, 5, 1
+TIMEOUT = 30
 ATTEMPTS = {"webhook": 3, "job": 3, "database": 5}
 
 
@@ -102,10 +104,14 @@ def backoff(kind: str, attempt: Column, attempts: Column | int | None = None) ->
 
 
 def requests(events: DataFrame, hooks: DataFrame) -> DataFrame:
-    """What to post, per routed event: ``event_id, project_id, event, url, body, signature, max_attempts``.
+    """What to post, per routed event: ``event_id, project_id, event, url, body, signature, max_attempts, headers, timeout``.
 
     ``events`` holds ``event_id, project_id, event, ts, payload`` (JSON); ``hooks`` holds ``project_id, webhook_url,
-    webhook_events, webhook_secret, webhook_retries``. No retries, or none set, means three attempts.
+    webhook_events, webhook_secret, webhook_retries`` and, where projects set them, ``webhook_headers`` (a map) and
+    ``webhook_timeout`` (seconds). No retries, or none set, means three attempts; no timeout means 30 seconds.
+
+    These are the events that the emitter lets through and the dispatcher sends: the dispatcher refuses everything where a project's
+    list is empty, the emitter alone (``routed``) does not.
     """
     known = events.join(hooks, "project_id").where((F.col("webhook_url") != "") & (F.col("webhook_events").isNull() | F.array_contains("webhook_events", F.col("event"))))
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -114,24 +120,33 @@ def requests(events: DataFrame, hooks: DataFrame) -> DataFrame:
     body = F.concat(F.lit('{"event":'), quoted("event"), F.lit(',"timestamp":"'), stamp, F.lit('","projectId":'), quoted("project_id"), F.lit(',"data":'), F.coalesce("payload", F.lit("null")), F.lit("}"))
     made = known.withColumn("body", body)
     attempts = F.when(F.col("webhook_retries") > 0, F.col("webhook_retries")).otherwise(ATTEMPTS["webhook"]).cast("int")
-    return made.select("event_id", "project_id", "event", F.col("webhook_url").alias("url"), "body", signature("body", "webhook_secret").alias("signature"), attempts.alias("max_attempts"))
+    headers = F.col("webhook_headers") if "webhook_headers" in hooks.columns else F.lit(None).cast("map<string, string>")
+    set_ = F.col("webhook_timeout") if "webhook_timeout" in hooks.columns else F.lit(None).cast("int")
+    timeout = F.when(set_ > 0, set_).otherwise(TIMEOUT).cast("int")
+    return made.select(
+        "event_id", "project_id", "event", F.col("webhook_url").alias("url"), "body", signature("body", "webhook_secret").alias("signature"), attempts.alias("max_attempts"), headers.alias("headers"), timeout.alias("timeout")
+    )
 
 
 def post_all(made: DataFrame, post: Callable[[str, str, dict], tuple[int, str]], wait: Callable[[float], None]) -> DataFrame:
     """``event_id, attempt, status_code, response, error`` per attempt, until one succeeds or none is left.
 
-    ``post(url, body, headers)`` gives a status code and a text, or raises; ``wait(seconds)`` passes the time between two
-    attempts. Both run in the tasks. A lost task posts again: receivers know an event by its id.
+    ``post(url, body, headers)``, or ``post(url, body, headers, timeout)`` if it takes one, gives a status code and a text, or
+    raises; ``wait(seconds)`` passes the time between two attempts. Both run in the tasks. A project's own headers go
+    before the event's id and signature, which they cannot replace. A lost task posts again: receivers know an event by its id.
     """
+    timed = len(inspect.signature(post).parameters) > 3
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                headers = {"Content-Type": "application/json", "X-Event-Id": str(r.event_id)} | ({"X-Signature": r.signature} if r.signature else {})
+                own = {k: v for k, v in dict(r.headers or {}).items() if v is not None}
+                headers = {"Content-Type": "application/json"} | own | {"X-Event-Id": str(r.event_id)} | ({"X-Signature": r.signature} if r.signature else {})
+                send = (r.url, r.body, headers, r.timeout) if timed else (r.url, r.body, headers)
                 for attempt in range(1, r.max_attempts + 1):
                     try:
-                        code, text, error = *post(r.url, r.body, headers), None
+                        code, text, error = *post(*send), None
                     except Exception as problem:  # an endpoint may fail in any way; that is an outcome
                         code, text, error = None, None, str(problem)
                     out.append((r.event_id, attempt, code, None if text is None else text[:5000], error))
