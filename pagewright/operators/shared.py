@@ -122,17 +122,20 @@ def first_urls(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "url"))), lambda u: u["url"]).alias(name))
 
 
-def _by_url(keys: DataFrame, links: DataFrame | None, needs: frozenset | set) -> DataFrame | None:
-    """Aggregates per comparable url: links to it and canonicals that name it."""
+def _by_url(keys: DataFrame, links: DataFrame | None, needs: frozenset | set, lists: bool) -> DataFrame | None:
+    """Aggregates per comparable url: links to it and canonicals that name it, with the first of them if ``lists``."""
     out = None
     if "inbound" in needs:
         per_source = links.groupBy(F.col("target").alias("norm_url"), "url").agg(F.count(F.lit(1)).alias("n"), F.min_by("page_id", _order()).alias("page_id"))
-        missing = keys.where(F.col("status_code").between(400, 499)).select("norm_url").distinct()
-        listed = first_urls(per_source.join(missing, "norm_url", "left_semi"), "norm_url", LISTED, "linking_list")
-        out = per_source.groupBy("norm_url").agg(F.sum("n").alias("inbound"), F.count(F.lit(1)).alias("linking_pages")).join(listed, "norm_url", "left")
+        out = per_source.groupBy("norm_url").agg(F.sum("n").alias("inbound"), F.count(F.lit(1)).alias("linking_pages"))
+        if lists:
+            missing = keys.where(F.col("status_code").between(400, 499)).select("norm_url").distinct()
+            out = out.join(first_urls(per_source.join(missing, "norm_url", "left_semi"), "norm_url", LISTED, "linking_list"), "norm_url", "left")
     if "incoming" in needs:
         named = keys.where(F.col("canon_norm").isNotNull() & (F.col("canon_norm") != F.col("norm_url"))).select(F.col("canon_norm").alias("_n"), "url", "page_id").withColumnRenamed("_n", "norm_url")
-        incoming = named.groupBy("norm_url").agg(F.count(F.lit(1)).alias("canon_incoming")).join(first_urls(named, "norm_url", 10, "canon_list"), "norm_url", "left")
+        incoming = named.groupBy("norm_url").agg(F.count(F.lit(1)).alias("canon_incoming"))
+        if lists:
+            incoming = incoming.join(first_urls(named, "norm_url", 10, "canon_list"), "norm_url", "left")
         out = incoming if out is None else out.join(incoming, "norm_url", "full_outer")
     return out
 
@@ -184,8 +187,8 @@ def _loops(keys: DataFrame) -> DataFrame:
     return moved.select("page_id", "norm_url", raw.alias("_to")).join(back, "_to").select("page_id", (F.col("_back") == F.col("norm_url")).alias("loops"), "loop_canonical")
 
 
-def enriched(pages: DataFrame, needs: frozenset | set = ALL) -> DataFrame:
-    """Pages with derived columns and the shared inputs named in ``needs``."""
+def enriched(pages: DataFrame, needs: frozenset | set = ALL, lists: bool = True) -> DataFrame:
+    """Pages with derived columns and the shared inputs named in ``needs``; lists of urls only with ``lists``."""
     page = derived(pages)
     if not needs & ALL:
         return page
@@ -193,14 +196,16 @@ def enriched(pages: DataFrame, needs: frozenset | set = ALL) -> DataFrame:
     links = checkpointed(link_rows(page)) if needs & {"inbound", "outcomes"} else None
     lookup = last_by(keys, "norm_url", "status_code", "canon_norm", "canonical_url") if needs & {"canonical", "outcomes"} else None
     zero = []
-    by_url = _by_url(keys, links, needs)
+    by_url = _by_url(keys, links, needs, lists)
     if by_url is not None:
         page = page.join(by_url, "norm_url", "left")
         zero += ["inbound", "linking_pages"] * ("inbound" in needs) + ["canon_incoming"] * ("incoming" in needs)
     if "titles" in needs:
         title_key = F.when((F.col("status_code") == 200) & ~blank("title"), F.lower(trimmed("title")))
         titled = keys.select(title_key.alias("title_key"), "url", "page_id").where("title_key is not null")
-        titles = titled.groupBy("title_key").agg(F.count_distinct("url").alias("title_urls")).where("title_urls > 1").join(first_urls(titled, "title_key", 11, "title_list"), "title_key")
+        titles = titled.groupBy("title_key").agg(F.count_distinct("url").alias("title_urls")).where("title_urls > 1")
+        if lists:
+            titles = titles.join(first_urls(titled, "title_key", 11, "title_list"), "title_key")
         page = page.withColumn("title_key", title_key).join(titles, "title_key", "left")
         zero.append("title_urls")
     if "canonical" in needs:

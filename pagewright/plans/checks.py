@@ -69,10 +69,10 @@ a0 AS (SELECT p, url, page_id, unnest([{_flags}]) AS rule_id FROM e),
 a AS (SELECT *, {SEVERITY_SQL} AS severity, {CATEGORY_SQL} AS category FROM a0 WHERE rule_id IS NOT NULL)"""
 
 
-def audit_issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def audit_issues(spark: SparkSession, sf_dir: str, evidence: bool = False) -> tuple[DataFrame, DataFrame]:
     """The site, and its broken rules as an issue table; every tenth page's issues are whitelisted."""
     pages = site(spark, sf_dir)
-    found = audit(pages)
+    found = audit(pages, evidence=evidence)
     listed = _p() % 10 == 0
     return pages, checkpointed(
         found.withColumns(

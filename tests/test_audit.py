@@ -152,3 +152,15 @@ def test_health(spark):
     assert score(10, ("A", "HIGH", 3, False), ("B", "CRITICAL", 1, False), ("C", "LOW", 10, False), ("D", "MEDIUM", 5, True)) == 94.9
     assert score(10_000, ("A", "INFO", 1, False)) == 99.9
     assert score(0, ("A", "HIGH", 1, False)) == 100.0 and score(5) == 100.0
+
+
+def test_scores_and_counts_make_no_evidence(spark):
+    rows = []
+    page(rows, "1", f"{HOST}/a", [("/b", "t")], title="Same")
+    page(rows, "2", f"{HOST}/b", title="Same", word_count=10)
+    pages = table(spark, rows)
+    bare, full = audit(pages, evidence=False), audit(pages)
+    assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, full.drop("evidence").collect()))
+    plan = bare._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan.lower() and "structstojson" not in plan.lower()
+    assert plan.count("Join ") <= 14 < full._jdf.queryExecution().optimizedPlan().toString().count("Join ")
