@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.rows import named, quoted
 from pagewright.operators.components import connected_components
+from pagewright.operators.skew import lookup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,7 +52,7 @@ REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
 COMMENT = r"(?s)<!--.*?-->"
 # Character references that urls are written with; the ampersand comes last.
-REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#X27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#x2f;", "/"), ("&#X2F;", "/"), ("&#X2f;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&#X26;", "&"), ("&amp;", "&"))
 TARGET = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
 
 
@@ -125,7 +126,8 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[Rul
     absolute = F.concat(F.lit("x://"), F.col("node"))
     ruled = rule_name(host_of(absolute), path_of(absolute), rules)
     decided = members.groupBy("component").agg(F.max(F.coalesce(F.try_element_at(action, ruled) == "block", F.lit(False))).alias("_blocked"))
-    aliases = members.join(decided, "component").select(F.col("node").alias("_key"), F.col("component").alias("alias_of"), "_blocked")
+    # one component may hold any share of the urls
+    aliases = lookup(members, "component", decided, members.count()).select(F.col("node").alias("_key"), F.col("component").alias("alias_of"), "_blocked")
     page = named(url)
     judged = pages.select(*keep, host_of(page).alias("host"), path_of(page).alias("path"), alias_key(page).alias("_key"))
     judged = judged.withColumn("rule", rule_name(F.col("host"), F.col("path"), rules)).join(aliases, "_key", "left")
