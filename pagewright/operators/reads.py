@@ -111,6 +111,21 @@ def notification_list(notifications: DataFrame, projects: DataFrame, user_id: st
     return newest.join(projects.select("project_id", F.col("name").alias("project_name")), "project_id", "left").orderBy(F.desc("created_at"), F.desc("notification_id"))
 
 
+def newest(rows: DataFrame, project_id: str, tie: str, limit: int) -> DataFrame:
+    """A project's newest rows, newest first; ``tie`` decides between rows of one time."""
+    return rows.where(F.col("project_id") == project_id).orderBy(F.desc("created_at"), F.desc(tie)).limit(limit)
+
+
+def delivery_list(deliveries: DataFrame, project_id: str, limit: int = 50) -> DataFrame:
+    """The newest webhook deliveries of a project."""
+    return newest(deliveries, project_id, "delivery_id", limit)
+
+
+def qualification_runs(runs: DataFrame, project_id: str, limit: int = 20) -> DataFrame:
+    """The newest qualification runs of a project."""
+    return newest(runs, project_id, "run_id", limit)
+
+
 def agent_with_runs(agents: DataFrame, runs: DataFrame, findings: DataFrame, most: int = 20, shown: int = 50) -> DataFrame:
     """Agents with ``runs``, the newest first, each with its first ``findings`` and how many there are."""
     kept = latest_per(runs, "agent_id", "created_at", most)

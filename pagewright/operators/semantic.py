@@ -17,6 +17,7 @@ from pagewright.functions import urls
 from pagewright.functions.text import rounded
 from pagewright.operators import similar
 from pagewright.operators.components import connected_components
+from pagewright.operators.ranking import first_of
 from pagewright.operators.similar import Classes
 from pagewright.operators.skew import lookup
 from pagewright.session import checkpointed, written
@@ -270,8 +271,15 @@ def neighbour_report(node: DataFrame, near: DataFrame, pages: int = 120, shown:
     return near.where(F.col("place") <= shown).join(chosen.select("ix", "url"), "ix").join(names, "nb").select("ix", "url", "place", "neighbour", rounded(F.col("sim"), 3).alias("similarity"))
 
 
-def keyword_distribution(scores: DataFrame, most: int = 50) -> DataFrame:
-    """``keyword, pages, avg_score`` of the keywords on most pages."""
+def keyword_distribution(scores: DataFrame, node: DataFrame | None = None, most: int = 50, shown: int = 5) -> DataFrame:
+    """``keyword, pages, avg_score`` of the keywords on most pages; with ``node``, ``examples`` too: the urls of the first
+    pages that hold each."""
     counted = scores.groupBy("keyword").agg(F.count_distinct("ix").alias("pages"), F.sum("score").alias("total"))
     top = counted.orderBy(F.desc("pages"), "keyword").limit(most)
-    return top.select("keyword", "pages", rounded(F.col("total") / F.col("pages"), 3).alias("avg_score"))
+    found = top.select("keyword", "pages", rounded(F.col("total") / F.col("pages"), 3).alias("avg_score"))
+    if node is None:
+        return found
+    first = first_of(scores.join(F.broadcast(found.select("keyword")), "keyword"), "keyword", "ix", shown, "firsts")  # at most ``most`` keywords
+    named = first.select("keyword", F.posexplode("firsts").alias("place", "ix")).join(node.select("ix", "url"), "ix")
+    urls_ = named.groupBy("keyword").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x["url"]).alias("examples"))
+    return found.join(urls_, "keyword")

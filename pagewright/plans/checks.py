@@ -5,12 +5,12 @@ Arrays leave as joined text and doubles as rounded numbers, so that both engines
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls
 from pagewright.functions.text import CATEGORIES, rounded
-from pagewright.operators import diff, graph, keywords, lifecycle, metrics, reads, semantic
+from pagewright.operators import diff, graph, keywords, lifecycle, metrics, paging, reads, semantic
 from pagewright.operators.audit import audit
 from pagewright.operators.components import connected_components
 from pagewright.plans.site import site, url_of
@@ -578,6 +578,17 @@ def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.keyword_distribution(_topics(spark, sf_dir)[1])
 
 
+@query(
+    "topic_keyword_examples",
+    f"""WITH {_TOPIC_CTE}, tk AS (SELECT keyword, count(DISTINCT p) AS pages FROM sc GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50),
+pk AS (SELECT DISTINCT keyword, p FROM sc SEMI JOIN tk USING (keyword)), ex AS (SELECT keyword, p FROM pk QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY p) <= 5)
+SELECT keyword, pages, (SELECT string_agg(url, '|' ORDER BY ex.p) FROM ex JOIN k USING (p) WHERE ex.keyword = tk.keyword) AS examples FROM tk""",
+)
+def topic_keyword_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node, scores, _ = _topics(spark, sf_dir)
+    return semantic.keyword_distribution(scores, node).select("keyword", "pages", F.array_join("examples", "|").alias("examples"))
+
+
 #: Pages that wait are taken one by one in their order, as the rule is worded; the plan settles them in rounds.
 _SEGMENT_CTE = f"""{_TOPIC_CTE},
 s0 AS (SELECT a, b FROM kn WHERE sim >= 0.3 OR (sim >= 0.24 AND len(shared) >= 2)), sb AS (SELECT a, b FROM s0 UNION SELECT b, a FROM s0),
@@ -651,6 +662,7 @@ def topic_neighbour_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- issues over time, from the events table -----------------------------------------------------------------------
 
 _SEVERITY = "CASE event_id % 5 WHEN 0 THEN 'INFO' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END"
+_SEVERITY_RANK = "CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 ELSE 1 END"
 _EVENT_CTE = f"""i AS (SELECT event_id::VARCHAR AS issue_id, {_SEVERITY} AS severity, CASE WHEN event_id % 7 = 0 THEN 'RESOLVED' ELSE 'ACTIVE' END AS status, event_type AS category,
   event_type || ' issue' AS title, 'https://ex.test/U' || user_id AS affected_url, ts AS first_detected_at, ts + to_days((event_id % 5)::INT) AS last_detected_at,
   CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL 6 DAY END AS resolved_at, event_id, user_id, ts, value FROM events)"""
@@ -680,6 +692,29 @@ def issues_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.issues_by_day(event_issues(spark, sf_dir), F.lit("2024-01-20").cast("date"))
 
 
+@query(
+    "issue_deep_page",
+    f"""WITH {_EVENT_CTE}, m AS (SELECT * FROM i WHERE status = 'ACTIVE')
+SELECT issue_id, severity, (SELECT count(*) FROM m) AS total, (SELECT count(*) FROM m) > 5000 AS has_more, row_number() OVER (ORDER BY {_SEVERITY_RANK} DESC, last_detected_at DESC, issue_id) AS place FROM m
+QUALIFY place BETWEEN 4951 AND 5000""",
+)
+def issue_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundredth page of all active issues, read by its key range."""
+    configure(spark)
+    found = lifecycle.select_issues(event_issues(spark, sf_dir)).select("issue_id", "severity", "last_detected_at")
+    shown = paging.ranges(found, lifecycle.by_severity()).page(100, 50)
+    place = F.row_number().over(Window.orderBy(*lifecycle.by_severity())) + 99 * 50  # the rows of one page
+    return shown.select("issue_id", "severity", "total", "has_more", place.cast("long").alias("place"))
+
+
+@query("delivery_list", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE user_id % 25 = 7 QUALIFY place <= 50")
+def delivery_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as deliveries of 25 projects, in the order they are shown."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("delivery_id"), (F.col("user_id") % 25).cast("string").alias("project_id"), F.col("ts").alias("created_at"))
+    place = F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("delivery_id")))  # at most 50 rows
+    return reads.delivery_list(rows, "7").select(F.col("delivery_id").alias("event_id"), place.cast("long").alias("place"))
+
+
 @query(
     "issue_page",
     f"""WITH {_EVENT_CTE}, m AS (SELECT * FROM i WHERE severity IN ('HIGH', 'LOW') AND status = 'ACTIVE' AND contains(lower(affected_url), 'u1') AND (contains(lower(title), 'c') OR contains(lower(affected_url), 'c')))

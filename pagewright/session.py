@@ -71,11 +71,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder. A checkpoint keeps the size that its plan was estimated at, which
-    a join multiplies; what is read back from files has their size, so rounds of joins are planned by what is there."""
+    a join multiplies; what is read back from files has their size, so rounds of joins are planned by what is there. With
+    ``by``, every value of that column has a folder of its own."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -22,16 +22,19 @@ TIMEOUT = 30
 ATTEMPTS = {"webhook": 3, "job": 3, "database": 5}
 
 
-def due_projects(projects: DataFrame, crawls: DataFrame, now: Column) -> DataFrame:
+def due_projects(projects: DataFrame, crawls: DataFrame, now: Column, jobs: DataFrame | None = None) -> DataFrame:
     """``project_id, slot, job_id`` of projects whose last schedule slot has not been crawled.
 
     The slot must not lie before the project's creation, must be later than the last crawl, and no crawl may be queued
-    or running.
+    or running. With ``jobs`` (``kind, status``), nothing is due while a crawl or what follows one is active for any project.
     """
     last = crawls.groupBy("project_id").agg(F.max("created_at").alias("last_run"), F.bool_or(F.col("status").isin("QUEUED", "RUNNING")).alias("busy"))
     slotted = projects.withColumn("slot", previous_slot("crawl_schedule", now)).join(last, "project_id", "left")
     fresh = F.col("slot").isNotNull() & (F.col("slot") >= F.col("created_at")) & (F.col("last_run").isNull() | (F.col("slot") > F.col("last_run")))
     due = slotted.where(fresh & ~F.coalesce("busy", F.lit(False)))
+    if jobs is not None:
+        active = jobs.agg(F.coalesce(F.bool_or((F.col("status") == "ACTIVE") & F.col("kind").isin("crawl", "post-crawl")), F.lit(False)).alias("_active"))
+        due = due.join(F.broadcast(active)).where("not _active")  # one row
     return due.select("project_id", "slot", F.concat(F.lit("scheduled-crawl-"), "project_id", F.lit("-"), F.date_format("slot", "yyyyMMddHHmm")).alias("job_id"))
 
 
