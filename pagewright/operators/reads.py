@@ -43,6 +43,47 @@ def window_urls(window: DataFrame, kind: str, offset: int = 0, limit: int = 100)
     return window.select(F.posexplode(listed).alias("pos", "url")).where(F.col("pos").between(offset, offset + limit - 1))
 
 
+#: When an issue of a bucket was new, resolved or seen again.
+MOMENT = {"new": "first_detected_at", "resolved": "resolved_at", "persisted": "last_detected_at"}
+
+
+def capped_issues(issues: DataFrame, window: DataFrame, most: int) -> DataFrame:
+    """Issues with ``delta, moment, place``: the first ``most`` new, resolved and persisted ones, the severest and latest first."""
+    moment = F.coalesce(*[F.when(F.col("delta") == k, F.col(c)) for k, c in MOMENT.items()])
+    place = F.row_number().over(Window.partitionBy("delta").orderBy(F.desc(severity_rank("severity")), F.desc("moment"), "issue_id"))
+    found = window_issues(issues, window).withColumn("moment", moment)
+    return found.withColumn("place", place).where(F.col("place") <= most)
+
+
+def capped_delta(window: DataFrame, listed: DataFrame, new: int, removed: int, changed: int) -> DataFrame:
+    """One row for the latest crawl: ``crawl_id, is_initial, new_pages, removed_pages, changed_pages, trimmed, new_issues,
+    resolved_issues, persisted_issues, active_issues``.
+
+    ``window`` is ``crawl_window``'s row and ``listed`` the rows of ``capped_issues``. Urls that the crawl noted are cut at the
+    given lengths, and ``trimmed`` says whether any list was longer. Entries that are not texts, and changed pages without a
+    url, do not count. What post-processing noted of new and active issues stands before what is listed.
+    """
+    noted = lambda path: F.get_json_object("diff", f"$.{path}")
+
+    def texts(path: str) -> Column:
+        items = F.from_json(noted(path), "array<variant>")
+        kept = F.filter(items, lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
+        return F.coalesce(F.transform(kept, lambda v: v.cast("string")), F.array().cast("array<string>"))
+
+    entries = F.from_json(noted("crawlDiff.changedPages"), "array<struct<url: string, changes: array<struct<field: string, oldValue: variant, newValue: variant>>>>")
+    value = lambda v: F.coalesce(F.to_json(v), F.lit("null"))
+    changes = lambda e: F.transform(F.filter(e["changes"], lambda c: c.isNotNull()), lambda c: F.struct(F.coalesce(c["field"], F.lit("unknown")).alias("field"), value(c["oldValue"]).alias("old"), value(c["newValue"]).alias("new")))
+    pages = F.transform(F.filter(entries, lambda e: F.coalesce(e["url"] != "", F.lit(False))), lambda e: F.struct(e["url"].alias("url"), F.coalesce(changes(e), F.array()).alias("changes")))
+    full = window.select("crawl_id", "is_initial", "diff", texts("crawlDiff.newPages").alias("_new"), texts("crawlDiff.removedPages").alias("_removed"), F.coalesce(pages, F.array()).alias("_changed"))
+    counted = listed.agg(*[F.count_if(F.col("delta") == k).alias(f"_{k}_issues") for k in MOMENT])
+    number = lambda path: F.try_variant_get(F.try_parse_json(noted(path)), "$", "bigint")
+    trimmed = (F.size("_new") > new) | (F.size("_removed") > removed) | (F.size("_changed") > changed)
+    return full.join(F.broadcast(counted)).select(
+        "crawl_id", "is_initial", F.slice("_new", 1, new).alias("new_pages"), F.slice("_removed", 1, removed).alias("removed_pages"), F.slice("_changed", 1, changed).alias("changed_pages"), trimmed.alias("trimmed"),
+        F.coalesce(number("postProcessing.newIssueCount"), "_new_issues").alias("new_issues"), F.col("_resolved_issues").alias("resolved_issues"), F.col("_persisted_issues").alias("persisted_issues"), number("postProcessing.activeIssueCount").alias("active_issues"),
+    )
+
+
 def list_pages(pages: DataFrame, url: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
     """Pages by url with link and image counts."""
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))

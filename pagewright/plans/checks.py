@@ -734,11 +734,29 @@ x AS (SELECT issue_id, 'new' AS delta FROM i, w WHERE first_detected_at BETWEEN
   UNION ALL SELECT issue_id, 'persisted' FROM i, w WHERE first_detected_at < s AND last_detected_at BETWEEN s AND e AND status <> 'RESOLVED') SELECT * FROM x""",
 )
 def crawl_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.window_issues(event_issues(spark, sf_dir), _delta_window(spark)).select("issue_id", "delta")
+
+
+def _delta_window(spark: SparkSession) -> DataFrame:
     crawls = spark.createDataFrame(
         [("c1", "COMPLETED", "2024-01-03", "2024-01-04", None), ("c2", "COMPLETED", "2024-01-10", "2024-01-11", '{"postProcessing":{"completedAt":"2024-01-12T12:00:00Z"}}'), ("c3", "FAILED", "2024-01-20", None, None)],
         "crawl_id string, status string, created string, completed string, diff string",
     ).selectExpr("crawl_id", "status", "cast(created as timestamp) as created_at", "cast(completed as timestamp) as completed_at", "diff")
-    return reads.window_issues(event_issues(spark, sf_dir), reads.crawl_window(crawls, F.lit("2024-02-01").cast("timestamp"))).select("issue_id", "delta")
+    return reads.crawl_window(crawls, F.lit("2024-02-01").cast("timestamp"))
+
+
+@query(
+    "capped_delta_issues",
+    ORACLES["crawl_delta"].replace(
+        "SELECT * FROM x",
+        f"""SELECT issue_id, delta, row_number() OVER (PARTITION BY delta ORDER BY {_SEVERITY_RANK} DESC, CASE delta WHEN 'new' THEN first_detected_at WHEN 'resolved' THEN resolved_at ELSE last_detected_at END DESC, issue_id)::INT AS place
+FROM x JOIN i USING (issue_id) QUALIFY place <= 100""",
+    ),
+)
+def capped_delta_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred issues of each bucket of the latest crawl."""
+    configure(spark)
+    return reads.capped_issues(event_issues(spark, sf_dir), _delta_window(spark), 100).select("issue_id", "delta", "place")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,30 @@ def test_nothing_is_due_while_a_crawl_is_active_anywhere(spark, jobs, due):
     projects = spark.createDataFrame([("p", "0 12 * * *")], "project_id string, crawl_schedule string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
     crawls = spark.createDataFrame([], "project_id string, created_at timestamp, status string")
     assert events.due_projects(projects, crawls, now, spark.createDataFrame(jobs, "kind string, status string")).count() == due
+
+
+def test_the_latest_crawl_is_told_in_short_lists(spark):
+    diff = {"crawlDiff": {"newPages": ["n1", 5, "n2", None, "n3"], "removedPages": ["r1"], "changedPages": [{"url": "c1", "changes": [{"field": "title", "oldValue": "a", "newValue": {"x": 1}}, {"newValue": 2}]}, {"url": ""}, {"changes": []}, {"url": "c2"}]}, "postProcessing": {"newIssueCount": 40, "activeIssueCount": 7, "completedAt": "2024-01-03T00:00:00.000Z"}}
+    crawls = spark.createDataFrame([("k0", "COMPLETED", "2024-01-01", None, None), ("k1", "COMPLETED", "2024-01-02", "2024-01-02 01:00:00", json.dumps(diff)), ("k2", "FAILED", "2024-01-09", None, None)], "crawl_id string, status string, created_at string, completed_at string, diff string")
+    crawls = crawls.withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "completed_at")})
+    window = reads.crawl_window(crawls, F.lit("2024-02-01").cast("timestamp"))
+    when = lambda d: F.to_timestamp(F.lit(f"2024-01-{d}"))
+    k = F.col("id")
+    issues = spark.range(30).select(
+        k.cast("string").alias("issue_id"), F.lit("R").alias("rule_id"), F.element_at(F.array(*map(F.lit, ("LOW", "HIGH", "INFO"))), (k % 3 + 1).cast("int")).alias("severity"), F.lit("t").alias("title"), F.lit("u").alias("affected_url"),
+        F.when(k % 2 == 0, when("02 12:00:00")).otherwise(when("01")).alias("first_detected_at"), when("02 13:00:00").alias("last_detected_at"), F.when(k % 5 == 0, when("02 14:00:00")).alias("resolved_at"), F.when(k % 5 == 0, "RESOLVED").otherwise("ACTIVE").alias("status"),
+    )
+    listed = reads.capped_issues(issues, window, 4)
+    got = {}
+    for r in listed.orderBy("delta", "place").collect():
+        got.setdefault(r["delta"], []).append((r["severity"], r["issue_id"]))
+    assert got["new"] == [("HIGH", i) for i in sorted(str(i) for i in range(30) if i % 2 == 0 and i % 3 == 1)[:4]]
+    assert got["resolved"] == [("HIGH", "10"), ("HIGH", "25"), ("LOW", "0"), ("LOW", "15")] and len(got["persisted"]) == 4
+    row = reads.capped_delta(window, listed, new=2, removed=2, changed=2).first()
+    assert (row["crawl_id"], row["is_initial"], row["new_pages"], row["removed_pages"], row["trimmed"]) == ("k1", False, ["n1", "n2"], ["r1"], True)
+    assert [(p["url"], [tuple(c) for c in p["changes"]]) for p in row["changed_pages"]] == [("c1", [("title", '"a"', '{"x":1}'), ("unknown", "null", "2")]), ("c2", [])]
+    assert (row["new_issues"], row["resolved_issues"], row["persisted_issues"], row["active_issues"]) == (40, 4, 4, 7)
+    assert not reads.capped_delta(window, listed, 3, 1, 2).first()["trimmed"]
+    bare = reads.crawl_window(crawls.where("crawl_id = 'k0'"), F.lit("2024-02-01").cast("timestamp"))
+    row = reads.capped_delta(bare, listed, 1, 1, 1).first()
+    assert row["is_initial"] and row["new_pages"] == [] and row["changed_pages"] == [] and row["new_issues"] == 4 and row["active_issues"] is None
