@@ -65,10 +65,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Element:
     name: str
     path: int
-    #: boilerplate, or in it: its text is not read
+    #: boilerplate by its own name, or in it
     dropped: bool
     inside: int
     link: bool
+    #: no text of the page, or a control within a line: its text is not read
+    mute: bool = False
 
 
 @dataclass(slots=True)
@@ -76,6 +78,7 @@ class Block:
     """Text between two block borders. ``path`` is the role of the element that holds it."""
 
     path: int
+    dropped: bool
     inside: int
     heading: bool
     text: str
@@ -151,7 +154,7 @@ class _Reader:
         self.linked = 0
 
     def text(self, value: str) -> None:
-        if value and not self.stack[-1].dropped:
+        if value and not self.stack[-1].mute:
             value = unescape(value) if "&" in value else value
             self.parts.append(value)
             if self.stack[-1].link:
@@ -163,7 +166,7 @@ class _Reader:
             words = "".join(self.parts).split()
             if words:
                 at = next(e for e in reversed(self.stack) if e.name in BLOCK or not e.name)
-                self.page.blocks.append(Block(at.path, at.inside, at.name in HEADING, " ".join(words), len(words), min(self.linked, len(words))))
+                self.page.blocks.append(Block(at.path, at.dropped, at.inside, at.name in HEADING, " ".join(words), len(words), min(self.linked, len(words))))
             self.parts, self.linked = [], 0
 
     def pop(self, to: int) -> None:
@@ -192,17 +195,17 @@ class _Reader:
         if name in CELL or name == "br":
             self.parts.append(" ")
         if name in VOID:
-            return
-        if self.stack[-1].dropped and name not in BLOCK:  # nothing in here is read; only nesting counts
-            self.push(Element(name, self.stack[-1].path, True, self.stack[-1].inside, False))
-            return
+            return None
         top = self.stack[-1]
+        if top.mute and name not in BLOCK:  # nothing in here is read; only nesting counts
+            return self.push(Element(name, top.path, top.dropped, top.inside, False, True))
         role, dropped, begins = _marked(name, written, top.inside > 0)
         path = top.path
         if name in BLOCK:
             path = token_of(top.path, role)
             self.page.elements.append((path, top.path))
-        self.push(Element(name, path, top.dropped or dropped, max(top.inside, begins), top.link or name == "a"))
+        mute = top.mute or (dropped and name not in BLOCK)
+        return self.push(Element(name, path, top.dropped or dropped, max(top.inside, begins), top.link or name == "a", mute))
 
     def push(self, e: Element) -> None:
         self.stack.append(e)

@@ -134,3 +134,19 @@ def test_awkward_tables(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted((r["page_id"] or 0, len(r["text"])) for r in got.collect()) == [(0, 0), (1, 1), (2, 0), (3, 0), (3, 0), (4, 999_999)]
     assert html_extraction.extract(pages.where(F.lit(False))).count() == 0
+
+
+def test_slots_of_a_template_are_judged_once_for_the_host(spark):
+    """What a page does not say itself, its host's template does: a slot that is an aside on the others, too."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(10):
+        body = "".join(f"<p>{p}</p>" for p in article(rng, 3))
+        rows.append((f"http://s.test/{i}", f"<nav><ul><li><a href=/>Home</a></li></ul></nav><div class=story>{body}</div><div class=more><a href=/>{article(rng, 1)[0]}</a></div>"))
+    linked = f"<div class=story><p>short</p></div><div class=more>{article(rng, 1)[0]} without a link here</div>"
+    rows.append(("http://s.test/x", linked))
+    seen = html_extraction.seen_tokens(frame(spark, rows))
+    kinds = Counter(r["main"] for r in html_extraction.templates(seen).collect())
+    assert kinds[True] == 1 and kinds[False] >= 2  # the story; the menu and its word, the links below
+    assert texts(html_extraction.extract(frame(spark, rows)))[10] == "short"
+    assert "without a link" in texts(html_extraction.extract(frame(spark, rows[-1:])))[0]
