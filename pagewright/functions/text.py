@@ -47,6 +47,7 @@ def is_in(c: Column, values: tuple[str, ...]) -> Column:
     return F.coalesce(c.isin(*values), F.lit(False))
 
 
+# Severities from low to high.
 SEVERITIES = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
@@ -67,6 +68,7 @@ def normal_severity(c: Column | str) -> Column:
     return F.when(name.isin(*SEVERITIES), name).otherwise("MEDIUM")
 
 
+# The categories.
 CATEGORIES = (
     "INDEXABILITY",
     "CRAWLABILITY",

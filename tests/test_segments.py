@@ -128,3 +128,17 @@ def test_pages_known_by_their_group_only_are_all_paired(spark):
     assert {i: [nb for _, nb in sorted(v)] for i, v in near.items()} == {**{i: [j for j in range(8) if j != i][:6] for i in range(200)}, **{500 + i: [500 + j for j in range(3) if j != i] for i in range(3)}}
     joined = connected_components(semantic.strong_pairs(semantic.neighbours(vector, found)))
     assert {(r["node"], r["component"]) for r in joined.collect()} == {*((i, 0) for i in range(200)), *((500 + i, 500) for i in range(3))}
+
+
+def test_an_empty_site_has_no_topics(spark):
+    node = spark.createDataFrame([], "ix long, page_id string, url string, grp string, depth int, issue_count int, inbound_links int")
+    stored = spark.createDataFrame([], "page_id string, keyword string, score double")
+    scores = semantic.keyword_scores(node, stored)
+    vector = semantic.vectors(node, semantic.term_scores(node, scores))
+    found = semantic.alike(vector)
+    near = semantic.neighbours(vector, found).persist()
+    numbered = semantic.segments(node, near)
+    edge = spark.createDataFrame([], "source string, target string")
+    empty = [vector, near, similar.expanded(found), numbered, semantic.segment_summary(node, vector, near, numbered), semantic.bridges(node, near, numbered), semantic.link_opportunities(node, near, edge)]
+    empty += [semantic.cannibalisation(scores, found), semantic.keyword_distribution(scores, node), semantic.neighbour_report(node, near), semantic.path_clusters(node, semantic.term_scores(node, scores), numbered)]
+    assert [df.count() for df in empty] == [0] * len(empty)
