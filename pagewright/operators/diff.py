@@ -102,6 +102,36 @@ def diagnostics(changes: DataFrame, covered: DataFrame, most: int = 500) -> Data
     return out
 
 
+def robots_diagnostics(files: DataFrame, rules: DataFrame, configured: DataFrame) -> DataFrame:
+    """``site, robots_url, found, fetch_error, sitemaps, sitemap_missing`` per site.
+
+    ``files`` has the fetched robots files (``site, scheme, status_code, error``), ``rules`` their parsed lines and ``configured``
+    the sites whose owner named a sitemap. A file is found if its status is a success; another status is an error of its own.
+    A sitemap is missing where neither the file nor the owner names one.
+    """
+    named = rules.where("kind = 'sitemap'").groupBy("site").agg(F.count_distinct("pattern").alias("sitemaps"))
+    own = configured.select("site").distinct().withColumn("_own", F.lit(True))
+    found = F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
+    error = F.when(~found, F.coalesce("error", F.concat(F.lit("robots.txt returned HTTP "), "status_code")))
+    joined = files.join(named, "site", "left").join(own, "site", "left")
+    sitemaps = F.coalesce("sitemaps", F.lit(0)).cast("long")
+    return joined.select(
+        "site", F.concat("scheme", F.lit("://"), "site", F.lit("/robots.txt")).alias("robots_url"), found.alias("found"), error.alias("fetch_error"), sitemaps.alias("sitemaps"), ((sitemaps == 0) & F.col("_own").isNull()).alias("sitemap_missing")
+    )
+
+
+def discovery_diagnostics(seeds: DataFrame, linked: DataFrame) -> DataFrame:
+    """``site, seed_urls, sitemap_seeds, via_links`` per site: different urls that the crawl began with, those of them that a
+    sitemap named, and those that only links led to.
+
+    ``seeds`` holds ``site, url, from_sitemap``; ``linked`` holds ``site, url`` of the links that were followed.
+    """
+    began = seeds.groupBy("site", "url").agg(F.bool_and("from_sitemap").alias("from_sitemap"))
+    led = linked.select("site", "url").distinct().join(began, ["site", "url"], "left_anti").groupBy("site").agg(F.count(F.lit(1)).alias("via_links"))
+    counted = began.groupBy("site").agg(F.count(F.lit(1)).alias("seed_urls"), F.count_if("from_sitemap").alias("sitemap_seeds"))
+    return counted.join(led, "site", "full_outer").select("site", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("seed_urls", "sitemap_seeds", "via_links")])
+
+
 def graph_flags(nodes: DataFrame, new_urls: DataFrame, removed_urls: DataFrame) -> DataFrame:
     """Nodes with ``is_new`` and ``is_removed`` set from the two url lists and reset elsewhere."""
     new = new_urls.select(F.col("url"), F.lit(True).alias("_new")).distinct()

@@ -947,6 +947,24 @@ def crawl_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(F.col("new").alias("n_new"), F.col("removed").alias("n_removed"), F.col("changed").alias("n_changed"), F.try_element_at("new_urls", F.lit(1)).alias("first_new"))
 
 
+@query(
+    "crawl_discovery",
+    f"""WITH {SITE}, hh AS (SELECT p, url, (p % 20)::VARCHAR AS site FROM k),
+sd AS (SELECT DISTINCT site, url FROM hh WHERE p % 4 = 0 OR p < 20), mp AS (SELECT site, url, p % 4 = 0 AND p >= 20 AS mapped FROM hh),
+lk AS (SELECT DISTINCT hh.site, t.url FROM hh JOIN hh t ON t.p = (hh.p * 7 + 1) % (SELECT count(*) FROM k))
+SELECT site, (SELECT count(*) FROM sd WHERE sd.site = x.site) AS seed_urls, (SELECT count(DISTINCT sd.url) FROM sd JOIN mp ON mp.site = sd.site AND mp.url = sd.url WHERE sd.site = x.site AND mapped) AS sitemap_seeds,
+  (SELECT count(*) FROM lk WHERE lk.site = x.site AND NOT EXISTS (SELECT 1 FROM sd WHERE sd.site = lk.site AND sd.url = lk.url)) AS via_links FROM (SELECT DISTINCT site FROM hh) x""",
+)
+def crawl_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page belongs to one of twenty crawls and links to one page; a quarter of the pages are in sitemaps."""
+    pages = site(spark, sf_dir).select(_p().alias("p"), "url").withColumn("site", (F.col("p") % 20).cast("string"))
+    n = pages.agg(F.count(F.lit(1)).alias("n"))
+    seeds = pages.where("p % 4 = 0 or p < 20").select("site", "url", (F.col("p") >= 20).alias("from_sitemap"))
+    goal = pages.select(F.col("p").alias("_to"), F.col("url").alias("_url"))
+    linked = pages.join(F.broadcast(n)).withColumn("_to", (F.col("p") * 7 + 1) % F.col("n")).join(goal, "_to").select("site", F.col("_url").alias("url"))
+    return diff.discovery_diagnostics(seeds, linked)
+
+
 @query(
     "graph_change_flags",
     f"""WITH {SITE} SELECT page_id, p % 4 = 0 AS is_new, p % 6 = 1 AS is_removed FROM k""",

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import lifecycle, paging, reads
+from pagewright.operators import diff, lifecycle, paging, reads
 from pagewright.streaming import events
 
 
@@ -82,3 +82,15 @@ def test_the_latest_crawl_is_told_in_short_lists(spark):
     bare = reads.crawl_window(crawls.where("crawl_id = 'k0'"), F.lit("2024-02-01").cast("timestamp"))
     row = reads.capped_delta(bare, listed, 1, 1, 1).first()
     assert row["is_initial"] and row["new_pages"] == [] and row["changed_pages"] == [] and row["new_issues"] == 4 and row["active_issues"] is None
+
+
+def test_what_a_crawl_found_at_the_start(spark):
+    files = spark.createDataFrame([("a", "https", 200, None), ("b", "https", 404, None), ("c", "http", None, "timed out")], "site string, scheme string, status_code int, error string")
+    rules = spark.createDataFrame([("a", "sitemap", "s1"), ("a", "sitemap", "s1"), ("a", "sitemap", "s2"), ("a", "allow", "/")], "site string, kind string, pattern string")
+    configured = spark.createDataFrame([("b",)], "site string")
+    got = {r["site"]: tuple(r)[1:] for r in diff.robots_diagnostics(files, rules, configured).collect()}
+    assert got == {"a": ("https://a/robots.txt", True, None, 2, False), "b": ("https://b/robots.txt", False, "robots.txt returned HTTP 404", 0, False), "c": ("http://c/robots.txt", False, "timed out", 0, True)}
+    seeds = spark.createDataFrame([("a", "/", False), ("a", "/1", True), ("a", "/1", True), ("a", "/", True), ("b", "/", False)], "site string, url string, from_sitemap boolean")
+    linked = spark.createDataFrame([("a", "/1"), ("a", "/2"), ("a", "/2"), ("c", "/x")], "site string, url string")
+    got = {r["site"]: tuple(r)[1:] for r in diff.discovery_diagnostics(seeds, linked).collect()}
+    assert got == {"a": (2, 1, 1), "b": (1, 0, 0), "c": (0, 0, 1)}
