@@ -6,6 +6,8 @@ import math
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,44 @@ def test_equal_pages_cost_one_vector_and_few_pairs_are_scored_in_vain(spark):
     assert tried < 5 * found.pairs.where("a < b").count()
 
 
+def test_terms_of_one_page_do_not_part_a_template(spark):
+    template = {"t1": 3.0, "t2": 2.0, "t3": 1.0}
+    vector = fixture(spark, [(i, {**template, f"own{i}": 1.5}) for i in range(300)] + [(900, {"t1": 1.0, "other": 2.0})]).persist()
+    found = semantic.alike(vector)
+    assert {(r["rep"], r["n"]) for r in found.members.groupBy("rep").agg(F.count("ix").alias("n")).collect()} == {(0, 300), (900, 1)}
+    norm = 14 + 1.5**2
+    assert {(r["a"], r["b"]): r["sim"] for r in found.pairs.collect()} == {(0, 0): pytest.approx(14 / norm), (0, 900): pytest.approx(3 / math.sqrt(norm * 5))}
+    near = semantic.neighbours(vector, found).where("ix in (0, 7)").orderBy("ix", "place").select("ix", "nb", "shared").collect()
+    assert [tuple(r) for r in near] == [(i, j, ["t1", "t2", "t3"]) for i in (0, 7) for j in [j for j in range(8) if j != i][:6]]
+
+
+def test_tiles_give_what_one_does(spark, monkeypatch):
+    vector = fixture(spark, site_rows()).persist()
+    read = lambda found: (sorted(map(tuple, semantic.neighbours(vector, found).drop("sim").collect()), key=repr), sorted((r["a"], r["b"]) for r in found.pairs.collect()))
+    plain = read(semantic.alike(vector))
+    monkeypatch.setattr(similar, "BLOCK", 40)
+    assert read(semantic.alike(vector)) == plain
+
+
+def test_the_best_are_kept_whatever_is_held(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, k = 60, 7
+    sims = np.round(rng.random((n, n)), 1)  # many ties
+    top = [sorted(rng.choice(12, rng.integers(0, 8), replace=False).tolist()) for _ in range(n)]
+    ix = rng.permutation(1000)[:n]
+    got = {}
+    for held in (1, 1 << 21):
+        monkeypatch.setattr(similar, "HELD", held)
+        best = similar._Best(ix, pa.array(top, pa.list_(pa.int64())), k, 0.12)
+        for i in range(n):
+            j = np.array([j for j in range(n) if j != i])
+            best.add(np.full(n - 1, i), j, sims[i, j])
+        got[held] = [(int(a), int(b), int(c)) for a, b, _, c in zip(*best.settled())]
+    common = lambda i, j: len(set(top[i]) & set(top[j]))
+    want = [(i, j, common(i, j)) for i in range(n) for j in sorted((j for j in range(n) if j != i and sims[i, j] >= 0.12), key=lambda j: (-sims[i, j], -common(i, j), ix[j]))[:k]]
+    assert got[1] == got[1 << 21] == want
+
+
 def test_hot_classes_give_the_same(spark, monkeypatch):
     vector = fixture(spark, site_rows()).persist()
     read = lambda: sorted(map(tuple, semantic.neighbours(vector).collect()), key=repr)
