@@ -80,6 +80,15 @@ def test_html():
     assert html.page_row(None, None)["word_count"] == 0
 
 
+def test_references_without_a_semicolon_stay_where_asked():
+    source = '<title>A &amp;&amp;&amp</title><h1>B &copy; &#38;&#x26; &copy c</h1><script type="application/ld+json">{"a": "&amp &"}</script><body><a href="/x?a=1&b=2">t &lt</a>'
+    row, plain = html.page_row("https://ex.test/", source, closed=True), html.page_row("https://ex.test/", source)
+    assert (row["title"], row["h1"]) == ("A &&&amp", ["B \u00a9 && &copy c"])
+    assert (plain["title"], plain["h1"]) == ("A &&&", ["B \u00a9 && \u00a9 c"])
+    assert row["internal_links"][0]["text"] == "t &lt" and row["page_size"] == plain["page_size"]
+    assert row["json_ld"] == plain["json_ld"] == ['{"a": "&amp &"}'] and row["internal_links"][0]["href"] == plain["internal_links"][0]["href"]
+
+
 def test_html_table(spark):
     raw = spark.createDataFrame([(1, "https://a.io/", "<h1>x</h1>"), (2, None, None)], "page_id long, url string, html string")
     assert [(r["page_id"], r["h1"], r["page_size"]) for r in html.extract(raw).orderBy("page_id").collect()] == [(1, ["x"], 10), (2, [], 0)]
