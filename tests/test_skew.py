@@ -39,3 +39,36 @@ def test_components_with_hubs_and_paths_by_either_join(spark, monkeypatch):
         monkeypatch.setattr(skew, "PLAIN", plain)
         monkeypatch.setattr(components, "PLAIN", plain)
         assert {r["node"]: r["component"] for r in connected_components(df.select(F.col("a"), F.col("b"))).collect()} == expected
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_leaves_are_set_aside_before_the_rounds(spark, monkeypatch, kind):
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1000, 1300)] + [(5000 + i, 9000 + i) for i in range(20)] + [(6000, i) for i in range(100, 130)]  # stars, pairs
+    edges += [(i, i + 1) for i in range(200, 260)] + [(rng.randint(300, 330), rng.randint(300, 330)) for _ in range(40)] + [(255, 2000), (310, 7), (310, 2001)]
+    name = (lambda x: x) if kind == "long" else str
+    parent = {}
+    for a, b in edges:
+        for x in (a, b):
+            parent.setdefault(name(x), name(x))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        one, other = root(name(a)), root(name(b))
+        parent[max(one, other)] = min(one, other)
+    want = {x: root(x) for a, b in edges if a != b for x in (name(a), name(b))}
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"a {kind}, b {kind}")
+    seen = []
+    stats = components._stats
+    monkeypatch.setattr(components, "_stats", lambda e: seen.append(stats(e)) or seen[-1])
+    for few, at_first in ((components.IN_A_TASK, 1), (0, 2)):
+        monkeypatch.setattr(components, "IN_A_TASK", few)
+        seen.clear()
+        got = connected_components(df).collect()
+        assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+        assert len(seen) >= at_first and (few or seen[1][0] < 130 < 400 < seen[0][0])
+        assert not few or len(seen) == 1  # no rounds
