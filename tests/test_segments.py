@@ -170,6 +170,30 @@ def test_pages_known_by_their_group_only_are_all_paired(spark):
     assert {(r["node"], r["component"]) for r in joined.collect()} == {*((i, 0) for i in range(200)), *((500 + i, 500) for i in range(3))}
 
 
+def test_pairs_of_pages_leave_the_tiles_unshuffled(spark):
+    pairs = similar.expanded(semantic.alike(fixture(spark, site_rows())))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Union" not in plan
+
+
+def test_large_classes_are_crossed_in_parts(spark, monkeypatch):
+    vector = fixture(spark, site_rows()).persist()
+    read = lambda: sorted((r["a"], r["b"], round(r["sim"], 9)) for r in semantic.page_pairs(vector).collect())
+    plain = read()
+    assert all(a < b for a, b, _ in plain) and len({(a, b) for a, b, _ in plain}) == len(plain)
+    for block, part, sent in ((50_000, 1, 1), (40, 4, 16), (10, 7, 1 << 18)):
+        for name, value in (("BLOCK", block), ("PART", part), ("SENT", sent)):
+            monkeypatch.setattr(similar, name, value)
+        assert similar.parts(semantic.alike(vector)).selectExpr("max(size(pages))").first()[0] < 40
+        assert read() == plain
+    ix = pa.array([list(range(9)), [20, 21], [30]])
+    sent = list(similar._crossed(np.array([0, 0, 1, 1]), np.array([1, 2, 1, 2]), np.ones(4), ix))
+    assert max(len(c[0]) for c in sent) <= 1 << 18 and sum(len(c[0]) for c in sent) == 18 + 9 + 4 + 2
+    monkeypatch.setattr(similar, "SENT", 10)
+    cut = [c[0].tolist() for c in similar._crossed(np.array([0, 0, 1, 1]), np.array([1, 2, 1, 2]), np.ones(4), ix)]
+    assert [len(c) for c in cut] == [18, 9, 6] and sum(cut, []) == np.concatenate([c[0] for c in sent]).tolist()
+
+
 def test_an_empty_site_has_no_topics(spark):
     node = spark.createDataFrame([], "ix long, page_id string, url string, grp string, depth int, issue_count int, inbound_links int")
     stored = spark.createDataFrame([], "page_id string, keyword string, score double")
