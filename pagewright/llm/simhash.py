@@ -41,6 +41,8 @@ BLOCKS = 6
 TILE = 8192
 #: Runs of up to so many fingerprints are compared together with others and may emit all their links.
 PAIRWISE = 8
+#: Rows of 16 bytes that are sent to every task.
+SENT = 200_000
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -164,15 +166,20 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, t
     return paired.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "side").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = MAX_BITS, words: int = WORDS, blocks: int = BLOCKS, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = MAX_BITS, words: int = WORDS, blocks: int = BLOCKS, keep: tuple[str, ...] = (), smallest_id: bool = True) -> DataFrame:
     """``id_col, keep, fp, component, component_id`` per row: the smallest id that links reach, itself included.
 
-    ``component`` is a fingerprint that names the group, whatever the ids are.
+    ``component`` is a fingerprint that names the group, whatever the ids are. Without ``smallest_id`` that is all that is
+    said of a group: no ``component_id``, and nothing joined for it.
     """
     marked = checkpointed(fingerprints(docs, text, (id_col, *keep), words))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min(id_col).alias("_first")))
     members = connected_components(near_links(distinct.select("fp"), max_bits, blocks))
     named = checkpointed(distinct.join(members, distinct["fp"] == members["node"], "left").select("fp", "_first", F.coalesce("component", "fp").alias("_component")))
+    if not smallest_id:
+        table, n = named.select("fp", F.col("_component").alias("component")), named.count()
+        found = marked.join(F.broadcast(table), "fp", "left") if n <= SENT else lookup(marked, "fp", table, marked.count())
+        return found.select(id_col, *keep, "fp", "component")
     smallest = named.groupBy("_component").agg(F.min("_first").alias("component_id"))
     table = lookup(named, "_component", smallest, named.count()).select("fp", F.col("_component").alias("component"), "component_id")
     return lookup(marked, "fp", table, marked.count()).select(id_col, *keep, "fp", "component", "component_id")
